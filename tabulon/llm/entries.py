@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from tabulon.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from tabulon.llm.quality import OP10_SQL, op10_quality_rules
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
-ORACLES = {"op10_quality_rules": OP10_SQL}
+QUERIES = {"op5_exact_dedup": op5_exact_dedup, "op10_quality_rules": op10_quality_rules}
+ORACLES = {"op5_exact_dedup": OP5_SQL, "op10_quality_rules": OP10_SQL}
