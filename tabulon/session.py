@@ -34,3 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it with its lineage cut; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Writes df as Parquet under the shared checkpoint folder and reads it back; smaller than a checkpoint for wide tables."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
