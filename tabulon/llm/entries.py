@@ -7,7 +7,8 @@ from tabulon.llm.chat import OP9_SQL, op9_chat_trees
 from tabulon.llm.exactdedup import OP5_SQL, op5_exact_dedup
 from tabulon.llm.mixing import OP3_SQL, op3_source_mix
 from tabulon.llm.quality import OP10_SQL, op10_quality_rules
+from tabulon.llm.secret_scan import op7_secret_scan
 from tabulon.llm.simhash import op8_simhash
 
-QUERIES = {"op6_bloom_lm": op6_bloom_lm, "op8_simhash": op8_simhash, "op9_chat_trees": op9_chat_trees, "op3_source_mix": op3_source_mix, "op5_exact_dedup": op5_exact_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op7_secret_scan": op7_secret_scan, "op6_bloom_lm": op6_bloom_lm, "op8_simhash": op8_simhash, "op9_chat_trees": op9_chat_trees, "op3_source_mix": op3_source_mix, "op5_exact_dedup": op5_exact_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op9_chat_trees": OP9_SQL, "op3_source_mix": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op10_quality_rules": OP10_SQL}
