@@ -17,6 +17,8 @@ is a root; nodes on a cycle reach no root and are left out. An empty table gives
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,21 +58,19 @@ def _with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     own = nodes.select("tree", "node", "parent", "score")
     there = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     link = own.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    # done: the pointer has passed the root; dist and total cover the nodes from here up to, not including, `up`.
-    state = cut(link.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("score").cast("double").alias("total")))
-    steps, size, least = [], state.count(), None
-    while True:
-        pending = state.filter("up is not null")
-        left = pending.count()
-        # Pointers on a cycle never end: after as many doublings as any path can have, only those are left.
-        if left == 0 or (least is not None and 2 ** len(steps) > size):
-            break
-        least = left
+    # `up` is the next node not yet counted in dist and total; a row without one has passed its root and is done.
+    first = cut(link.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("score").cast("double").alias("total")))
+    size, steps, done, pending = first.count(), [], [first.filter("up is null")], first.filter("up is not null")
+    # Pointers on a cycle never end: after as many doublings as any path can have, only those are left.
+    while 2 ** len(steps) <= size and pending.limit(1).count():
         steps.append(pending.select("tree", "node", "up"))
-        far = state.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("total").alias("s2"))
-        met = state.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
-        state = cut(met.select("tree", "node", F.col("up2").alias("up"), (F.col("dist") + F.coalesce("d2", F.lit(0))).alias("dist"), (F.col("total") + F.coalesce("s2", F.lit(0.0))).alias("total")))
-    return state.filter("up is null").select("tree", "node", "dist", "total"), steps
+        known = reduce(DataFrame.unionByName, done, pending)
+        far = known.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("total").alias("s2"))
+        met = pending.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
+        met = cut(met.select("tree", "node", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("total") + F.col("s2")).alias("total")))
+        done.append(met.filter("up is null"))
+        pending = met.filter("up is not null")
+    return reduce(DataFrame.unionByName, done).select("tree", "node", "dist", "total"), steps
 
 
 def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -87,7 +87,7 @@ def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
     for k in range(len(steps) - 1, -1, -1):
         up = steps[k].select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
         above = path.join(up, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "branch", F.col("up").alias("node"), (F.col("depth") - 2**k).alias("depth"))
-        path = cut(path.unionByName(above)) if k % 4 == 0 else path.unionByName(above)
+        path = cut(path.unionByName(above))
     return path
 
 
