@@ -10,6 +10,7 @@ from tabulon.llm.piece_dropout import op1_piece_dropout
 from tabulon.llm.quality import OP10_SQL, op10_quality_rules
 from tabulon.llm.secret_scan import op7_secret_scan
 from tabulon.llm.simhash import op8_simhash
+from tabulon.llm.toxicity import op2_toxicity
 
-QUERIES = {"op1_piece_dropout": op1_piece_dropout, "op7_secret_scan": op7_secret_scan, "op6_bloom_lm": op6_bloom_lm, "op8_simhash": op8_simhash, "op9_chat_trees": op9_chat_trees, "op3_source_mix": op3_source_mix, "op5_exact_dedup": op5_exact_dedup, "op10_quality_rules": op10_quality_rules}
+QUERIES = {"op2_toxicity": op2_toxicity, "op1_piece_dropout": op1_piece_dropout, "op7_secret_scan": op7_secret_scan, "op6_bloom_lm": op6_bloom_lm, "op8_simhash": op8_simhash, "op9_chat_trees": op9_chat_trees, "op3_source_mix": op3_source_mix, "op5_exact_dedup": op5_exact_dedup, "op10_quality_rules": op10_quality_rules}
 ORACLES = {"op9_chat_trees": OP9_SQL, "op3_source_mix": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op10_quality_rules": OP10_SQL}
