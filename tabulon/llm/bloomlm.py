@@ -272,13 +272,14 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, top_words: int = TO
     if whole:
         for r in model["filter"].select("shard", "bits").toLocalIterator():
             parts[r["shard"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    shared = spark.sparkContext.broadcast((top_h, top_c, Shards(parts, shards)))
+    shared = spark.sparkContext.broadcast((top_h, top_c, parts))
     del parts
     denominator = float(n + v + 1)
 
     def rows(batches, levels_of_slice):
         cache = _Hashes()
-        h_top, c_top, held = shared.value
+        h_top, c_top, loaded = shared.value
+        held = Shards(loaded, shards)
         for b in batches:
             for at0, part in _slices(b, "text"):
                 flat, at = token_hashes(part, cache)

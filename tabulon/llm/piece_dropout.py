@@ -166,8 +166,9 @@ def _encoder(codec: Codec, columns: list[str], name: str, check: bool):
 
 def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = TOKENIZER, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, check: bool = False) -> DataFrame:
     """df without its text, with n_tokens and token_ids, and with check also lossless: whether decoding gave the text back."""
-    codec = Codec(load_pieces(model), rate, seed, variants)
-    shared = df.sparkSession.sparkContext.broadcast(codec)
+    vocab = load_pieces(model)
+    Codec(vocab)  # refuses a vocabulary that it can't cut units for
+    shared = df.sparkSession.sparkContext.broadcast(vocab)
     new = ["n_tokens", "token_ids", "lossless"]
     columns = [c for c in df.columns if c != text_col and c not in new]
     src = df.select(*[F.col(f"`{c}`") for c in columns], F.col(f"`{text_col}`").alias("__text"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("__key"))
@@ -179,19 +180,20 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = f"pieces:{model}:{rate}:{seed}:{variants}"
 
     def run(batches):
-        yield from _encoder(shared.value, columns, name, check)(batches)
+        yield from _encoder(Codec(shared.value, rate, seed, variants), columns, name, check)(batches)
 
     return src.mapInArrow(run, schema)
 
 
 def decode_pieces(df: DataFrame, ids_col: str = "token_ids", out: str = "text", model: str = TOKENIZER) -> DataFrame:
     """df with the decoded text in column `out`; null ids give null."""
-    shared = df.sparkSession.sparkContext.broadcast(Codec(load_pieces(model), 0.0))
+    shared = df.sparkSession.sparkContext.broadcast(load_pieces(model))
     from pyspark.sql.functions import arrow_udf
 
     @arrow_udf("string")
     def decoded(ids: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else shared.value.decode(x) for x in ids.to_pylist()], pa.string())
+        codec = Codec(shared.value, 0.0)
+        return pa.array([None if x is None else codec.decode(x) for x in ids.to_pylist()], pa.string())
 
     return df.withColumn(out, decoded(F.col(f"`{ids_col}`")))
 
