@@ -80,3 +80,105 @@ def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     out = simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Similarity thresholds far beyond two bits: several short fingerprints, each searched by the same ball hashing.
+
+#: Words of 64 bits in a wide fingerprint, and the share of pairs at the threshold that the tables may miss.
+WIDE, MISS = 8, 0.01
+NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
+
+
+def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """WIDE fingerprints of one text from differently mixed hashes of the same shingles."""
+    words = (text or "").encode().translate(_TABLE).split()
+    if not words:
+        return np.zeros(WIDE, dtype=np.uint64)
+    n = max(1, len(words) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n)
+    counts = np.zeros((WIDE, 64), dtype=np.int64)
+    for at in range(0, n, _BLOCK):
+        for k in range(WIDE):
+            with np.errstate(over="ignore"):
+                x = (hashes[at : at + _BLOCK] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(29)
+            counts[k] += np.unpackbits(x.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, axis=1, bitorder="little").view("<u8").reshape(-1)
+
+
+def differing_share(similarity: float) -> float:
+    """Expected share of differing bits of two texts whose shingle sets have this Jaccard similarity."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def plan_tables(n: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(tables, bits): bits grow with the logarithm of the number of texts, so that unrelated texts rarely share a value;
+    tables are as many as a pair at the threshold needs to be at most 2 bits apart in one of them."""
+    p = differing_share(similarity)
+    bits = int(np.clip(np.ceil(np.log2(max(n, 2))) + 5, 16, 40))
+    near = sum(float(_choose(bits, k)) * p**k * (1 - p) ** (bits - k) for k in range(3))
+    return min(int(np.ceil(np.log(miss) / np.log(1 - near))), 64 * WIDE // bits), bits
+
+
+def _choose(n: int, k: int) -> int:
+    from math import comb
+
+    return comb(n, k)
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
+    """doc_id, component_id for every document that is linked to another, by an estimated similarity over the wide fingerprint of at least `similarity`.
+
+    Rows of one doc_id are one document; null ids and texts without words are linked to nothing."""
+    from pyspark.sql import Window
+
+    src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+
+    def run(batches):
+        for b in batches:
+            got = [wide_fingerprint(t.as_py(), shingle) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([w.tobytes() for w in got], pa.binary()), pa.array([bool(w.any()) for w in got])], names=["doc_id", "wide", "any"])
+
+    docs = cut(src.mapInArrow(run, "doc_id long, wide binary, any boolean").filter("any").select("doc_id", "wide"))
+    classes = cut(docs.groupBy("wide").agg(F.min("doc_id").alias("id")))
+    n = classes.count()
+    tables, bits = plan_tables(n, similarity)
+
+    def slices(batches):
+        weights = 1 << np.arange(bits, dtype=np.int64)
+        for b in batches:
+            raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), dtype=np.uint8).reshape(-1, 8 * WIDE)
+            flat = np.unpackbits(raw, axis=1, bitorder="little")[:, : tables * bits].reshape(-1, tables, bits).astype(np.int64)
+            values = (flat * weights).sum(axis=2)
+            first = raw[:, :8].copy().view("<i8").reshape(-1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(first), pa.array(values.tolist(), pa.list_(pa.int64()))], names=["id", "head", "v"])
+
+    parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>").select("id", "head", F.posexplode("v").alias("t", "v"))
+    flips = F.array(*[F.lit(0).cast("long")], *[F.lit(1 << k).cast("long") for k in range(bits)])
+    keyed = parts.select("id", "head", "t", F.explode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("x"))
+    # In a bucket, texts of one group lie next to each other by the head of their fingerprints.
+    order = Window.partitionBy("t", "x").orderBy("head", "id")
+    met = keyed.select("id", "head", *[F.lag(c, k).over(order).alias(f"{c}{k}") for k in (1, 2) for c in ("id", "head")])
+    share = differing_share(similarity) + 0.7 * (0.25 / (64 * WIDE)) ** 0.5
+    pairs = met.select("id", "head", F.explode(F.array(*[F.struct(F.col(f"id{k}").alias("o"), F.col(f"head{k}").alias("h")) for k in (1, 2)])).alias("p"))
+    # A first, loose check on one word (over three standard deviations beyond the threshold), then the whole fingerprint.
+    loose = int(64 * share + 3.5 * (64 * share * (1 - share)) ** 0.5)
+    pairs = pairs.filter(F.col("p.o").isNotNull() & (F.bit_count(F.col("head").bitwiseXOR(F.col("p.h"))) <= loose))
+    pairs = pairs.select(F.least("id", "p.o").alias("a"), F.greatest("id", "p.o").alias("b")).distinct()
+    wide = classes.select("id", "wide")
+    both = pairs.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+    word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
+    apart = sum((F.bit_count(word("wa", k).bitwiseXOR(word("wb", k))) for k in range(WIDE)), F.lit(0))
+    links = both.filter(apart <= int(64 * WIDE * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    found = components(links)
+    named = classes.join(found, F.col("id") == F.col("node"), "left").select("wide", F.coalesce("component", "id").alias("component_id"))
+    return docs.join(named, "wide").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """df without the documents that are linked to one with a smaller id; of each group one document stays."""
+    found = near_duplicates(df, id_col, text_col, **settings)
+    gone = found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"))
+    return df.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")
