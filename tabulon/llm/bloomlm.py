@@ -20,6 +20,7 @@ empty table. Very long texts are read whole; memory is bounded by the batch.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,8 @@ BITS, PROBES = 10, 5
 TOP_WORDS = 1_000_000
 BROADCAST_LIMIT = 160 << 20
 SHARD_TOKENS = 2_000_000
-#: Bytes of text handled at once inside a batch.
-_SLICE = 8 << 20
+#: Characters of text handled at once inside a batch, when counting and when scoring (beside the filter).
+COUNT_SLICE, SCORE_SLICE = 16 << 20, 2 << 20
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _END = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 100
@@ -68,8 +69,7 @@ def token_hashes(texts: list[str | None], cache: _Hashes) -> tuple[np.ndarray, n
     is_end = np.zeros(at[-1], dtype=bool)
     is_end[at[1:] - 1] = True
     flat[is_end] = _END
-    get = cache.__getitem__
-    flat[~is_end] = np.fromiter((get(w) for ws in words for w in ws), dtype=np.uint64, count=int(at[-1] - len(texts)))
+    flat[~is_end] = np.fromiter(map(cache.__getitem__, chain.from_iterable(words)), dtype=np.uint64, count=int(at[-1] - len(texts)))
     return flat, at
 
 
@@ -87,15 +87,15 @@ def ngram_hashes(flat: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarra
     return grams
 
 
-def _slices(batch: pa.RecordBatch, column: str):
-    """(from, texts) with a bounded number of bytes each; a longer text is a slice of its own."""
-    texts = batch.column(column).to_pylist()
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > _SLICE or i == len(texts) - 1:
-            yield start, texts[start : i + 1]
-            start, size = i + 1, 0
+def _slices(batch: pa.RecordBatch, column: str, limit: int):
+    """(from, texts) with a bounded number of characters each; a longer text is a slice of its own."""
+    start, size, texts = 0, 0, []
+    for i, x in enumerate(batch.column(column)):
+        texts.append(x.as_py())
+        size += len(texts[-1] or "")
+        if size > limit or i == batch.num_rows - 1:
+            yield start, texts
+            start, size, texts = i + 1, 0, []
 
 
 def levels_of(counts: np.ndarray, base: float = BASE) -> np.ndarray:
@@ -111,13 +111,21 @@ def level_values(base: float = BASE) -> np.ndarray:
     return np.array(out)
 
 
-def _positions(keys: np.ndarray, level, bits: int):
-    """Bit positions of (key, level), one array for each probe."""
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+
+
+def _seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stride of the probes for (key, level)."""
     with np.errstate(over="ignore"):
-        a = _mix(keys + np.uint64(0x632BE59BD9B4E019) * np.asarray(level, dtype=np.uint64))
-        b = _mix(a) | np.uint64(1)
-        for i in range(PROBES):
-            yield (a + np.uint64(i) * b) % np.uint64(bits)
+        a = _mix(keys + np.uint64(0x632BE59BD9B4E019) * np.uint64(level))
+        return a, _mix(a) | np.uint64(1)
+
+
+def _bit(a: np.ndarray, b: np.ndarray, i: int, bits) -> np.ndarray:
+    """The i-th bit position in a filter of so many bits (fewer than 2 ** 32)."""
+    with np.errstate(over="ignore"):
+        return (((a + np.uint64(i) * b) >> np.uint64(32)) * bits) >> np.uint64(32)
 
 
 def build_shard(keys: np.ndarray, counts: np.ndarray, base: float = BASE) -> np.ndarray:
@@ -126,47 +134,38 @@ def build_shard(keys: np.ndarray, counts: np.ndarray, base: float = BASE) -> np.
     bits = 64 * (int(q.sum()) * BITS // 64 + 1)
     filled = np.zeros(bits // 8, dtype=np.uint8)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for p in _positions(keys[q >= level], level, bits):
+        a, b = _seeds(keys[q >= level], level)
+        for i in range(PROBES):
+            p = _bit(a, b, i, np.uint64(bits))
             np.bitwise_or.at(filled, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
     return filled
 
 
-def probe(filled: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """The level of each key, by probing level after level until one is missing."""
-    out = np.zeros(len(keys), dtype=np.int64)
-    left = np.arange(len(keys))
-    level = 1
-    while len(left) and level <= _LEVELS:
-        ok = np.ones(len(left), dtype=bool)
-        for p in _positions(keys[left], level, 8 * len(filled)):
-            ok &= (filled[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
-        left = left[ok]
-        out[left] = level
-        level += 1
-    return out
-
-
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
-
-
-class Shards:
-    """All shards in one array."""
+class LogFrequencyFilter:
+    """All shards one after another."""
 
-    def __init__(self, parts: dict[int, np.ndarray], shards: int):
-        self.n = shards
-        self.sizes = np.array([len(parts[s]) if s in parts else 0 for s in range(shards)], dtype=np.int64)
-        self.parts = parts
+    def __init__(self, filled: np.ndarray, sizes: np.ndarray):
+        """sizes: bytes of each shard, 0 where it has no n-gram."""
+        self.filled, self.shards = filled, len(sizes)
+        self.at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.uint64)
+        self.bits = (8 * sizes).astype(np.uint64)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
+        """The level of each key: level after level is probed until one is missing."""
         out = np.zeros(len(keys), dtype=np.int64)
-        s = shard_of(keys, self.n)
-        order = np.argsort(s, kind="stable")
-        cuts = np.searchsorted(s[order], np.arange(self.n + 1))
-        for k in range(self.n):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if len(mine) and k in self.parts:
-                out[mine] = probe(self.parts[k], keys[mine])
+        left = np.arange(len(keys))
+        shard = shard_of(keys, self.shards)
+        at, bits = self.at[shard], self.bits[shard]
+        left = left[bits > 0]
+        for level in range(1, _LEVELS + 1):
+            if not len(left):
+                break
+            a, b = _seeds(keys[left], level)
+            for i in range(PROBES):
+                p = _bit(a, b, i, bits[left])
+                hit = (self.filled[at[left] + (p >> np.uint64(3))] >> (p & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+                left, a, b = left[hit], a[hit], b[hit]
+            out[left] = level
         return out
 
 
@@ -180,7 +179,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches):
         cache = _Hashes()
         for b in batches:
-            for _, texts in _slices(b, "text"):
+            for _, texts in _slices(b, "text", COUNT_SLICE):
                 flat, _ = token_hashes(texts, cache)
                 h, n = np.unique(flat, return_counts=True)
                 yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
@@ -194,31 +193,33 @@ def filter_shards(docs: DataFrame, shards: int, order: int = ORDER) -> DataFrame
     def count(batches):
         cache = _Hashes()
         for b in batches:
-            for _, texts in _slices(b, "text"):
+            for _, texts in _slices(b, "text", COUNT_SLICE):
                 for grams in ngram_hashes(*token_hashes(texts, cache), order):
                     h, n = np.unique(grams, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(h, shards)), _signed(h), pa.array(n.astype(np.int64))], names=["shard", "h", "n"])
+                    s = shard_of(h, shards)
+                    by = np.argsort(s, kind="stable")
+                    present, at = np.unique(s[by], return_index=True)
+                    h, n = np.split(h[by], at[1:]), np.split(n[by].astype(np.uint32), at[1:])
+                    # One row per shard, its n-grams packed, instead of a row per n-gram.
+                    yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([x.tobytes() for x in h], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], names=["shard", "h", "n"])
 
     def build(batches):
         held: dict[int, list] = {}
         for b in batches:
-            s = b.column("shard").to_numpy(zero_copy_only=False)
-            h = b.column("h").to_numpy(zero_copy_only=False).view(np.uint64)
-            n = b.column("n").to_numpy(zero_copy_only=False)
-            for k in np.unique(s):
-                held.setdefault(int(k), []).append((h[s == k], n[s == k]))
+            for k, h, n in zip(b.column("shard").to_pylist(), b.column("h").to_pylist(), b.column("n").to_pylist()):
+                held.setdefault(k, []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32)))
         for k in list(held):
             rows = held.pop(k)
             h = np.concatenate([x for x, _ in rows])
             n = np.concatenate([x for _, x in rows])
             keys, where = np.unique(h, return_inverse=True)
             counts = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(counts, where, n)
+            np.add.at(counts, where, n.astype(np.int64))
             filled = build_shard(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([filled.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], names=["shard", "bits", "n_grams"])
 
-    rows = docs.select("text").mapInArrow(count, "shard int, h long, n long")
-    # A hot n-gram is one row per slice of text here; its shard is dealt to a task like any other.
+    rows = docs.select("text").mapInArrow(count, "shard int, h binary, n binary")
+    # A hot n-gram is one entry per slice of text here; its shard is dealt to a task like any other.
     return rows.repartition(shards, "shard").mapInArrow(build, "shard int, bits binary, n_grams long")
 
 
@@ -268,20 +269,24 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, top_words: int = TO
     top_h, top_c, least = _frequent(model["counts"], top_words)
     size = model["filter"].agg(F.sum(F.length("bits"))).first()[0] or 0
     whole = size <= broadcast_limit
-    parts = {}
+    sizes, filled = np.zeros(shards, dtype=np.int64), np.empty(0, dtype=np.uint8)
     if whole:
-        for r in model["filter"].select("shard", "bits").toLocalIterator():
-            parts[r["shard"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
-    shared = spark.sparkContext.broadcast((top_h, top_c, parts))
-    del parts
+        filled, at = np.empty(size, dtype=np.uint8), 0
+        rows = model["filter"].select("shard", F.length("bits").alias("n"), "bits").orderBy("shard")
+        for r in rows.toLocalIterator():
+            sizes[r["shard"]] = r["n"]
+            filled[at : at + r["n"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+            at += r["n"]
+    shared = spark.sparkContext.broadcast((top_h, top_c, filled, sizes))
+    del filled
     denominator = float(n + v + 1)
 
     def rows(batches, levels_of_slice):
         cache = _Hashes()
-        h_top, c_top, loaded = shared.value
-        held = Shards(loaded, shards)
+        h_top, c_top, filled, sizes = shared.value
+        held = LogFrequencyFilter(filled, sizes)
         for b in batches:
-            for at0, part in _slices(b, "text"):
+            for at0, part in _slices(b, "text", SCORE_SLICE):
                 flat, at = token_hashes(part, cache)
                 first = np.zeros(len(flat), dtype=bool)
                 first[at[:-1]] = True
@@ -294,8 +299,8 @@ def score(spark: SparkSession, docs: DataFrame, model: dict, top_words: int = TO
                 n_known = np.bincount(which, known[where], len(part)).astype(np.int64)
                 rare = ~known[where]
                 rare_h, rare_n = [], []
-                pairs = np.stack([which[rare], where[rare]])
-                pairs, times = np.unique(pairs, axis=1, return_counts=True) if pairs.size else (pairs, np.empty(0, np.int64))
+                pairs, times = np.unique(which[rare] * len(uniq) + where[rare], return_counts=True)
+                pairs = np.stack(np.divmod(pairs, max(len(uniq), 1)))
                 ends = np.searchsorted(pairs[0], np.arange(len(part) + 1))
                 for i in range(len(part)):
                     rare_h.append(uniq[pairs[1][ends[i] : ends[i + 1]]].view(np.int64))
@@ -340,7 +345,7 @@ def _score_by_shuffle(src: DataFrame, model: dict, rows, names, schema) -> DataF
     def asks(batches):
         cache = _Hashes()
         for b in batches:
-            for at0, part in _slices(b, "text"):
+            for at0, part in _slices(b, "text", SCORE_SLICE):
                 rid = b.column("rid").to_numpy(zero_copy_only=False)[at0 : at0 + len(part)]
                 flat, at = token_hashes(part, cache)
                 who = np.repeat(rid, np.diff(at))
@@ -349,9 +354,11 @@ def _score_by_shuffle(src: DataFrame, model: dict, rows, names, schema) -> DataF
                     yield pa.RecordBatch.from_arrays([pa.array(shard_of(g, shards)), _signed(g), pa.array(who), pa.array(pos), pa.array(np.full(len(g), k, np.int32))], names=["shard", "h", "rid", "pos", "k"])
 
     def answer(key, asked, held):
-        filled = np.frombuffer(held.column("bits")[0].as_py(), dtype=np.uint8) if held.num_rows else np.zeros(8, np.uint8)
+        sizes = np.zeros(shards, dtype=np.int64)
+        filled = np.frombuffer(held.column("bits")[0].as_py() if held.num_rows else b"", dtype=np.uint8)
+        sizes[key[0].as_py()] = len(filled)
         keys, where = np.unique(asked.column("h").to_numpy().view(np.uint64), return_inverse=True)
-        return pa.table({"rid": asked.column("rid"), "pos": asked.column("pos"), "k": asked.column("k"), "q": probe(filled, keys)[where]})
+        return pa.table({"rid": asked.column("rid"), "pos": asked.column("pos"), "k": asked.column("k"), "q": LogFrequencyFilter(filled, sizes).levels(keys)[where]})
 
     asked = src.mapInArrow(asks, "shard int, h long, rid long, pos long, k int")
     # A shard's questions may be many; they are salted, and the shard's filter is repeated for each salt.
