@@ -138,8 +138,12 @@ def flag_quality(df: DataFrame, text: str = "text", rules=RULES, out: str = "qua
 
 def keep_quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows whose verdict is kept, with the columns of df."""
-    flag = "__quality_verdict"
-    return flag_quality(df, text, rules, flag).filter(F.col(flag)["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
+    flag, held = "__quality_verdict", "__quality_held"
+    names = [F.col(f"`{c}`") for c in df.columns]
+    # Unnested from an array of one, the verdict is an output of its own; as a plain column the filter would be pushed below
+    # the projections, with their expressions copied into it once for each use.
+    flagged = flag_quality(df, text, rules, flag).select(*names, F.explode(F.array(F.col(flag)["kept"])).alias(held))
+    return flagged.filter(held).select(*names)
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
