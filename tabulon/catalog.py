@@ -22,3 +22,14 @@ def register(name: str, sql: str | None = None):
         return fn
 
     return keep
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    import importlib
+
+    for name in ("elementwise", "aggregates"):
+        importlib.import_module(f"tabulon.queries.{name}")
+
+
+load()
