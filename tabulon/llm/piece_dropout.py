@@ -6,8 +6,8 @@ left. With dropout, a candidate merge that comes up is skipped when a keyed hash
 stays skipped; without it the result is the model's own segmentation. Every occurrence of a unit draws one of VARIANTS variants
 by a keyed hash of seed, document and place, so a text is cut in varied ways, and the same way on every rerun.
 
-No piece joins a character to a space that follows it, so a text is cut there into units, each encoded by itself and remembered per (unit, variant)
-in a table of at most CACHE entries. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
+No piece joins a character to a space that follows it, or letters to other characters, so a text is cut there into units, each encoded by itself and remembered
+in tables of at most twice CACHE entries. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
 pieces; decoding therefore gives back every text exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. Rows that repeat id and text are cut alike. A null id counts as an
@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 import sys
 import types
+from array import array
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 RATE, SEED, VARIANTS = 0.1, 20_25, 4
-CACHE = 400_000
+CACHE = 500_000
+#: Characters of text that are cut together, and the longest unit that takes part in the joint agenda.
+SLICE, LONGEST = 2 << 20, 24
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; no piece contains it, so it never merges.
 LITERAL = "\0▁"
@@ -44,8 +48,12 @@ def load_pieces(path: str = TOKENIZER) -> dict:
     pieces = [sp.id_to_piece(i) for i in range(n)]
     special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in range(n)]
     is_byte = [sp.is_byte(i) for i in range(n)]
+    ids = {p: i for i, p in enumerate(pieces) if not special[i] and not is_byte[i]}
+    # Every way in which two pieces make a third, sorted by (left, right).
+    pairs = sorted((ids[p[:k]] * n + ids[p[k:]], i) for p, i in ids.items() for k in range(1, len(p)) if p[:k] in ids and p[k:] in ids)
     return {
-        "ids": {p: i for i, p in enumerate(pieces) if not special[i] and not is_byte[i]},
+        "ids": ids,
+        "pairs": (np.array([k for k, _ in pairs], dtype=np.int64), np.array([i for _, i in pairs], dtype=np.int32)),
         "scores": [sp.get_score(i) for i in range(n)],
         "bytes": [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)],
         "pieces": pieces,
@@ -54,46 +62,58 @@ def load_pieces(path: str = TOKENIZER) -> dict:
 
 
 class Memo:
-    """Remembers pieces by (unit, variant) in two generations of at most CACHE entries each; what is used again moves to the younger one."""
+    """Remembers units' pieces, a table per variant, in two generations of at most CACHE entries each; what is used again moves to the younger one."""
 
     def __init__(self):
-        self.young: dict = {}
-        self.old: dict = {}
+        self.young: dict[int, dict] = {}
+        self.old: dict[int, dict] = {}
 
-    def fetch(self, pairs: list, make) -> list[bytes]:
-        if len(self.young) > CACHE:
+    def turn(self) -> None:
+        if sum(map(len, self.young.values())) > CACHE:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for p in set(pairs).difference(young):
-            young[p] = old.get(p) or np.array(make(*p), dtype=np.int32).tobytes()
-        return [young[p] for p in pairs]
 
 
 class Codec:
     """Encodes and decodes with the given pieces."""
 
     def __init__(self, vocab: dict, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
-        self.ids, self.scores, self.byte_ids = vocab["ids"], vocab["scores"], vocab["bytes"]
+        self.ids, self.byte_ids = vocab["ids"], vocab["bytes"]
+        self.scores = [*vocab["scores"], NEVER]
         self.seed, self.variants = seed, variants if rate > 0 else 1
         self.limit = int(rate * (1 << 32))
-        normal = [p for p in self.ids if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in normal):
-            raise ValueError("a piece spans a space or a line end: units cannot be cut there")
-        self.units = re.compile(r" *[^ \n]+|\n| +")
+        self.pair_keys, self.pair_ids = vocab["pairs"]
+        self.score_array = np.array(self.scores, dtype=np.float32)  # [-1] is NEVER
+        self.char_ids = np.full(0x110000, -1, dtype=np.int32)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.char_ids[ord(p)] = i
+        self.char_ids[ord(" ")] = self.char_ids[ord(SPACE)]
+        self.char_ids[ord(SPACE)] = -1
+        # Units end where no piece goes on: before a space, at a line end, and between letters and other characters.
+        odd = "".join(sorted({c for p in self.ids for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()}))  # numerals such as superscripts are no letters
+        for p in self.ids:
+            bare = p.lstrip(SPACE)
+            if len(p) > 1 and (SPACE in bare or "\n" in p or len({c.isalpha() for c in bare}) > 1):
+                raise ValueError(f"the piece {p!r} spans a unit's end")
+        self.units = re.compile(rf" *[^\W\d_{odd}]+| *(?:[^\w \n]|[\d_{odd}])+|\n| +")
         self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         self.out = [b"" if s else p.replace(SPACE, " ").encode() for p, s in zip(vocab["pieces"], vocab["special"])]
         for i, b in self.byte_of.items():
             self.out[i] = bytes([b])
 
-    def merge(self, unit: str, variant: int) -> list[int]:
-        """The pieces of one unit."""
-        ids, scores, limit = self.ids.get, self.scores, self.limit
-        parts = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
-        n = len(parts)
-        start = list(range(n))
-        joined = [ids(parts[i] + parts[i + 1], -1) for i in range(n - 1)]
-        rank = [scores[x] if x >= 0 else NEVER for x in joined]
-        key = xxhash.xxh64_intdigest(unit.encode(), self.seed * 1_000_003 + variant)
+    def merge(self, unit: str, variant: int) -> bytes:
+        """The ids of one unit's pieces, as 32-bit integers."""
+        get, scores, limit = self.ids.get, self.scores, self.limit
+        if SPACE in unit:
+            parts = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
+            joined = [get(a + b, -1) for a, b in zip(parts, parts[1:])]
+        else:
+            marked = unit.replace(" ", SPACE)
+            parts = list(marked)
+            joined = [get(marked[i : i + 2], -1) for i in range(len(parts) - 1)]
+        rank = [scores[x] for x in joined]  # scores[-1] is NEVER
+        start = list(range(len(parts)))
+        key = xxhash.xxh64_intdigest(unit.encode(), self.seed) ^ (variant * 0xD1B54A32D192ED03)
         while rank:
             best = max(rank)
             if best == NEVER:
@@ -104,39 +124,136 @@ class Codec:
                 if (((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF) >> 32 < limit:
                     rank[at] = NEVER
                     continue
-            parts[at] += parts[at + 1]
+            here = parts[at] = parts[at] + parts[at + 1]
             del parts[at + 1], start[at + 1], joined[at], rank[at]
-            for j in (at - 1, at):
-                if 0 <= j < len(rank):
-                    x = joined[j] = ids(parts[j] + parts[j + 1], -1)
-                    rank[j] = scores[x] if x >= 0 else NEVER
-        out = []
-        for p in parts:
-            x = ids(p, -1)
-            if x >= 0:
-                out.append(x)
+            if at:
+                x = joined[at - 1] = get(parts[at - 1] + here, -1)
+                rank[at - 1] = scores[x]
+            if at < len(rank):
+                x = joined[at] = get(here + parts[at + 1], -1)
+                rank[at] = scores[x]
+        out = [get(p, -1) for p in parts]
+        if -1 in out:
+            out = []
+            for p in parts:
+                x = get(p, -1)
+                out += [x] if x >= 0 else [self.byte_ids[b] for b in p.replace(LITERAL, SPACE).encode()]
+        return array("i", out).tobytes()
+
+    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The piece that each pair of pieces makes, -1 for none."""
+        key = a.astype(np.int64) * len(self.out) + b
+        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
+
+    def merge_many(self, units: list[tuple[str, int]]) -> list[bytes]:
+        """merge() of many (unit, variant) at once: all agendas advance by one candidate a round.
+
+        Parts are linked positions of a matrix. Units over LONGEST characters, or with characters that have no piece, go one by one."""
+        out: list = [None] * len(units)
+        sizes = np.array([len(u) for u, _ in units])
+        chars = self.char_ids[np.frombuffer("".join([u for u, _ in units]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+        fit = (sizes >= 2) & (sizes <= LONGEST) & (np.minimum.reduceat(chars, first) >= 0 if len(units) else True)
+        for i in np.nonzero(~fit)[0]:
+            out[i] = self.merge(*units[i])
+        rows = np.nonzero(fit)[0]
+        if not len(rows):
+            return out
+        n, width = len(rows), int(sizes[rows].max())
+        cols = np.arange(width)
+        inside = cols < sizes[rows][:, None]
+        part = np.full((n, width + 1), -1, dtype=np.int32)  # a last column that never joins
+        part[:, :width][inside] = chars[(first[rows][:, None] + cols)[inside]]
+        joined = np.full((n, width + 1), -1, dtype=np.int32)
+        joined[:, :-1] = self._joined(part[:, :-1], part[:, 1:])
+        rank = self.score_array[joined]
+        after = np.tile(np.minimum(cols + 1, width), (n, 1))
+        before = np.tile(cols - 1, (n, 1))
+        before = np.concatenate([before, np.full((n, 1), -1)], axis=1)
+        alive = inside.copy()
+        mult, c1, c2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+        keys = np.array([xxhash.xxh64_intdigest(units[i][0].encode(), self.seed) ^ (units[i][1] * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF) for i in rows], dtype=np.uint64)
+        act = np.arange(n)
+        while len(act):
+            at = rank[act].argmax(axis=1)
+            go = rank[act, at] != NEVER
+            act, at = act[go], at[go]
+            if self.limit and len(act):
+                with np.errstate(over="ignore"):
+                    h = (keys[act] ^ (at.astype(np.uint64) * c1 + joined[act, at].astype(np.uint64) * c2)) * mult
+                    skip = ((h ^ (h >> np.uint64(32))) * mult) >> np.uint64(32) < np.uint64(self.limit)
+                rank[act[skip], at[skip]] = NEVER
+                r, p = act[~skip], at[~skip]
+            else:
+                r, p = act, at
+            q = after[r, p]
+            z, o = after[r, np.minimum(q, width - 1)], before[r, p]
+            part[r, p] = joined[r, p]
+            rank[r, q] = NEVER
+            alive[r, q] = False
+            after[r, p] = z
+            before[r, z] = p
+            x = self._joined(part[r, p], part[r, z])
+            joined[r, p], rank[r, p] = x, self.score_array[x]
+            left = o >= 0
+            r, o, p = r[left], o[left], p[left]
+            x = self._joined(part[r, o], part[r, p])
+            joined[r, o], rank[r, o] = x, self.score_array[x]
+        flat, ends = part[:, :width][alive], np.cumsum(alive.sum(axis=1)) * 4
+        raw, start = flat.tobytes(), 0
+        for i, e in zip(rows.tolist(), ends.tolist()):
+            out[i] = raw[start:e]
+            start = e
+        return out
+
+    def encode_many(self, texts: list[str | None], keys: list[str], memo: Memo) -> list[np.ndarray]:
+        """Piece ids of each text; keys name the documents."""
+        memo.turn()
+        found, units_of, draws_of, missing = [], [], [], {}
+        gets = [memo.young.setdefault(v, {}).get for v in range(self.variants)]
+        for t, k in zip(texts, keys):
+            units = self.units.findall(" " + t) if t else []
+            draws = self._draws(k, len(units))
+            got = [gets[v](u) for u, v in zip(units, draws)]
+            if None in got:
+                missing.update(((units[i], draws[i]), None) for i, x in enumerate(got) if x is None)
+            found.append(got)
+            units_of.append(units)
+            draws_of.append(draws)
+        fresh = []
+        for p in missing:
+            x = memo.old.get(p[1], {}).get(p[0])
+            if x is None:
+                fresh.append(p)
             else:
-                out += [self.byte_ids[b] for b in p.replace(LITERAL, SPACE).encode()]
+                memo.young[p[1]][p[0]] = x
+        for (u, v), x in zip(fresh, self.merge_many(fresh)):
+            memo.young[v][u] = x
+        out = []
+        for got, units, draws in zip(found, units_of, draws_of):
+            if None in got:
+                got = [gets[v](u) if x is None else x for x, u, v in zip(got, units, draws)]
+            out.append(np.frombuffer(b"".join(got), dtype=np.int32))
         return out
 
+    def _draws(self, key: str, n: int) -> list[int]:
+        if self.variants == 1:
+            return [0] * n
+        base = np.uint64(xxhash.xxh64_intdigest(key.encode(), self.seed))
+        with np.errstate(over="ignore"):
+            h = (np.arange(n, dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
+        return ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+
     def encode(self, text: str | None, key: str = "", memo: Memo | None = None) -> np.ndarray:
-        """Piece ids of a text; key names the document."""
-        if not text:
-            return np.empty(0, dtype=np.int32)
-        units = self.units.findall(" " + text)
-        if self.variants > 1:
-            base = np.uint64(xxhash.xxh64_intdigest(key.encode(), self.seed))
-            with np.errstate(over="ignore"):
-                h = (np.arange(len(units), dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
-            draws = ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
-        else:
-            draws = [0] * len(units)
-        memo = Memo() if memo is None else memo
-        return np.frombuffer(b"".join(memo.fetch(list(zip(units, draws)), self.merge)), dtype=np.int32)
+        """Piece ids of one text."""
+        return self.encode_many([text], [key], Memo() if memo is None else memo)[0]
 
     def decode(self, ids) -> str:
         """The text that was encoded: pieces without the leading space that encoding puts first."""
-        return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")[1:] if len(ids) else ""
+        if len(ids) < 2:
+            return b"".join(self.out[i] for i in ids).decode("utf-8", "replace")[1:]
+        return b"".join(itemgetter(*ids)(self.out)).decode("utf-8", "replace")[1:]
 
 
 def _memo(name: str) -> Memo:
@@ -149,12 +266,13 @@ def _encoder(codec: Codec, columns: list[str], name: str, check: bool):
     def run(batches):
         for b in batches:
             texts, keys = b.column("__text").to_pylist(), b.column("__key").to_pylist()
-            ids, ok = [], []
-            for t, k in zip(texts, keys):
-                x = codec.encode(t, k or "", _memo(name))
-                ids.append(x)
-                if check:
-                    ok.append(codec.decode(x.tolist()) == (t or ""))
+            ids, at, size = [], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t or "")
+                if size > SLICE or i == len(texts) - 1:
+                    ids += codec.encode_many(texts[at : i + 1], keys[at : i + 1], _memo(name))
+                    at, size = i + 1, 0
+            ok = [codec.decode(x.tolist()) == (t or "") for x, t in zip(ids, texts)] if check else []
             sizes = np.array([len(x) for x in ids], dtype=np.int64)
             flat = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32())
             offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
