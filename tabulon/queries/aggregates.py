@@ -49,9 +49,10 @@ def reduce_rows(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", R(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("row_sum"), m.alias("row_max"), F.array_min(v).alias("row_min"), R(m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))), 6).alias("row_lse"))
 
 
-@register("segment_sum_max", "SELECT s.segment, coalesce(round(sum(l_quantity),2),0.0) AS segment_sum, coalesce(max(l_quantity),-1.7976931348623157e308) AS segment_max FROM generate_series(0,20) AS s(segment) LEFT JOIN lineitem ON l_suppkey=s.segment GROUP BY 1")
+@register("segment_sum_max", "SELECT s.segment, coalesce(round(sum(l_quantity),2),0.0) AS segment_sum, coalesce(max(l_quantity),-1.7976931348623157e308) AS segment_max FROM generate_series(0,(SELECT max(s_suppkey) FROM supplier)) AS s(segment) LEFT JOIN lineitem ON l_suppkey=s.segment GROUP BY 1")
 def segment(spark, sf):
-    return reduce.segment(table(spark, sf, "lineitem").filter(F.col("l_suppkey").between(0, 20)), "l_suppkey", "l_quantity", 21).withColumn("segment_sum", R(F.col("segment_sum"), 2))
+    n = table(spark, sf, "supplier").agg(F.max("s_suppkey")).first()[0] + 1
+    return reduce.segment(table(spark, sf, "lineitem"), "l_suppkey", "l_quantity", n).withColumn("segment_sum", R(F.col("segment_sum"), 2))
 
 
 @register("count_distinct_parts", "SELECT count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem")

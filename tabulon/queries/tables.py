@@ -248,3 +248,11 @@ def radius(spark, sf):
 @register("core_distance", P_SQL + f"SELECT q, round(sqrt(d),5) AS core_distance FROM (SELECT q, {PAIR_SQL['l2']} AS d, row_number() OVER (PARTITION BY q ORDER BY {PAIR_SQL['l2']}, t) AS place FROM p WHERE q<>t) WHERE place=5")
 def core(spark, sf):
     return distance.core_distance(*_pairs(spark, sf), 5).withColumn("core_distance", R(F.col("core_distance"), 5))
+
+
+@register("window_tumbling_events", "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY 1,2")
+def tumbling(spark, sf):
+    from tabulon.streaming.events import tumbling
+
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return tumbling(e, "ts", "event_type", "value", "1 day").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", R(F.col("total"), 4).alias("total"))
