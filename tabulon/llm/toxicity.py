@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-Voters. Lexicons of four languages, lexicons mined from the training labels (whole words in four groups, word beginnings of four to six letters), and patterns
+Voters. Lexicons of four languages, lexicons mined from the training labels (whole words in four groups, word beginnings of four to six bytes), and patterns
 (shouting, exclaiming, masked words, hits beside a second person, number and density of hits). A text's votes are a bit mask, so a corpus is summed up by the counts of its
 distinct masks, at most 2 ** (number of voters), whatever its size.
 
@@ -42,50 +42,70 @@ LEXICONS = {
 }
 _SECOND = re.compile(r"\b(?:you|your|du|dich|tu|toi|vous|eres|usted|tú)\b")
 _SHOUT = re.compile(r"\b[A-Z]{3,}\b")
+_NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
 _MASKED = re.compile(r"\b[a-z]+[*@#$]{1,3}[a-z]+\b")
-_LETTERS = re.compile(r"[^\W\d_]+")
+#: Punctuation beyond ASCII that separates words.
+_SEPARATORS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff00-\uff0f]")
+_TABLE = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+#: Lengths, in bytes, of the word beginnings that are features.
 PREFIXES = (4, 5, 6)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall((text or "").lower())
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-cased runs of letters, as UTF-8."""
+    text = (text or "").lower()
+    if not text.isascii():
+        text = _SEPARATORS.sub(" ", text)
+    return text.encode().translate(_TABLE).split()
 
 
-def features_of(words: list[str]) -> set[str]:
-    """Words and word beginnings; a beginning is marked by its length."""
+def features_of(words: list[bytes], starts: frozenset | None = None) -> tuple[set[bytes], ...]:
+    """Distinct words, and distinct word beginnings of each length of PREFIXES (of longer words).
+
+    With starts (four-byte beginnings), only words that begin so give beginnings: enough to look up features that all begin so."""
     distinct = set(words)
-    out = set(distinct)
-    for n in PREFIXES:
-        out.update([f"{n}:{w[:n]}" for w in distinct if len(w) > n])
-    return out
+    some = distinct if starts is None else [w for w in distinct if w[:4] in starts]
+    return distinct, *({w[:n] for w in some if len(w) > n} for n in PREFIXES)
+
+
+def named(feats: tuple[set[bytes], ...]) -> list[bytes]:
+    """The features in one list; a beginning is marked by its length."""
+    return [*feats[0], *(b"%d:%b" % (n, w) for n, s in zip(PREFIXES, feats[1:]) for w in s)]
 
 
 class Voters:
     """The labelling functions; mined: features that speak for toxicity."""
 
-    def __init__(self, mined: list[str]):
-        self.lexicons = [frozenset(v) for v in LEXICONS.values()]
-        words = sorted(f for f in mined if not f[0].isdigit())
+    def __init__(self, mined: list[bytes]):
+        self.lexicons = [frozenset(w.encode() for w in v) for v in LEXICONS.values()]
+        words = sorted(f for f in mined if not f[:1].isdigit())
         self.groups = [frozenset(words[k::4]) for k in range(4)]
-        self.begins = [frozenset(f for f in mined if f.startswith(f"{n}:")) for n in PREFIXES]
+        self.begins = [frozenset(f[2:] for f in mined if f.startswith(b"%d:" % n)) for n in PREFIXES]
         self.names = [*(f"lexicon_{k}" for k in LEXICONS), *(f"mined_{k}" for k in range(4)), *(f"begin_{n}" for n in PREFIXES), "twice", "thrice", "dense", "denser", "second_person", "shouting", "exclaiming", "masked"]
 
-        self.every = frozenset().union(*self.lexicons, *self.groups, *self.begins)
+        self.starts = frozenset(f[:4] for s in self.begins for f in s)
+        self.whole = frozenset().union(*self.lexicons, *self.groups)
 
-    def votes(self, text: str | None, words: list[str], feats: set[str]) -> int:
+    def votes(self, text: str | None, words: list[bytes], feats: tuple[set[bytes], ...]) -> int:
         """Bit k is set if voter k speaks for toxicity."""
         text = text or ""
-        bits = [not feats.isdisjoint(s) for s in (*self.lexicons, *self.groups, *self.begins)]
+        listed = feats[0] & self.whole
+        bits = [bool(listed) and not listed.isdisjoint(s) for s in (*self.lexicons, *self.groups)]
+        bits += [not f.isdisjoint(s) for f, s in zip(feats[1:], self.begins)]
         hits, n = 0, max(1, len(text))
         if any(bits):
-            bad = {w for w in set(words) if w in self.every or any(f"{k}:{w[:k]}" in self.every for k in PREFIXES if len(w) > k)}
+            bad = listed | {w for w in feats[0] if w[:4] in self.starts and any(len(w) > k and w[:k] in s for k, s in zip(PREFIXES, self.begins))}
             hits = sum([w in bad for w in words])
         bits += [hits > 1, hits > 2, 250 * hits >= len(words) > 0, 100 * hits >= len(words) > 0]
-        bits += [hits > 0 and bool(_SECOND.search(text.lower())), 20 * len(_SHOUT.findall(text)) > n / 6, 60 * text.count("!") > n, bool(_MASKED.search(text))]
+        masked = any(c in text for c in "*@#$") and bool(_MASKED.search(text))
+        # A shouted word has three capitals at least, so with few capitals there is nothing to count.
+        capitals = len(text.encode().translate(None, _NOT_UPPER))
+        shouting = 40 * capitals > n and 120 * len(_SHOUT.findall(text)) > n
+        bits += [hits > 0 and bool(_SECOND.search(text.lower())), shouting, 60 * text.count("!") > n, masked]
         return sum(1 << i for i, b in enumerate(bits) if b)
 
 
-def mine(labelled: DataFrame) -> list[tuple[str, float]]:
+def mine(labelled: DataFrame) -> list[tuple[bytes, float]]:
     """(feature, sign) of the features that tell the classes apart, by log-likelihood ratio over all of labelled(text, toxic)."""
     totals = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -96,18 +116,18 @@ def mine(labelled: DataFrame) -> list[tuple[str, float]]:
         for b in batches:
             seen = (Counter(), Counter())
             for t, y in zip(b.column("text"), b.column("toxic").to_pylist()):
-                seen[y].update(features_of(words_of(t.as_py())))
+                seen[y].update(named(features_of(words_of(t.as_py()))))
             keys = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["f", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["f", "a", "b"])
 
-    per = labelled.select("text", "toxic").mapInArrow(count, "f string, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per = labelled.select("text", "toxic").mapInArrow(count, "f binary, a long, b long").groupBy("f").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     term = lambda k, n, e: F.when(k > 0, k * F.log(k / n / e)).otherwise(F.lit(0.0))
     p = (a + b) / float(n1 + n0)
     rest = lambda k, n: F.when(k < n, (n - k) * F.log((n - k) / n / (1 - p))).otherwise(F.lit(0.0))
     ratio = 2 * (term(a, float(n1), p) + term(b, float(n0), p) + F.when(p < 1, rest(a, float(n1)) + rest(b, float(n0))).otherwise(F.lit(0.0)))
     best = per.filter(a + b >= LEAST_DOCS).withColumn("g", ratio).filter(F.col("g") > LEAST_RATIO).orderBy(F.desc("g"), "f").limit(FEATURES)
-    return [(r["f"], 1.0 if r["a"] / n1 > r["b"] / n0 else -1.0) for r in best.collect()]
+    return [(bytes(r["f"]), 1.0 if r["a"] / n1 > r["b"] / n0 else -1.0) for r in best.collect()]
 
 
 class LabelModel:
@@ -181,18 +201,22 @@ class LabelModel:
 class Classifier:
     """Logistic regression on sparse presence features: the votes, then the mined features."""
 
-    def __init__(self, voters: Voters, mined: list[tuple[str, float]]):
+    def __init__(self, voters: Voters, mined: list[tuple[bytes, float]]):
         self.voters, self.index = voters, {f: i + len(voters.names) for i, (f, _) in enumerate(mined)}
+        self.words = {f: i for f, i in self.index.items() if not f[:1].isdigit()}
+        self.begins = [{f[2:]: i for f, i in self.index.items() if f.startswith(b"%d:" % n)} for n in PREFIXES]
+        self.starts = frozenset(f[:4] for s in self.begins for f in s)
         self.w = np.zeros(len(voters.names) + len(mined))
         self.w[: len(LEXICONS)] = 4.0  # prior weights
         self.b = -3.0
 
     def row(self, text: str | None) -> tuple[int, list[int]]:
         words = words_of(text)
-        feats = features_of(words)
+        feats = features_of(words, self.starts)
         mask = self.voters.votes(text, words, feats)
         cols = [i for i in range(len(self.voters.names)) if mask >> i & 1]
-        return mask, cols + sorted(self.index[f] for f in feats.intersection(self.index))
+        more = [t[f] for t, s in zip((self.words, *self.begins), feats) for f in s.intersection(t)]
+        return mask, cols + sorted(more)
 
     def fit(self, rows: list[list[int]], target: np.ndarray, penalty: float = 0.5, steps: int = 400, rate: float = 0.1) -> "Classifier":
         """Adam on the full sample; the penalty draws the weights to their prior values."""
@@ -223,19 +247,26 @@ class Classifier:
 def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """docs(doc_id, text): the training side only; labels(doc_id, toxic)."""
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    labelled = stored(docs.join(given, "doc_id").select("doc_id", "text", "toxic"), "toxic-labelled")
+    # Both sides are dealt by doc_id at every size: how much moves then follows the input.
+    labelled = stored(docs.join(given.hint("merge"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"), "toxic-labelled")
     mined = mine(labelled)
     voters = Voters([f for f, sign in mined if sign > 0])
     blank = Classifier(voters, mined)
 
     def masks(batches):
         for b in batches:
-            ys = b.column("y").to_pylist()
-            seen = Counter((blank.row(t.as_py())[0], y) for t, y in zip(b.column("text"), ys))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.int64()), pa.array([y for _, y in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["mask", "y", "n"])
+            seen = Counter(blank.row(t.as_py())[0] for t in b.column("text"))
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["mask", "n"])
+
+    def sparse(batches):
+        for b in batches:
+            got = [blank.row(t.as_py()) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([k for k, _ in got], pa.int64()), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "mask", "cols"])
 
-    both = docs.select("text", F.lit(-1).alias("y")).unionByName(labelled.select("text", F.col("toxic").alias("y")))
-    counts = both.mapInArrow(masks, "mask long, y int, n long").groupBy("mask", "y").agg(F.sum("n").alias("n")).collect()
+    voted = stored(labelled.mapInArrow(sparse, "doc_id long, toxic int, mask long, cols array<int>"), "toxic-votes")
+    every = docs.select("text").mapInArrow(masks, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n"))
+    given_counts = voted.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n"))
+    counts = every.select("mask", F.lit(-1).alias("y"), "n").unionByName(given_counts.select("mask", F.col("toxic").alias("y"), "n")).collect()
     at = {k: i for i, k in enumerate(sorted({r["mask"] for r in counts}))}
     table = np.zeros((len(at), 3))
     for r in counts:
@@ -243,18 +274,11 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     model = LabelModel().fit(np.array(list(at), dtype=np.int64), np.maximum(0, table[:, 2] - table[:, :2].sum(1)), table[:, :2], len(voters.names)) if at else None
 
     # The bounded sample: by hash, up to half of it toxic.
-    n1, n = labelled.filter("toxic = 1").count(), labelled.count()
+    n1, n = voted.filter("toxic = 1").count(), voted.count()
     take1 = min(n1, fit_rows // 2)
     share = {1: take1 / n1 if n1 else 0.0, 0: min(1.0, (fit_rows - take1) / (n - n1)) if n > n1 else 0.0}
     u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    sample = labelled.filter(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0]))
-
-    def sparse(batches):
-        for b in batches:
-            got = [blank.row(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], pa.int64()), b.column("toxic"), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["mask", "toxic", "cols"])
-
-    rows = sample.select("text", "toxic").mapInArrow(sparse, "mask long, toxic int, cols array<int>").toArrow()
+    rows = voted.filter(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("mask", "toxic", "cols").toArrow()
     if model is not None and rows.num_rows:
         target = model.posterior(rows.column("mask").to_numpy(), rows.column("toxic").to_numpy())
         blank.fit(rows.column("cols").to_pylist(), target)
