@@ -80,16 +80,16 @@ class Data:
             if c == target:
                 continue
             if kind in ("numeric", "ordinal"):
-                made = [number(c).alias(c)]
+                made, own = [number(c)], [c]
             elif kind == "temporal":
-                made = [encode.pseudo_days(F.col(f"`{c}`").cast("string")).alias(c)]
+                made, own = [encode.pseudo_days(F.col(f"`{c}`").cast("string"))], [c]
             elif kind == "categorical":
-                made = [m.alias(f"{c}={v}") for v in (values := encode.vocabulary(df, c)) for m in encode.one_hot(F.col(f"`{c}`"), [v], c)]
-                assert values is not None
+                values = encode.vocabulary(df, c)
+                made, own = encode.one_hot(F.col(f"`{c}`"), values, c), [f"{c}={v}" for v in values]
             else:
                 continue
             cols += made
-            names += [c] if kind != "categorical" else [f"{c}={v}" for v in values]
+            names += own
         if kinds[target] == "categorical" and dict(df.dtypes)[target] == "string":
             classes = encode.vocabulary(df, target)
             y = encode.ordinal(F.col(f"`{target}`"), classes)

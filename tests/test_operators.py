@@ -45,7 +45,7 @@ def test_bins_and_quantize(spark):
 
 def test_discounted_returns_and_runs(spark):
     d = spark.createDataFrame([("a", k, 1.0) for k in range(3)], "g string, t int, r double")
-    assert rows(window.discounted(d, ["g"], ["t"], "r", 0.5), "t") == [("a", 0, 1.75), ("a", 1, 1.5), ("a", 2, 1.0)]
+    assert rows(window.discounted(d, ["g"], ["t"], "r", 0.5, "ret"), "t") == [("a", 0, 1.75), ("a", 1, 1.5), ("a", 2, 1.0)]
     e = spark.createDataFrame([("a", k, v) for k, v in enumerate([1, 1, 2, 3, 3, 3])], "g string, t int, x int")
     assert [r[2:] for r in rows(window.runs(e, ["g"], ["t"], "x"), "run")] == [(1, 2), (2, 1), (3, 3)]
 
