@@ -30,9 +30,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def _steady(spark: SparkSession) -> None:
+    """Keeps adaptive execution from replacing empty inputs of later jobs by empty relations: in Spark 4.1 describing such a plan to listeners
+    can overflow the stack. A rule that the session already excludes stays excluded."""
+    key, rule = "spark.sql.adaptive.optimizer.excludedRules", "org.apache.spark.sql.execution.adaptive.AQEPropagateEmptyRelation"
+    now = spark.conf.get(key, None) or ""
+    if rule not in now:
+        spark.conf.set(key, f"{now},{rule}" if now else rule)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it with its lineage cut; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
+    _steady(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -40,6 +50,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet under the shared checkpoint folder and reads it back; smaller than a checkpoint for wide tables."""
     import uuid
 
+    _steady(df.sparkSession)
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
