@@ -94,7 +94,9 @@ def _with_metrics(df: DataFrame, text: str, m: str) -> DataFrame:
         "n_bullet": F.size(F.filter(lines, lambda x: x.rlike("^[-*•]"))),
         "n_ellipsis": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)$"))),
     }
-    return df.select("*", F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]).alias(m + "c"))
+    # Unnested from an array of one, the counts are an output of their own: a filter on the verdict stops here. Below, it would
+    # be pushed through the projections above with their expressions copied into it once for each use.
+    return df.select("*", F.explode(F.array(F.struct(*[v.cast("long").alias(k) for k, v in counts.items()]))).alias(m + "c"))
 
 
 def metric_columns(c: Column) -> dict[str, Column]:
@@ -138,12 +140,8 @@ def flag_quality(df: DataFrame, text: str = "text", rules=RULES, out: str = "qua
 
 def keep_quality(df: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """The rows whose verdict is kept, with the columns of df."""
-    flag, held = "__quality_verdict", "__quality_held"
-    names = [F.col(f"`{c}`") for c in df.columns]
-    # Unnested from an array of one, the verdict is an output of its own; as a plain column the filter would be pushed below
-    # the projections, with their expressions copied into it once for each use.
-    flagged = flag_quality(df, text, rules, flag).select(*names, F.explode(F.array(F.col(flag)["kept"])).alias(held))
-    return flagged.filter(held).select(*names)
+    flag = "__quality_verdict"
+    return flag_quality(df, text, rules, flag).filter(F.col(flag)["kept"]).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
