@@ -22,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,14 +126,11 @@ def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
             d = lzma.LZMADecompressor(memlimit=256 << 20)
             return d.decompress(raw, MAX_LAYER), not d.eof
         if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-
             with zstandard.ZstdDecompressor().stream_reader(raw) as r:
                 out = r.read(MAX_LAYER)
                 return out, bool(r.read(1))
-    except Exception as error:  # damaged data of any of the five libraries
-        if isinstance(error, MemoryError):
-            raise
+    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):  # damaged data
+        pass
     return None, False
 
 

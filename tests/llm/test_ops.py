@@ -301,3 +301,17 @@ def test_label_model_finds_accuracies():
     p = model.posterior(masks, np.full(20_000, -1))
     assert ((p > 0.5) == y).mean() > 0.97 and abs(model.prior - 0.2) < 0.05
     assert model.parent[5] == 0 or model.parent[0] == 5
+
+
+def test_damaged_archives_are_passed_over():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    sec = b"token=abcdefgh12345678 " * 3
+    whole = [gzip.compress(sec), zlib.compress(sec), bz2.compress(sec), lzma.compress(sec), zstandard.compress(sec)]
+    for raw in whole:
+        assert secret_scan.scan(base64.b64encode(raw).decode())[1]
+        for bad in (raw[:10], raw[:6] + b"\xff" * 20 + raw[26:]):
+            secret_scan.scan(base64.b64encode(bad).decode())
