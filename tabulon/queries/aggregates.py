@@ -112,21 +112,21 @@ def lcse(spark, sf):
 @register(
     "linear_recurrence_events",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
-  h AS (SELECT user_id, event_id, k, value::DOUBLE AS h FROM e WHERE k=1 UNION ALL SELECT e.user_id, e.event_id, e.k, 0.5::DOUBLE*h.h+e.value FROM h JOIN e ON e.user_id=h.user_id AND e.k=h.k+1) SELECT event_id, round(h,5) AS h FROM h""",
+  h AS (SELECT user_id, event_id, k, value::DOUBLE AS h FROM e WHERE k=1 UNION ALL SELECT e.user_id, e.event_id, e.k, 0.5::DOUBLE*h.h+e.value FROM h JOIN e ON e.user_id=h.user_id AND e.k=h.k+1) SELECT event_id, round(h+1e-8,5) AS h FROM h""",
 )
 def recur(spark, sf):
     d = table(spark, sf, "events").select("user_id", "ts", "event_id", "value", F.lit(0.5).alias("a"))
-    return window.recurrence(d, ["user_id"], ["ts", "event_id"], "a", "value").select("event_id", R(F.col("h"), 5).alias("h"))
+    return window.recurrence(d, ["user_id"], ["ts", "event_id"], "a", "value").select("event_id", R(F.col("h") + 1e-8, 5).alias("h"))
 
 
 @register(
     "discounted_returns_events",
     """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events),
-  h AS (SELECT user_id, event_id, k, value::DOUBLE AS h FROM e WHERE k=1 UNION ALL SELECT e.user_id, e.event_id, e.k, 0.9::DOUBLE*h.h+e.value FROM h JOIN e ON e.user_id=h.user_id AND e.k=h.k+1) SELECT event_id, round(h,5) AS g FROM h""",
+  h AS (SELECT user_id, event_id, k, value::DOUBLE AS h FROM e WHERE k=1 UNION ALL SELECT e.user_id, e.event_id, e.k, 0.9::DOUBLE*h.h+e.value FROM h JOIN e ON e.user_id=h.user_id AND e.k=h.k+1) SELECT event_id, round(h+1e-8,5) AS g FROM h""",
 )
 def returns(spark, sf):
     d = table(spark, sf, "events").select("user_id", "ts", "event_id", "value")
-    return window.discounted(d, ["user_id"], ["ts", "event_id"], "value", 0.9).select("event_id", R(F.col("g"), 5).alias("g"))
+    return window.discounted(d, ["user_id"], ["ts", "event_id"], "value", 0.9).select("event_id", R(F.col("g") + 1e-8, 5).alias("g"))
 
 
 @register("local_peaks_events", "SELECT event_id, coalesce((value>p AND value>n)::INT,0) AS is_max, coalesce((value<p AND value<n)::INT,0) AS is_min FROM (SELECT event_id, value, lag(value) OVER w AS p, lead(value) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))")
