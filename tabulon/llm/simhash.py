@@ -26,6 +26,8 @@ SHINGLE, SEED = 3, 42
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 _BLOCK = 1 << 16
+#: Candidate pairs that are made at once.
+_PAIRS = 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -128,6 +130,46 @@ def _choose(n: int, k: int) -> int:
     return comb(n, k)
 
 
+def _across(loose: int):
+    """Pairs (a, b) of all texts of one bucket that lie in different groups and whose heads differ in at most `loose` bits. Rows come sorted by
+    bucket, group and id; a bucket may span batches."""
+
+    def pairs(x, g, ids, head):
+        n = len(x)
+        ends = np.append(np.flatnonzero((x[1:] != x[:-1]) | (g[1:] != g[:-1])) + 1, n)
+        group_end = np.repeat(ends, np.diff(ends, prepend=0))
+        ends = np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, n)
+        counts = np.repeat(ends, np.diff(ends, prepend=0)) - group_end
+        total, at = np.cumsum(counts), 0
+        while at < n:
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
+            c = counts[at:stop]
+            left = np.repeat(np.arange(at, stop), c)
+            right = np.arange(len(left)) + np.repeat(group_end[at:stop] - (np.cumsum(c) - c), c)
+            near = np.bitwise_count((head[left] ^ head[right]).view(np.uint64)) <= loose
+            a, b = ids[left[near]], ids[right[near]]
+            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            at = stop
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [batch.column(c).to_numpy() for c in ("x", "g", "id", "head")]
+            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
+            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if last:
+                yield from pairs(*(r[:last] for r in rows))
+            held = [r[last:] for r in rows]
+        if held is not None:
+            yield from pairs(*held)
+
+    return run
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id, component_id for every document that is linked to another, by an estimated similarity over the wide fingerprint of at least `similarity`.
 
@@ -156,22 +198,29 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(first), pa.array(values.tolist(), pa.list_(pa.int64()))], names=["id", "head", "v"])
 
     parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>").select("id", "head", F.posexplode("v").alias("t", "v"))
-    flips = F.array(*[F.lit(0).cast("long")], *[F.lit(1 << k).cast("long") for k in range(bits)])
-    keyed = parts.select("id", "head", "t", F.explode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("x"))
-    # In a bucket, texts of one group lie next to each other by the head of their fingerprints.
-    order = Window.partitionBy("t", "x").orderBy("head", "id")
-    met = keyed.select("id", "head", *[F.lag(c, k).over(order).alias(f"{c}{k}") for k in (1, 2) for c in ("id", "head")])
     share = differing_share(similarity) + 0.7 * (0.25 / (64 * WIDE)) ** 0.5
-    pairs = met.select("id", "head", F.explode(F.array(*[F.struct(F.col(f"id{k}").alias("o"), F.col(f"head{k}").alias("h")) for k in (1, 2)])).alias("p"))
     # A first, loose check on one word (over three standard deviations beyond the threshold), then the whole fingerprint.
     loose = int(64 * share + 3.5 * (64 * share * (1 - share)) ** 0.5)
-    pairs = pairs.filter(F.col("p.o").isNotNull() & (F.bit_count(F.col("head").bitwiseXOR(F.col("p.h"))) <= loose))
-    pairs = pairs.select(F.least("id", "p.o").alias("a"), F.greatest("id", "p.o").alias("b")).distinct()
     wide = classes.select("id", "wide")
-    both = pairs.join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
     word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
     apart = sum((F.bit_count(word("wa", k).bitwiseXOR(word("wb", k))) for k in range(WIDE)), F.lit(0))
-    links = both.filter(apart <= int(64 * WIDE * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        both = pairs.distinct().join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
+        return both.filter(apart <= int(64 * WIDE * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    # Texts with an equal slice are linked to the next by the head of their fingerprints, which gathers large groups; then every
+    # bucket pairs all its texts of different groups, so nothing is left out and no group is paired with itself.
+    order = Window.partitionBy("t", "v").orderBy("head", "id")
+    met = parts.select("id", "head", F.lag("id").over(order).alias("o"), F.lag("head").over(order).alias("h")).filter(F.col("o").isNotNull() & (F.col("o") != F.col("id")))
+    met = met.filter(F.bit_count(F.col("head").bitwiseXOR(F.col("h"))) <= loose)
+    groups = cut(components(linked(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")))))
+    flips = F.array(*[F.lit(0).cast("long")], *[F.lit(1 << k).cast("long") for k in range(bits)])
+    grouped = parts.join(groups, F.col("id") == F.col("node"), "left").select("id", "head", F.coalesce("component", "id").alias("g"), "t", "v")
+    keyed = grouped.select("t", "g", "id", "head", F.explode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("x"))
+    keyed = keyed.select((F.col("t").cast("long") * F.lit(1 << 40) + F.col("x")).alias("x"), "g", "id", "head")
+    met = keyed.repartition("x").sortWithinPartitions("x", "g", "id").mapInArrow(_across(loose), "a long, b long")
+    links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met))
     found = components(links)
     named = classes.join(found, F.col("id") == F.col("node"), "left").select("wide", F.coalesce("component", "id").alias("component_id"))
     return docs.join(named, "wide").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

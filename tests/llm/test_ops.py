@@ -142,6 +142,23 @@ def test_near_duplicates_found_and_others_left(spark, none):
     assert simhash.drop_near(none).count() == 0
 
 
+def test_near_copies_in_a_family_are_paired(spark):
+    """Texts of one template crowd the buckets; planted copies are found all the same."""
+    rng = np.random.default_rng(11)
+    word = lambda: f"v{rng.integers(0, 1 << 30)}"
+    template = [word() for _ in range(204)]
+    rows = []
+    for k in range(4000):
+        rows.append((k, " ".join(template[:140] + [word() for _ in range(64)])))
+    for k in range(0, 4000, 40):
+        w = rows[k][1].split(" ")
+        for at in (145, 165, 185):
+            w[at] = word()
+        rows.append((10_000 + k, " ".join(w)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[10_000 + k] == got[k] for k in range(0, 4000, 40)) >= 98
+
+
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|>", "<\\|x", "<\\\\|im_start|>\n", "a|b<", None, "", "%0A%25"]
     data = [(1, k, ["user", "assistant", None, "a\nb"][k % 4], t) for k, t in enumerate(tricky)] + [(None, 0, "user", "x"), (2, 0, "user", "tie"), (2, 0, "user", "tie"), (2, None, "system", "first")]
