@@ -86,22 +86,22 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 # Similarity thresholds far beyond two bits: several short fingerprints, each searched by the same ball hashing.
 
-#: Words of 64 bits in a wide fingerprint, and the share of pairs at the threshold that the tables may miss.
+#: Least words of 64 bits in a wide fingerprint, and the share of pairs at the threshold that the tables may miss.
 WIDE, MISS = 8, 0.01
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 
-def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
-    """WIDE fingerprints of one text from differently mixed hashes of the same shingles."""
+def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED, width: int = WIDE) -> np.ndarray:
+    """`width` fingerprints of one text from differently mixed hashes of the same shingles."""
     words = (text or "").encode().translate(_TABLE).split()
     if not words:
-        return np.zeros(WIDE, dtype=np.uint64)
+        return np.zeros(width, dtype=np.uint64)
     n = max(1, len(words) - shingle + 1)
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n)
-    counts = np.zeros((WIDE, 64), dtype=np.int64)
+    counts = np.zeros((width, 64), dtype=np.int64)
     for at in range(0, n, _BLOCK):
-        for k in range(WIDE):
+        for k in range(width):
             with np.errstate(over="ignore"):
                 x = (hashes[at : at + _BLOCK] + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)
                 x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -121,7 +121,12 @@ def plan_tables(n: int, similarity: float, miss: float = MISS) -> tuple[int, int
     p = differing_share(similarity)
     bits = int(np.clip(np.ceil(np.log2(max(n, 2))) + 5, 16, 40))
     near = sum(float(_choose(bits, k)) * p**k * (1 - p) ** (bits - k) for k in range(3))
-    return min(int(np.ceil(np.log(miss) / np.log(1 - near))), 64 * WIDE // bits), bits
+    return int(np.ceil(np.log(miss) / np.log(1 - near))), bits
+
+
+def plan_width(tables: int, bits: int) -> int:
+    """Words of 64 bits that the tables need, WIDE at least."""
+    return max(WIDE, -(-tables * bits // 64))
 
 
 def _choose(n: int, k: int) -> int:
@@ -177,37 +182,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     from pyspark.sql import Window
 
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
+    tables, bits = plan_tables(src.count(), similarity)
+    width = plan_width(tables, bits)
 
     def run(batches):
         for b in batches:
-            got = [wide_fingerprint(t.as_py(), shingle) for t in b.column("text")]
+            got = [wide_fingerprint(t.as_py(), shingle, width=width) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([w.tobytes() for w in got], pa.binary()), pa.array([bool(w.any()) for w in got])], names=["doc_id", "wide", "any"])
 
     docs = cut(src.mapInArrow(run, "doc_id long, wide binary, any boolean").filter("any").select("doc_id", "wide"))
     classes = cut(docs.groupBy("wide").agg(F.min("doc_id").alias("id")))
-    n = classes.count()
-    tables, bits = plan_tables(n, similarity)
 
     def slices(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
         for b in batches:
-            raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), dtype=np.uint8).reshape(-1, 8 * WIDE)
+            raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), dtype=np.uint8).reshape(-1, 8 * width)
             flat = np.unpackbits(raw, axis=1, bitorder="little")[:, : tables * bits].reshape(-1, tables, bits).astype(np.int64)
             values = (flat * weights).sum(axis=2)
             first = raw[:, :8].copy().view("<i8").reshape(-1)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(first), pa.array(values.tolist(), pa.list_(pa.int64()))], names=["id", "head", "v"])
 
     parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>").select("id", "head", F.posexplode("v").alias("t", "v"))
-    share = differing_share(similarity) + 0.7 * (0.25 / (64 * WIDE)) ** 0.5
+    share = differing_share(similarity) + 0.7 * (0.25 / (64 * width)) ** 0.5
     # A first, loose check on one word (over three standard deviations beyond the threshold), then the whole fingerprint.
     loose = int(64 * share + 3.5 * (64 * share * (1 - share)) ** 0.5)
     wide = classes.select("id", "wide")
     word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
-    apart = sum((F.bit_count(word("wa", k).bitwiseXOR(word("wb", k))) for k in range(WIDE)), F.lit(0))
+    apart = sum((F.bit_count(word("wa", k).bitwiseXOR(word("wb", k))) for k in range(width)), F.lit(0))
 
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
-        return both.filter(apart <= int(64 * WIDE * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        return both.filter(apart <= int(64 * width * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     # Texts with an equal slice are linked to the next by the head of their fingerprints, which gathers large groups; then every
     # bucket pairs all its texts of different groups, so nothing is left out and no group is paired with itself.

@@ -159,6 +159,16 @@ def test_near_copies_in_a_family_are_paired(spark):
     assert sum(got[10_000 + k] == got[k] for k in range(0, 4000, 40)) >= 98
 
 
+def test_near_duplicate_tables_keep_the_miss_rate():
+    p = simhash.differing_share(simhash.NEAR_SIMILARITY)
+    for n in (1_000, 10**6, 4 * 10**6, 10**8, 10**9):
+        tables, bits = simhash.plan_tables(n, simhash.NEAR_SIMILARITY)
+        hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
+        assert (1 - hit) ** tables <= simhash.MISS
+        width = simhash.plan_width(tables, bits)
+        assert 64 * width >= tables * bits and len(simhash.wide_fingerprint("a b c d e f g", width=width)) == width
+
+
 def test_chat_round_trip(spark):
     tricky = ["<|im_end|>", "<\\|x", "<\\\\|im_start|>\n", "a|b<", None, "", "%0A%25"]
     data = [(1, k, ["user", "assistant", None, "a\nb"][k % 4], t) for k, t in enumerate(tricky)] + [(None, 0, "user", "x"), (2, 0, "user", "tie"), (2, 0, "user", "tie"), (2, None, "system", "first")]
