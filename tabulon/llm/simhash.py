@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.graph import components
-from tabulon.session import cut
+from tabulon.session import cut, stored
 
 SHINGLE, SEED = 3, 42
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -91,14 +91,17 @@ WIDE, MISS = 8, 0.01
 NEAR_SHINGLE, NEAR_SIMILARITY = 5, 0.8
 
 
-def wide_fingerprint(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED, width: int = WIDE) -> np.ndarray:
-    """`width` fingerprints of one text from differently mixed hashes of the same shingles."""
+def shingle_set(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The sorted, distinct hashes of a text's shingles; none for a text without words."""
     words = (text or "").encode().translate(_TABLE).split()
-    if not words:
-        return np.zeros(width, dtype=np.uint64)
-    n = max(1, len(words) - shingle + 1)
+    n = max(1, len(words) - shingle + 1) if words else 0
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n)
+    return np.unique(np.fromiter((digest(b" ".join(words[i : i + shingle]), seed) for i in range(n)), dtype="<u8", count=n))
+
+
+def wide_fingerprint(hashes: np.ndarray, width: int = WIDE) -> np.ndarray:
+    """`width` fingerprints of one shingle set from differently mixed hashes of the same shingles."""
+    n = len(hashes)
     counts = np.zeros((width, 64), dtype=np.int64)
     for at in range(0, n, _BLOCK):
         for k in range(width):
@@ -176,7 +179,8 @@ def _across(loose: int):
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
-    """doc_id, component_id for every document that is linked to another, by an estimated similarity over the wide fingerprint of at least `similarity`.
+    """doc_id, component_id for every document with words. Documents are linked whose sets of `shingle` words have a Jaccard similarity of at
+    least `similarity`: the fingerprints name the candidates, the sets decide.
 
     Rows of one doc_id are one document; null ids and texts without words are linked to nothing."""
     from pyspark.sql import Window
@@ -187,11 +191,13 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for b in batches:
-            got = [wide_fingerprint(t.as_py(), shingle, width=width) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([w.tobytes() for w in got], pa.binary()), pa.array([bool(w.any()) for w in got])], names=["doc_id", "wide", "any"])
+            sets = [shingle_set(t.as_py(), shingle) for t in b.column("text")]
+            same = [xxhash.xxh3_128_digest(x.tobytes()) if len(x) else None for x in sets]
+            wide = [wide_fingerprint(x, width).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "same", "wide"])
 
-    docs = cut(src.mapInArrow(run, "doc_id long, wide binary, any boolean").filter("any").select("doc_id", "wide"))
-    classes = cut(docs.groupBy("wide").agg(F.min("doc_id").alias("id")))
+    docs = cut(src.mapInArrow(run, "doc_id long, same binary, wide binary").filter("same is not null"))
+    classes = cut(docs.groupBy("same", "wide").agg(F.min("doc_id").alias("id")))
 
     def slices(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -203,16 +209,28 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(first), pa.array(values.tolist(), pa.list_(pa.int64()))], names=["id", "head", "v"])
 
     parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>").select("id", "head", F.posexplode("v").alias("t", "v"))
-    share = differing_share(similarity) + 0.7 * (0.25 / (64 * width)) ** 0.5
-    # A first, loose check on one word (over three standard deviations beyond the threshold), then the whole fingerprint.
-    loose = int(64 * share + 3.5 * (64 * share * (1 - share)) ** 0.5)
+    # Bits may differ in 4.5 standard deviations more than at the threshold, in one word and then in the whole fingerprint.
+    share = differing_share(similarity)
+    most = lambda n: int(n * share + 4.5 * (n * share * (1 - share)) ** 0.5)
+    loose = most(64)
     wide = classes.select("id", "wide")
     word = lambda c, k: F.conv(F.hex(F.substring(c, 8 * k + 1, 8)), 16, -10).cast("long")
     apart = sum((F.bit_count(word("wa", k).bitwiseXOR(word("wb", k))) for k in range(width)), F.lit(0))
 
+    def sets(batches):
+        for b in batches:
+            got = [shingle_set(t.as_py(), shingle).view(np.int64) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.list_(pa.int64()))], names=["id", "s"])
+
     def linked(pairs: DataFrame) -> DataFrame:
         both = pairs.distinct().join(wide.select(F.col("id").alias("a"), F.col("wide").alias("wa")), "a").join(wide.select(F.col("id").alias("b"), F.col("wide").alias("wb")), "b")
-        return both.filter(apart <= int(64 * width * share)).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        near = cut(both.filter(apart <= most(64 * width)).select("a", "b").distinct())
+        used = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        texts = stored(src.join(used, "doc_id", "left_semi").mapInArrow(sets, "id long, s array<bigint>"), "near-sets")
+        both = near.join(texts.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        alike = shared / (F.size("sa") + F.size("sb") - shared) >= similarity
+        return both.filter(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
     # Texts with an equal slice are linked to the next by the head of their fingerprints, which gathers large groups; then every
     # bucket pairs all its texts of different groups, so nothing is left out and no group is paired with itself.
@@ -227,8 +245,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = keyed.repartition("x").sortWithinPartitions("x", "g", "id").mapInArrow(_across(loose), "a long, b long")
     links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met))
     found = components(links)
-    named = classes.join(found, F.col("id") == F.col("node"), "left").select("wide", F.coalesce("component", "id").alias("component_id"))
-    return docs.join(named, "wide").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = classes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
+    return docs.join(named, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -166,7 +166,29 @@ def test_near_duplicate_tables_keep_the_miss_rate():
         hit = sum(math.comb(bits, k) * p**k * (1 - p) ** (bits - k) for k in range(3))
         assert (1 - hit) ** tables <= simhash.MISS
         width = simhash.plan_width(tables, bits)
-        assert 64 * width >= tables * bits and len(simhash.wide_fingerprint("a b c d e f g", width=width)) == width
+        assert 64 * width >= tables * bits and len(simhash.wide_fingerprint(np.arange(9, dtype=np.uint64), width=width)) == width
+
+
+def test_near_duplicates_are_verified(spark):
+    """Pairs under the threshold stay, as do texts that one repeated phrase makes alike in their bits only."""
+    rng = np.random.default_rng(4)
+    word = lambda: f"v{rng.integers(0, 1 << 30)}"
+    rows, alike = [], {}
+    for k in range(300):
+        w = [word() for _ in range(204)]
+        other = w.copy()
+        for at in range(10, 10 + 6 * (3 + k % 4), 6):
+            other[at] = word()
+        rows += [(k, " ".join(w)), (1000 + k, " ".join(other))]
+        a, b = ({tuple(x[i : i + 5]) for i in range(200)} for x in (w, other))
+        alike[1000 + k] = len(a & b) / len(a | b)
+    phrase = "one two three four five " * 400
+    rows += [(2000 + k, phrase + " ".join(word() for _ in range(30))) for k in range(5)]
+    left = {r[0] for r in simhash.drop_near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {2000, 2001, 2002, 2003, 2004} <= left
+    assert all(i in left for i, x in alike.items() if x < 0.8)
+    near = [i for i, x in alike.items() if x >= 0.8]
+    assert sum(i not in left for i in near) >= 0.99 * len(near) > 100
 
 
 def test_chat_round_trip(spark):
