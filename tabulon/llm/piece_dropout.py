@@ -2,12 +2,12 @@
 
 The vocabulary is a byte-fallback BPE model, read on the driver; its pieces (bounded by the vocabulary) are broadcast. Encoding runs
 the merge agenda: of all adjacent pairs that form a piece, the one with the best score, leftmost first, is merged, until none is
-left. With dropout, a candidate merge that comes up is skipped when a keyed hash of (seed, variant, unit, position, piece) falls below the rate, and
-stays skipped; without it the result is the model's own segmentation. Every occurrence of a unit draws one of VARIANTS variants
-by a keyed hash of seed, document and place, so a text is cut in varied ways, and the same way on every rerun.
+left. With dropout, each candidate merge that comes up is skipped with the rate's probability, and
+stays skipped; without it the result is the model's own segmentation. Every occurrence of a unit draws for itself, by keyed hashes of seed, document
+and place: the numbers of candidates between skips follow the geometric law. A text is cut in varied ways, and the same way on every rerun.
 
 No piece joins a character to a space that follows it, or letters to other characters, so a text is cut there into units, each encoded by itself and remembered
-in tables of at most twice CACHE entries. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
+in tables of at most twice CACHE entries, by which of its candidates are skipped. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
 pieces; decoding therefore gives back every text exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. Rows that repeat id and text are cut alike. A null id counts as an
@@ -20,6 +20,7 @@ import re
 import sys
 import types
 from array import array
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
-RATE, SEED, VARIANTS = 0.1, 20_25, 4
+RATE, SEED = 0.1, 20_25
 CACHE = 500_000
 #: Characters of text that are cut together, and the longest unit that takes part in the joint agenda.
 SLICE, LONGEST = 2 << 20, 24
@@ -37,6 +38,8 @@ SPACE = "▁"
 #: Stands for a U+2581 of the text itself; no piece contains it, so it never merges.
 LITERAL = "\0▁"
 NEVER = float("-inf")
+#: A unit of n characters has at most 3 * (n - 1) candidates; for units up to MASKED characters the skipped ones fit 63 bits.
+MASKED = 22
 
 
 def load_pieces(path: str = TOKENIZER) -> dict:
@@ -62,25 +65,33 @@ def load_pieces(path: str = TOKENIZER) -> dict:
 
 
 class Memo:
-    """Remembers units' pieces, a table per variant, in two generations of at most CACHE entries each; what is used again moves to the younger one."""
+    """Remembers units without skips (pieces, number of candidates) and with them (pieces by unit and mask), in two generations of at most CACHE
+    entries each; what is used again moves to the younger one."""
 
     def __init__(self):
-        self.young: dict[int, dict] = {}
-        self.old: dict[int, dict] = {}
+        self.young: dict = {}
+        self.old: dict = {}
+        self.young_cut: dict = {}
+        self.old_cut: dict = {}
 
     def turn(self) -> None:
-        if sum(map(len, self.young.values())) > CACHE:
-            self.young, self.old = {}, self.young
+        if len(self.young) + len(self.young_cut) > CACHE:
+            self.young, self.old, self.young_cut, self.old_cut = {}, self.young, {}, self.young_cut
 
 
 class Codec:
     """Encodes and decodes with the given pieces."""
 
-    def __init__(self, vocab: dict, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, vocab: dict, rate: float = RATE, seed: int = SEED):
         self.ids, self.byte_ids = vocab["ids"], vocab["bytes"]
         self.scores = [*vocab["scores"], NEVER]
-        self.seed, self.variants = seed, variants if rate > 0 else 1
-        self.limit = int(rate * (1 << 32))
+        self.seed, self.rate = seed, rate
+        # A 32-bit draw below the j-th bound stands for j candidates or more before the next skip.
+        bounds, left = [], 1 - rate
+        while rate > 0 and (left * (1 << 32) >= 1 or not bounds):
+            bounds.append(int(left * (1 << 32)))
+            left *= 1 - rate
+        self.bounds = np.array(bounds[::-1], dtype=np.uint64)
         self.pair_keys, self.pair_ids = vocab["pairs"]
         self.score_array = np.array(self.scores, dtype=np.float32)  # [-1] is NEVER
         self.char_ids = np.full(0x110000, -1, dtype=np.int32)
@@ -101,9 +112,9 @@ class Codec:
         for i, b in self.byte_of.items():
             self.out[i] = bytes([b])
 
-    def merge(self, unit: str, variant: int) -> bytes:
-        """The ids of one unit's pieces, as 32-bit integers."""
-        get, scores, limit = self.ids.get, self.scores, self.limit
+    def merge(self, unit: str, skips=frozenset()) -> tuple[bytes, int]:
+        """The ids of one unit's pieces, as 32-bit integers, and how many candidates came up; those whose number is in skips are skipped."""
+        get, scores, step = self.ids.get, self.scores, 0
         if SPACE in unit:
             parts = [SPACE if c == " " else LITERAL if c == SPACE else c for c in unit]
             joined = [get(a + b, -1) for a, b in zip(parts, parts[1:])]
@@ -112,20 +123,17 @@ class Codec:
             parts = list(marked)
             joined = [get(marked[i : i + 2], -1) for i in range(len(parts) - 1)]
         rank = [scores[x] for x in joined]  # scores[-1] is NEVER
-        start = list(range(len(parts)))
-        key = xxhash.xxh64_intdigest(unit.encode(), self.seed) ^ (variant * 0xD1B54A32D192ED03)
         while rank:
             best = max(rank)
             if best == NEVER:
                 break
             at = rank.index(best)  # the leftmost of equals
-            if limit:
-                h = ((key ^ (start[at] * 0x9E3779B97F4A7C15 + joined[at] * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF
-                if (((h ^ (h >> 32)) * 0xD6E8FEB86659FD93) & 0xFFFFFFFFFFFFFFFF) >> 32 < limit:
-                    rank[at] = NEVER
-                    continue
+            step += 1
+            if step - 1 in skips:
+                rank[at] = NEVER
+                continue
             here = parts[at] = parts[at] + parts[at + 1]
-            del parts[at + 1], start[at + 1], joined[at], rank[at]
+            del parts[at + 1], joined[at], rank[at]
             if at:
                 x = joined[at - 1] = get(parts[at - 1] + here, -1)
                 rank[at - 1] = scores[x]
@@ -138,7 +146,7 @@ class Codec:
             for p in parts:
                 x = get(p, -1)
                 out += [x] if x >= 0 else [self.byte_ids[b] for b in p.replace(LITERAL, SPACE).encode()]
-        return array("i", out).tobytes()
+        return array("i", out).tobytes(), step
 
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of pieces makes, -1 for none."""
@@ -146,8 +154,8 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
 
-    def merge_many(self, units: list[tuple[str, int]]) -> list[bytes]:
-        """merge() of many (unit, variant) at once: all agendas advance by one candidate a round.
+    def merge_many(self, units: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
+        """merge() of many (unit, mask of skipped candidates) at once: all agendas advance by one candidate a round.
 
         Parts are linked positions of a matrix. Units over LONGEST characters, or with characters that have no piece, go one by one."""
         out: list = [None] * len(units)
@@ -156,7 +164,8 @@ class Codec:
         first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
         fit = (sizes >= 2) & (sizes <= LONGEST) & (np.minimum.reduceat(chars, first) >= 0 if len(units) else True)
         for i in np.nonzero(~fit)[0]:
-            out[i] = self.merge(*units[i])
+            u, mask = units[i]
+            out[i] = self.merge(u, {k for k in range(mask.bit_length()) if mask >> k & 1})
         rows = np.nonzero(fit)[0]
         if not len(rows):
             return out
@@ -172,20 +181,20 @@ class Codec:
         before = np.tile(cols - 1, (n, 1))
         before = np.concatenate([before, np.full((n, 1), -1)], axis=1)
         alive = inside.copy()
-        mult, c1, c2 = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-        keys = np.array([xxhash.xxh64_intdigest(units[i][0].encode(), self.seed) ^ (units[i][1] * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF) for i in rows], dtype=np.uint64)
+        masks, came = np.array([units[i][1] for i in rows], dtype=np.uint64), np.zeros(n, dtype=np.int64)
+        some = bool(masks.any())
         act = np.arange(n)
         while len(act):
             at = rank[act].argmax(axis=1)
             go = rank[act, at] != NEVER
             act, at = act[go], at[go]
-            if self.limit and len(act):
-                with np.errstate(over="ignore"):
-                    h = (keys[act] ^ (at.astype(np.uint64) * c1 + joined[act, at].astype(np.uint64) * c2)) * mult
-                    skip = ((h ^ (h >> np.uint64(32))) * mult) >> np.uint64(32) < np.uint64(self.limit)
+            if some:
+                skip = ((masks[act] >> np.minimum(came[act], 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+                came[act] += 1
                 rank[act[skip], at[skip]] = NEVER
                 r, p = act[~skip], at[~skip]
             else:
+                came[act] += 1
                 r, p = act, at
             q = after[r, p]
             z, o = after[r, np.minimum(q, width - 1)], before[r, p]
@@ -202,48 +211,89 @@ class Codec:
             joined[r, o], rank[r, o] = x, self.score_array[x]
         flat, ends = part[:, :width][alive], np.cumsum(alive.sum(axis=1)) * 4
         raw, start = flat.tobytes(), 0
-        for i, e in zip(rows.tolist(), ends.tolist()):
-            out[i] = raw[start:e]
+        for i, e, c in zip(rows.tolist(), ends.tolist(), came.tolist()):
+            out[i] = raw[start:e], c
             start = e
         return out
 
     def encode_many(self, texts: list[str | None], keys: list[str], memo: Memo) -> list[np.ndarray]:
         """Piece ids of each text; keys name the documents."""
         memo.turn()
-        found, units_of, draws_of, missing = [], [], [], {}
-        gets = [memo.young.setdefault(v, {}).get for v in range(self.variants)]
-        for t, k in zip(texts, keys):
-            units = self.units.findall(" " + t) if t else []
-            draws = self._draws(k, len(units))
-            got = [gets[v](u) for u, v in zip(units, draws)]
-            if None in got:
-                missing.update(((units[i], draws[i]), None) for i, x in enumerate(got) if x is None)
-            found.append(got)
-            units_of.append(units)
-            draws_of.append(draws)
+        units_of = [self.units.findall(" " + t) if t else [] for t in texts]
+        sizes = [len(u) for u in units_of]
+        units = list(chain.from_iterable(units_of))
+        got = self._known(units, memo.young, memo.old, lambda fresh: self.merge_many([(u, 0) for u in fresh]))
+        if self.rate > 0 and units:
+            came = np.array([c for _, c in got])
+            places = np.concatenate([np.arange(n) for n in sizes])
+            states = self._states(keys, sizes, places)
+            skip, states = self._gaps(states)
+            at = np.nonzero(skip < came)[0]
+            skip, states = skip[at], states[at]
+            short = np.array([len(units[i]) <= MASKED for i in at.tolist()], dtype=bool)
+            for i, first, state in zip(at[~short].tolist(), skip[~short].tolist(), states[~short]):
+                got[i] = self.merge(units[i], self._skips(first, state, len(units[i])))
+            at, skip, states = at[short], skip[short], states[short]
+            mask = np.zeros(len(at), dtype=np.uint64)
+            # What comes up after a skip depends on it, so each round adds one skip to those that have another.
+            while len(at):
+                mask |= np.uint64(1) << skip.astype(np.uint64)
+                pairs = [(units[i], m) for i, m in zip(at.tolist(), mask.tolist())]
+                cut = self._known(pairs, memo.young_cut, memo.old_cut, self.merge_many)
+                for i, x in zip(at.tolist(), cut):
+                    got[i] = x
+                gap, states = self._gaps(states)
+                skip = skip + 1 + gap
+                go = skip < np.array([c for _, c in cut])
+                at, skip, states, mask = at[go], skip[go], states[go], mask[go]
+        pieces, out, a = [x for x, _ in got], [], 0
+        for n in sizes:
+            out.append(np.frombuffer(b"".join(pieces[a : a + n]), dtype=np.int32))
+            a += n
+        return out
+
+    @staticmethod
+    def _known(wanted: list, young: dict, old: dict, make) -> list:
+        """The remembered result of each of wanted; make() gives those of a list of new ones."""
+        get = young.get
+        got = [get(p) for p in wanted]
+        if None not in got:
+            return got
         fresh = []
-        for p in missing:
-            x = memo.old.get(p[1], {}).get(p[0])
+        for p in dict.fromkeys(p for p, x in zip(wanted, got) if x is None):
+            x = old.get(p)
             if x is None:
                 fresh.append(p)
             else:
-                memo.young[p[1]][p[0]] = x
-        for (u, v), x in zip(fresh, self.merge_many(fresh)):
-            memo.young[v][u] = x
-        out = []
-        for got, units, draws in zip(found, units_of, draws_of):
-            if None in got:
-                got = [gets[v](u) if x is None else x for x, u, v in zip(got, units, draws)]
-            out.append(np.frombuffer(b"".join(got), dtype=np.int32))
-        return out
+                young[p] = x
+        young.update(zip(fresh, make(fresh)))
+        return [get(p) if x is None else x for p, x in zip(wanted, got)]
 
-    def _draws(self, key: str, n: int) -> list[int]:
-        if self.variants == 1:
-            return [0] * n
-        base = np.uint64(xxhash.xxh64_intdigest(key.encode(), self.seed))
+    def _gaps(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of candidates before the next skip, next states): one more draw of each state."""
         with np.errstate(over="ignore"):
-            h = (np.arange(n, dtype=np.uint64) + base) * np.uint64(0x9E3779B97F4A7C15)
-        return ((h >> np.uint64(40)) % np.uint64(self.variants)).tolist()
+            state = state + np.uint64(0x9E3779B97F4A7C15)
+            h = (state ^ (state >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(31)
+        return len(self.bounds) - np.searchsorted(self.bounds, h >> np.uint64(32), "right"), state
+
+    def _states(self, keys: list[str], sizes: list[int], places: np.ndarray) -> np.ndarray:
+        """The state of the draws of each place of each document."""
+        base = np.array([xxhash.xxh64_intdigest(k.encode(), self.seed) for k in keys], dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            x = (places.astype(np.uint64) + np.repeat(base, sizes)) * np.uint64(0xD6E8FEB86659FD93)
+            x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD1B54A32D192ED03)
+            return x ^ (x >> np.uint64(29))
+
+    def _skips(self, first: int, state: np.uint64, size: int) -> set[int]:
+        """The numbers of all skipped candidates of a unit of any length."""
+        states, out, at = np.array([state], dtype=np.uint64), set(), first
+        while at < 3 * (size - 1):
+            out.add(at)
+            gap, states = self._gaps(states)
+            at += 1 + int(gap[0])
+        return out
 
     def encode(self, text: str | None, key: str = "", memo: Memo | None = None) -> np.ndarray:
         """Piece ids of one text."""
@@ -282,7 +332,7 @@ def _encoder(codec: Codec, columns: list[str], name: str, check: bool):
     return run
 
 
-def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = TOKENIZER, rate: float = RATE, seed: int = SEED, variants: int = VARIANTS, check: bool = False) -> DataFrame:
+def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = TOKENIZER, rate: float = RATE, seed: int = SEED, check: bool = False) -> DataFrame:
     """df without its text, with n_tokens and token_ids, and with check also lossless: whether decoding gave the text back."""
     vocab = load_pieces(model)
     Codec(vocab)  # refuses a vocabulary that it can't cut units for
@@ -295,10 +345,10 @@ def encode_pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = StructType([f for f in src.schema.fields if f.name in columns])
     schema = schema.add("n_tokens", LongType()).add("token_ids", ArrayType(IntegerType()))
     schema = schema.add("lossless", BooleanType()) if check else schema
-    name = f"pieces:{model}:{rate}:{seed}:{variants}"
+    name = f"pieces:{model}:{rate}:{seed}"
 
     def run(batches):
-        yield from _encoder(Codec(shared.value, rate, seed, variants), columns, name, check)(batches)
+        yield from _encoder(Codec(shared.value, rate, seed), columns, name, check)(batches)
 
     return src.mapInArrow(run, schema)
 

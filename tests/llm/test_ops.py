@@ -290,6 +290,24 @@ def test_pieces_match_the_model_and_come_back(spark, odd, none):
     assert piece_dropout.encode_pieces(none).count() == 0
 
 
+def test_dropout_is_drawn_for_every_occurrence():
+    codec = piece_dropout.Codec(piece_dropout.load_pieces())
+    plain = piece_dropout.Codec(piece_dropout.load_pieces(), 0.0)
+    memo, rng = piece_dropout.Memo(), np.random.default_rng(5)
+    for word in ("the", "window", "international", "x" * 40):
+        whole, _ = plain.merge(" " + word)
+        free = [codec.merge(" " + word, set(np.nonzero(draw)[0].tolist()))[0] for draw in rng.random((3000, 3 * len(word))) < piece_dropout.RATE]
+        got = [codec.encode(word, str(k), memo).tobytes() for k in range(3000)]
+        want = collections.Counter(free)
+        assert all(abs(got.count(x) - n) < 150 for x, n in want.most_common(5)) and abs(got.count(whole) - want[whole]) < 150
+        assert len(set(got)) > (4 if len(word) > 3 else 1)
+        assert got[:50] == [codec.encode(word, str(k)).tobytes() for k in range(50)]
+    # The joint agenda equals the single one, and no unit has more candidates than the bound.
+    pairs = [(" " + "".join(rng.choice(list("etaoinshr"), int(n))), int(m)) for n, m in zip(rng.integers(1, 21, 3000), rng.integers(0, 1 << 62, 3000) & rng.integers(0, 1 << 62, 3000))]
+    for (u, m), x in zip(pairs, codec.merge_many(pairs)):
+        assert x == codec.merge(u, {k for k in range(63) if m >> k & 1}) and x[1] <= 3 * (len(u) - 1)
+
+
 def test_html(spark):
     rng = np.random.default_rng(2)
     rows, want = [], {}
