@@ -6,8 +6,8 @@ decoded bytes with the magic of gzip, zlib, bzip2, xz or zstd are decompressed.
 not taken again, so cycles (an archive of itself) end. Every layer carries, for each of its characters, the span of the original text it came from, and a
 match in it is reported as that span.
 
-Defined results: null and empty texts have no spans. Layers are whole; only a decompressed layer is bounded, at MAX_LAYER bytes, against archive
-bombs, and is counted in n_cut when it is longer. Repeated rows give equal rows. The scan is row by row: nothing is shuffled or kept.
+Defined results: null and empty texts have no spans. Layers are whole: all members and frames of an archive are read. A decompressed layer is streamed and scanned in
+windows of about WINDOW characters, which end where no match and no encoded run goes on; n_cut, the number of layers not read to their end, is 0. Repeated rows give equal rows. The scan is row by row: nothing is shuffled or kept.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MAX_LAYER = 64 << 20
+#: Characters of a decompressed layer that are scanned at once, and bytes that are decompressed at once.
+WINDOW, STEP = 1 << 20, 1 << 20
 
 #: The kinds, in order, with their patterns and least lengths.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -38,6 +41,8 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 _BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{48,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Places that no match and no encoded run reaches across.
+_BREAK = re.compile(r"""(?<=[^\s:="']) (?=[A-Za-z0-9])|(?<![A-Za-z0-9+/_\r-])\n|[^ -~\r\n]""")
 _URL_SAFE = str.maketrans("-_", "+/")
 
 
@@ -110,28 +115,80 @@ def _unicode(layer: Layer) -> Layer | None:
     return _replaced(layer, pieces) if pieces else None
 
 
-def _inflate(raw: bytes) -> tuple[bytes | None, bool]:
-    """Decompressed bytes if raw has a known magic, and whether they were cut."""
+_ERRORS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError)  # damaged data
+
+
+class _Source:
+    """The chunks of an iterator as a file."""
+
+    def __init__(self, chunks):
+        self.chunks, self.left = iter(chunks), b""
+
+    def read(self, size: int = -1) -> bytes:
+        if not self.left:
+            self.left = next(self.chunks, b"")
+        size = len(self.left) if size < 0 else size
+        out, self.left = self.left[:size], self.left[size:]
+        return out
+
+
+def _opener(head: bytes):
+    """Makes a decompressor for data with this beginning; None without a known magic."""
+    if head[:2] == b"\x1f\x8b":
+        return lambda: zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and (head[0] * 256 + head[1]) % 31 == 0:
+        return zlib.decompressobj
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lambda: lzma.LZMADecompressor(memlimit=256 << 20)
+    if head[:4] == b"\x28\xb5\x2f\xfd":
+        return zstandard.ZstdDecompressor
+    return None
+
+
+def _unpacked(chunks, new):
+    """Decompressed chunks of all members, up to the end or the first damage."""
     try:
-        if raw[:2] == b"\x1f\x8b":
-            d = zlib.decompressobj(31)
-            return d.decompress(raw, MAX_LAYER), bool(d.unconsumed_tail)
-        if raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            d = zlib.decompressobj()
-            return d.decompress(raw, MAX_LAYER), bool(d.unconsumed_tail)
-        if raw[:3] == b"BZh":
-            d = bz2.BZ2Decompressor()
-            return d.decompress(raw, MAX_LAYER), not d.eof
-        if raw[:6] == b"\xfd7zXZ\x00":
-            d = lzma.LZMADecompressor(memlimit=256 << 20)
-            return d.decompress(raw, MAX_LAYER), not d.eof
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            with zstandard.ZstdDecompressor().stream_reader(raw) as r:
-                out = r.read(MAX_LAYER)
-                return out, bool(r.read(1))
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError):  # damaged data
+        d = new()
+        if isinstance(d, zstandard.ZstdDecompressor):
+            with d.stream_reader(_Source(chunks), read_across_frames=True) as r:
+                while out := r.read(STEP):
+                    yield out
+            return
+        for chunk in chunks:
+            while chunk:
+                if d.eof:
+                    d = new()
+                while True:
+                    out = d.decompress(chunk, STEP)
+                    if out:
+                        yield out
+                    if d.eof:
+                        chunk = d.unused_data
+                        break
+                    chunk = getattr(d, "unconsumed_tail", b"")
+                    if not chunk and len(out) < STEP:
+                        break
+    except _ERRORS:
         pass
-    return None, False
+
+
+def _windows(chunks):
+    """The text of the chunks in windows that end at breaks; a run without a break stays whole."""
+    decoder, text, looked = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
+    for chunk in chunks:
+        text.append(decoder.decode(chunk))
+        looked += len(text[-1])
+        if looked >= WINDOW:
+            last = text[-1]
+            at = max((m.end() for m in _BREAK.finditer(last, max(1, len(last) - (1 << 16)))), default=0) or max((m.end() for m in _BREAK.finditer(last, 1)), default=0)
+            if 0 < at < len(last):
+                yield "".join([*text[:-1], last[:at]])
+                text, looked = [last[at:]], len(last) - at
+    text.append(decoder.decode(b"", True))
+    if any(text):
+        yield "".join(text)
 
 
 def _legible(raw: bytes) -> str | None:
@@ -142,67 +199,76 @@ def _legible(raw: bytes) -> str | None:
     return text if text and text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable() else None
 
 
-def _decoded(run: str) -> tuple[str | None, bool]:
-    """The text that a base64 run holds, plain or compressed any number of times."""
+def _decoded(run: str):
+    """The windows of the text that a base64 run holds, plain or compressed any number of times; None if it holds none."""
     body = run.replace("\r", "").replace("\n", "").rstrip("=").translate(_URL_SAFE)
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
         raw = base64.b64decode(body + "=" * (-len(body) % 4))
     except ValueError:
-        return None, False
-    cut, seen = False, set()
-    while True:
-        more, now = _inflate(raw)
-        if more is None or more in seen:
-            break
-        cut |= now
-        seen.add(more)
-        raw = more
-    if seen:  # compressed text need not be printable throughout
-        return raw.decode("utf-8", "replace") or None, cut
-    return _legible(raw), cut
+        return None
+    head, rest, depth, seen = raw, iter(()), 0, set()
+    while (new := _opener(head)) and head not in seen and next(_unpacked([head], new), None):
+        seen.add(head)
+        rest, head, depth = _unpacked(chain([head], rest), new), b"", depth + 1
+        for chunk in rest:
+            head += chunk
+            if len(head) >= STEP:
+                seen.clear()  # too long for an archive of itself
+                break
+    if depth:  # compressed text need not be printable throughout
+        return _windows(chain([head], rest))
+    text = _legible(raw)
+    return None if text is None else [text]
 
 
 def _base64(layer: Layer):
-    """(layer, cut) for each run that decodes; if a run does not, its parts between separators are tried."""
+    """A layer for each window of each run that decodes; if a run does not, its parts between separators are tried."""
     for m in _BASE64.finditer(layer.text):
         tries = [(m.start(), m.end())]
         while tries:
             a, b = tries.pop()
-            text, cut = _decoded(layer.text[a:b])
-            if text is not None:
+            texts = _decoded(layer.text[a:b])
+            if texts is not None:
                 s, e = layer.span(a, b)
-                yield Layer(text, np.full(len(text), s), np.full(len(text), e)), cut
-            elif (a, b) == m.span() and re.search("[/_+-]", m[0]):
-                tries += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
+                for text in texts:
+                    yield Layer(text, np.full(len(text), s), np.full(len(text), e))
+            elif (a, b) == m.span():
+                if re.search("[/_+-]", m[0]):
+                    tries += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
 
 
 def scan(text: str | None) -> tuple[list, list, int]:
     """(base spans, all spans, number of cut layers); spans are (start, rank of kind, end, kind), sorted."""
     first = Layer(text or "")
     base = sorted({(s, KINDS[k], e, k) for k, s, e in find_spans(first.text)})
-    every, work, seen, n_cut = set(base), [first], set(), 0
+    every, work, seen = set(base), [iter([first])], set()
     while work:
-        layer = work.pop()
+        layer = next(work[-1], None)
+        if layer is None:
+            work.pop()
+            continue
         if layer is not first:
+            if not layer.text:
+                continue
+            key = (hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(layer.starts[0]), int(layer.ends[-1]))
+            if key in seen:
+                continue
+            seen.add(key)
             for k, s, e in find_spans(layer.text):
                 a, b = layer.span(s, e)
                 every.add((a, KINDS[k], b, k))
-        new = []
-        if "%" in layer.text:
-            new.append((_percent(layer), False))
-        if "\\" in layer.text or "&#" in layer.text:
-            new.append((_unicode(layer), False))
-        new += _base64(layer)
-        for x, cut in new:
-            if x is None or not x.text:
-                continue
-            key = (hashlib.blake2b(x.text.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(x.starts[0]), int(x.ends[-1]))
-            if key not in seen:
-                seen.add(key)
-                n_cut += cut
-                work.append(x)
-    return base, sorted(every), n_cut
+        work.append(_inner(layer))
+    return base, sorted(every), 0
+
+
+def _inner(layer: Layer):
+    """The layers that one layer holds."""
+    if "%" in layer.text and (x := _percent(layer)):
+        yield x
+    if ("\\" in layer.text or "&#" in layer.text) and (x := _unicode(layer)):
+        yield x
+    yield from _base64(layer)
 
 
 def joined(spans) -> str:

@@ -224,6 +224,22 @@ def test_secret_layers():
     assert secret_scan.joined(secret_scan.scan(text)[0]) == f"assign:0:16,hex:30:62,access:79:95"
 
 
+def test_secret_archives_are_read_whole():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    sec = b"token=abcdefgh12345678 "
+    for pack in (gzip.compress, zlib.compress, bz2.compress, lzma.compress, zstandard.compress):
+        assert secret_scan.scan(base64.b64encode(pack(b"nothing here") + pack(sec)).decode())[1]
+        far = pack(b"plain words. " * 6_000_000 + sec)
+        found = secret_scan.scan(base64.b64encode(far).decode())
+        assert {k for *_, k in found[1]} == {"assign"} and found[2] == 0
+        inner = base64.b64encode(sec * 60_000)
+        assert {k for *_, k in secret_scan.scan(base64.b64encode(pack(pack(b"x y " * 300_000 + inner))).decode())[1]} == {"assign"}
+
+
 def test_secret_query(spark, odd, none):
     got = secret_scan.scan_secrets(odd)
     assert got.count() == 17 and secret_scan.scan_secrets(none).count() == 0
