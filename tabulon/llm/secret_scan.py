@@ -40,7 +40,8 @@ _WORDS = ("passw", "secret", "token", "apikey", "api_key")
 
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{48,}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+_BASE64 = re.compile(r"(?:[A-Za-z0-9+/_-]{48,}\r?\n)+[A-Za-z0-9+/_-]*={0,2}|[A-Za-z0-9+/_-]{16,}={0,2}")
+_CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]")
 #: Places that no match and no encoded run reaches across.
 _BREAK = re.compile(r"""(?<=[^\s:="']) (?=[A-Za-z0-9])|(?<![A-Za-z0-9+/_\r-])\n|[^ -~\r\n]""")
 _URL_SAFE = str.maketrans("-_", "+/")
@@ -196,7 +197,7 @@ def _legible(raw: bytes) -> str | None:
         text = raw.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and text.replace("\n", "").replace("\r", "").replace("\t", "").isprintable() else None
+    return text if text and (text.isprintable() or len(_CONTROL.findall(text)) <= 0.3 * len(text)) else None
 
 
 def _decoded(run: str):
@@ -223,7 +224,7 @@ def _decoded(run: str):
 
 
 def _base64(layer: Layer):
-    """A layer for each window of each run that decodes; if a run does not, its parts between separators are tried."""
+    """A layer for each window of each run that decodes; if a run does not, it is tried without a short last line, then in parts between separators."""
     for m in _BASE64.finditer(layer.text):
         tries = [(m.start(), m.end())]
         while tries:
@@ -236,6 +237,8 @@ def _base64(layer: Layer):
             elif (a, b) == m.span():
                 if re.search("[/_+-]", m[0]):
                     tries += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
+                if (end := m[0].rfind("\n")) >= 0:
+                    tries.append((a, a + end))
 
 
 def scan(text: str | None) -> tuple[list, list, int]:

@@ -240,6 +240,15 @@ def test_secret_archives_are_read_whole():
         assert {k for *_, k in secret_scan.scan(base64.b64encode(pack(pack(b"x y " * 300_000 + inner))).decode())[1]} == {"assign"}
 
 
+def test_secret_text_with_separators_and_short_lines():
+    text = "Le mot de passe : voilà ! co­opérer​ password=hunter2hunter2"
+    assert {k for *_, k in secret_scan.scan(base64.b64encode(text.encode()).decode())[1]} == {"assign"}
+    for n in range(40, 60):
+        lines = base64.encodebytes(b"w " * n + b"token=abcdefgh").decode()
+        for after in ("", "The end", "\nmore"):
+            assert {k for *_, k in secret_scan.scan(lines + after)[1]} == {"assign"}, (n, after)
+
+
 def test_secret_query(spark, odd, none):
     got = secret_scan.scan_secrets(odd)
     assert got.count() == 17 and secret_scan.scan_secrets(none).count() == 0
