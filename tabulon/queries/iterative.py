@@ -50,9 +50,9 @@ def fft(spark, sf):
 
 @register("linalg_eigenvalues_by_label")
 def eigen(spark, sf):
-    long = table(spark, sf, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("d", "x"))
-    both = long.join(long.select("label", "vec_id", F.col("d").alias("e"), F.col("x").alias("y")), ["label", "vec_id"])
-    cov = both.groupBy("label", F.col("d").alias("i"), F.col("e").alias("j")).agg(F.avg(F.col("x") * F.col("y")).alias("v"))
+    e = table(spark, sf, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("v"))
+    both = e.select("label", "v", F.posexplode("v").alias("i", "x")).select("label", "i", "x", F.posexplode("v").alias("j", "y"))
+    cov = both.groupBy("label", "i", "j").agg(F.avg(F.col("x") * F.col("y")).alias("v"))
     return sequence.per_group(cov, "label", "eigenvalues").withColumn("v", F.round("v", 6))
 
 
