@@ -10,11 +10,12 @@ probability p. Documents are ranked by (u / (1 - u)) / (p / (1 - p)) with u unif
 prefix that fits the words still missing: fixed in words, unequal in probability. One closing document per source, the one
 whose size comes nearest to what is left, is added if that brings the total nearer.
 
-No source is ever sorted in one task: the ranks are cut into RANK_BUCKETS ranges whose word sums are pre-aggregated; only the range in which
-the prefix ends is ordered, by itself. All sums are of whole numbers, so reruns agree bit by bit.
+No source is ever sorted in one task: the ranks are cut into ranges, one for every RANGE_ROWS rows of the table, whose word sums are pre-aggregated; only
+the range in which the prefix ends is ordered, by itself. All sums are of whole numbers, so reruns agree bit by bit. The sources themselves are
+ordered in one task: they may be MAX_SOURCES, more stop the job.
 
 Defined results: null text has size 0; size 0 takes 0. Rows that repeat a doc_id are drawn separately, ties in rank are broken by
-doc_id and size. A source without words has target 0. A null source is a source of its own, after all others. An empty table gives an empty table.
+doc_id and size; rows that are equal in all three are told apart by a row number, so one of them closes a source and not all. A source without words has target 0. A null source is a source of its own, after all others. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ MOST = 3
 TILT = 0.25
 #: Size at which the preference for long documents is half way.
 HALF_SIZE = 400
-RANK_BUCKETS = 4096
+#: Ranges of ranks: this many at least, and one for so many rows.
+RANGES, RANGE_ROWS = 4096, 20_000
+MAX_SOURCES = 1_000_000
 SEED = "mix-1"
 
 
@@ -61,12 +64,15 @@ def _uniform(doc_id: Column, seed: str) -> Column:
 
 def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: str = SEED, weights=WEIGHTS, most: int = MOST, tilt: float = TILT) -> DataFrame:
     """Per row of df: doc_id, size, source_size, target, taken, copies, source."""
-    sizes = cut(df.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")))
+    sizes = cut(df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("size")))
+    ranges_n = max(RANGES, sizes.count() // RANGE_ROWS)
     lean = F.floor(1000 * F.col("size") / (F.col("size") + HALF_SIZE)).cast("long")
     targets = source_targets(sizes, weights, most)
     leans = sizes.groupBy("source").agg(F.sum(lean * F.col("size")).alias("lean_sum"))
     both = lambda a, b: a.join(b.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
     per = cut(both(targets, leans))
+    if per.count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     room = F.when(rate > 0, F.least(F.lit(tilt), most / rate - 1)).otherwise(F.lit(0.0))
     mean = F.when(F.col("source_size") > 0, F.col("lean_sum") / (1000.0 * F.col("source_size"))).otherwise(F.lit(0.0))
@@ -76,8 +82,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     docs = docs.withColumn("expected", F.least(F.lit(float(most)), copies)).withColumn("whole", F.floor("expected").cast("long")).withColumn("p", F.col("expected") - F.col("whole"))
     u = _uniform(F.col("doc_id"), seed)
     odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    docs = docs.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds)).withColumn("b", F.floor(RANK_BUCKETS * F.col("q") / (1 + F.col("q"))).cast("int"))
-    docs = cut(docs.select("doc_id", "source", "size", "source_size", "target", "whole", "q", "b"))
+    docs = docs.withColumn("q", F.when((F.col("p") > 0) & (F.col("size") > 0), odds)).withColumn("b", F.floor(ranges_n * F.col("q") / (1 + F.col("q"))).cast("int"))
+    docs = cut(docs.select("rid", "doc_id", "source", "size", "source_size", "target", "whole", "q", "b"))
 
     # Words still missing after the whole copies, and the range of ranks in which the sample fills them.
     ranges = docs.groupBy("source", "b").agg(F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("target"))
@@ -85,10 +91,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     ranges = ranges.withColumn("missing", F.col("target") - F.sum("sure").over(by)).filter("b is not null")
     ranges = ranges.withColumn("upto", F.sum("words").over(by.orderBy("b"))).withColumn("before", F.col("upto") - F.col("words"))
     ends = cut(ranges.groupBy("source").agg(F.first("missing").alias("missing"), F.min(F.when(F.col("upto") > F.col("missing"), F.struct("b", "before"))).alias("end")))
-    ends = ends.select(F.col("source").alias("__s"), "missing", F.coalesce(F.col("end.b"), F.lit(RANK_BUCKETS + 1)).alias("end_b"), F.col("end.before").alias("end_before"))
+    ends = ends.select(F.col("source").alias("__s"), "missing", F.coalesce(F.col("end.b"), F.lit(ranges_n + 1)).alias("end_b"), F.col("end.before").alias("end_before"))
     docs = docs.join(ends, F.col("source").eqNullSafe(F.col("__s")), "left").drop("__s")
     inside = docs.filter(F.col("b") == F.col("end_b"))
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size", "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("picked", (F.col("end_before") + F.sum("size").over(order) <= F.col("missing")).cast("int"))
     rest = docs.filter((F.col("b") != F.col("end_b")) | F.col("b").isNull()).withColumn("picked", F.coalesce((F.col("b") < F.col("end_b")).cast("int"), F.lit(0)))
     drawn = cut(rest.unionByName(inside).drop("end_b", "end_before"))
@@ -97,10 +103,10 @@ def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_
     got = drawn.groupBy("source").agg((F.first("missing") - F.sum(F.col("picked") * F.col("size"))).alias("left_over")).withColumnRenamed("source", "__s")
     open_ = drawn.filter("picked = 0 and q is not null").join(got, F.col("source").eqNullSafe(F.col("__s")))
     gap = F.abs(F.col("left_over") - F.col("size"))
-    close = open_.filter(gap < F.abs("left_over")).groupBy("__s").agg(F.min(F.struct(gap.alias("gap"), F.col("q"), F.col("doc_id"), F.col("size").alias("n"))).alias("c"))
-    close = close.select("__s", F.col("c.doc_id").alias("__id"), F.col("c.q").alias("__q"), F.col("c.n").alias("__n"))
+    close = open_.filter(gap < F.abs("left_over")).groupBy("__s").agg(F.min(F.struct(gap.alias("gap"), "q", "doc_id", "size", "rid")).alias("c"))
+    close = close.select("__s", F.col("c.rid").alias("__rid"))
     out = drawn.join(close, F.col("source").eqNullSafe(F.col("__s")), "left")
-    last = F.coalesce((F.col("picked") == 0) & F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("q") == F.col("__q")) & (F.col("size") == F.col("__n")), F.lit(False)).cast("int")
+    last = F.coalesce(F.col("rid") == F.col("__rid"), F.lit(False)).cast("int")
     total = (F.col("whole") + F.col("picked") + last).cast("long")
     return out.select("doc_id", "size", "source_size", "target", (total * F.col("size")).alias("taken"), total.alias("copies"), "source")
 

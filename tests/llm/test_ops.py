@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tabulon.llm import bloomlm, chat, exactdedup, html_extract, mixing, piece_dropout, quality, secret_scan, simhash, toxicity
+from tabulon.llm import bloomlm, chat, exactdedup, html_extract, mixing, piece_dropout, quality, secret_scan, simhash, skew, toxicity
 from tests.oracle import connect, oracle_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -108,6 +108,25 @@ def test_mix_targets_and_limits(spark, odd, none):
     assert all(r["taken"] == 0 for r in mixing.mix(odd).filter("size = 0").collect())
 
 
+def test_mix_repeated_rows(spark, tmp_path):
+    """Equal rows are drawn one by one, and one of them closes a source."""
+    data = [(k, " ".join(["w"] * (40 + k * 61 % 90)), None, "abc"[k % 3], None) for k in range(60)] * 3
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = mixing.op3_source_mix(spark, str(tmp_path))
+    assert rows_of(got) == oracle_rows(connect(str(tmp_path)), mixing.OP3_SQL)
+    per = got.join(spark.read.parquet(str(tmp_path / "documents.parquet")).select("doc_id", "source").distinct(), "doc_id").groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("t"))
+    assert all(abs(r["n"] - r["t"]) < 130 for r in per.collect())
+
+
+def test_hot_groups_meet_their_rows(spark):
+    """Hot groups, which meet their rows without a shuffle, and all others give the plain join."""
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise((F.col("id") % 1500).cast("string")).alias("k"), F.lit(1).alias("n"))
+    groups = rows.groupBy("k").agg(F.max("id").alias("best"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    got = skew.join_groups(rows, groups, "k", "size", 5000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(groups, "k", "left").select("id", "k", "n", "best", "size").collect()), key=lambda r: r[0])
+    assert 0 < groups.filter("size > 5").count() < skew.HOT
+
+
 def test_simhash_links(odd, none):
     got = simhash.simhash_components(odd).collect()
     texts = {(r["doc_id"], r["text"]) for r in odd.collect()}
