@@ -5,8 +5,8 @@
 2. The chunk store keeps one copy of every distinct chunk, found by grouping on (SHA-256, length, content), so a chunk's bytes
    move at most once per map task and never with their document. An identifier is verified when its group holds a single
    content; a second content under one identifier stops the job rather than merging unequal texts.
-3. A document is from then on its recipe, the ordered list of identifiers. Recipes are pre-aggregated map-side, grouped, and
-   only groups of two or more are joined back, an equi-join against one row per group that adaptive execution can split.
+3. A document is from then on its recipe, the ordered list of identifiers, computed once and stored with the text's digest. Recipes are
+   pre-aggregated map-side, grouped, and only groups of two or more are joined back; the commonest of them without a shuffle.
 
 Defined results: null text counts as empty; an empty text has an empty recipe and equals every other empty text. Of equal texts
 the row with the largest doc_id stays; null ids lose against others, and are the keep_id only of a group without ids. Rows that
@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.expr import lower_ascii
+from tabulon.llm.skew import join_groups
+from tabulon.session import stored
 
 MIN_CHUNK, MAX_CHUNK = 512, 8192
 #: A cut may follow this pattern: a letter of a fixed class, a separator, and a letter of another class.
@@ -60,12 +62,11 @@ def mark_exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     text = normalised(F.col(text_col))
     src = df.select(F.col(id_col).alias("doc_id"), text.alias("__text"))
     clashes = verified_ids(chunk_store(src, F.col("__text"))).filter(~F.col("ok")).agg(F.count(F.lit(1)).alias("n"))
-    rows = recipes(src, F.col("__text")).select("doc_id", "recipe", F.sha2("__text", 256).alias("text_sha256"))
+    rows = stored(recipes(src, F.col("__text")).select("doc_id", "recipe", F.sha2("__text", 256).alias("text_sha256")), "exact-recipes")
     # The scalar subquery is one number; the job stops if any identifier stands for two contents.
     safe = F.when(clashes.scalar() > 0, F.raise_error(F.lit("two different chunks share one identifier"))).otherwise(F.col("recipe"))
-    rows = rows.withColumn("recipe", safe)
     groups = rows.groupBy("recipe").agg(F.max("doc_id").alias("__keep"), F.count(F.lit(1)).alias("__n")).filter("__n > 1")
-    joined = rows.join(groups, "recipe", "left")
+    joined = join_groups(rows, stored(groups.withColumn("recipe", safe), "exact-groups"), "recipe", "__n", rows.count())
     keep = F.when(F.col("__n").isNull(), F.col("doc_id")).otherwise(F.col("__keep"))
     return joined.select(
         "doc_id",
