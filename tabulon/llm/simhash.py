@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.llm.graph import components
+from tabulon.llm.skew import join_groups
 from tabulon.session import cut, stored
 
 SHINGLE, SEED = 3, 42
@@ -72,11 +73,11 @@ def ball_links(classes: DataFrame) -> DataFrame:
 def simhash_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """doc_id, fp, component_id per row of df."""
     docs = cut(fingerprints(df, id_col, text_col, shingle, seed))
-    classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("id")))
+    classes = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
     known = classes.filter("id is not null")
     found = components(ball_links(known))
-    named = known.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"))
-    return docs.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = cut(known.join(found, F.col("id") == F.col("node"), "left").select("fp", F.coalesce("component", "id").alias("component_id"), "n"))
+    return join_groups(docs, named, "fp", "n", docs.count()).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -197,7 +198,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(same, pa.binary()), pa.array(wide, pa.binary())], names=["doc_id", "same", "wide"])
 
     docs = cut(src.mapInArrow(run, "doc_id long, same binary, wide binary").filter("same is not null"))
-    classes = cut(docs.groupBy("same", "wide").agg(F.min("doc_id").alias("id")))
+    classes = cut(docs.groupBy("same", "wide").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")))
 
     def slices(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
@@ -245,8 +246,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     met = keyed.repartition("x").sortWithinPartitions("x", "g", "id").mapInArrow(_across(loose), "a long, b long")
     links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met))
     found = components(links)
-    named = classes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"))
-    return docs.join(named, "same").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    named = cut(classes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"), "n"))
+    return join_groups(docs.select("doc_id", "same"), named, "same", "n", docs.count()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
 def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
