@@ -363,10 +363,76 @@ def test_html(spark):
     want |= {100: "", 101: "", 102: "A & B\n\nx y z\n\nend", 103: "only", 104: "plain <text>", 105: "unclosed"}
     d = spark.createDataFrame(rows, "page_id long, url string, html string")
     for shard in (400_000, 60):
-        assert {r["page_id"]: r["text"] for r in html_extract.extract_main(d, shard_tokens=shard).collect()} == want
+        got = html_extract.extract_main(d, shard_tokens=shard).collect()
+        assert {r["page_id"]: r["text"] for r in got} == want and {r["page_id"] for r in got if r["changed"]} == set(range(40))
+    clash = d.withColumns({"host": F.lit("x"), "main": F.lit("y"), "content": F.lit(1), "kind": F.lit("z")})
+    assert {r["page_id"]: r["text"] for r in html_extract.extract_main(clash).collect()} == want
     assert html_extract.extract_main(d.filter("false")).count() == 0
 
 
+def brute_main(pages, run, min_pages, share, article_pages, article_share):
+    """The text of each (host, kind, blocks), by counting all windows of all distinct pages."""
+    out, hosts = {}, collections.defaultdict(set)
+    for host, kind, blocks in pages:
+        if sum(len(b.split(" ")) for b in blocks) >= run:
+            hosts[host].add((kind, blocks))
+    for host, some in hosts.items():
+        counts = collections.Counter()
+        for _, blocks in some:
+            w = " ".join(blocks).split(" ")
+            counts.update({tuple(w[i : i + run]) for i in range(len(w) - run + 1)})
+        for kind, blocks in some:
+            least = max(article_pages, article_share * len(some)) if kind == "article" else max(min_pages, share * len(some))
+            w, covered = " ".join(blocks).split(" "), set()
+            for i in range(len(w) - run + 1):
+                if counts[tuple(w[i : i + run])] >= least:
+                    covered |= set(range(i, i + run))
+            kept, at, gone = [], 0, 0
+            for b in blocks:
+                n = len(b.split(" "))
+                if set(range(at, at + n)) <= covered and len(some) >= min(min_pages, article_pages):
+                    gone += n
+                else:
+                    kept.append(b)
+                at += n
+            out[host, kind, blocks] = "\n\n".join(blocks if kind == "article" and 2 * gone > at else kept)
+    return out
+
+
+@pytest.mark.parametrize("shard", [10**6, 700])
+def test_html_host_array_against_brute_force(spark, shard):
+    """Plain, container and article pages; one host holds most of them, and one of its pages has hundreds of copies."""
+    rng = np.random.default_rng(8)
+    word = lambda: f"w{rng.integers(0, 10**6)}"
+    shared = [" ".join(word() for _ in range(n)) for n in (9, 3, 30, 12, 7, 6)]
+    pages = []
+    for k in range(900):
+        host = "big" if k < 600 else f"h{k % 40}"
+        kind = ("plain", "main", "article")[k % 3]
+        body = [" ".join(word() for _ in range(int(rng.integers(1, 25)))) for _ in range(3)]
+        parts = [shared[0]] * (rng.random() < 0.9) + body[:1] + [shared[1]] * (rng.random() < 0.8) + [shared[2]] * (rng.random() < 0.3) + body[1:] + [shared[3]] * (rng.random() < 0.1) + [shared[4] + " " + word()] * (rng.random() < 0.5) + [shared[5]] * (rng.random() < 0.7)
+        pages.append((host, kind, tuple(parts)))
+    pages += [pages[4]] * 400 + [("few", "plain", (shared[0], "x"))] * 2 + [("near", "article", (shared[0], shared[2], f"y{k}")) for k in range(30)]
+    wrap = {"plain": "<div>%s</div>", "main": "<main>%s</main>", "article": "<article>%s</article>"}
+    rows = [(k, f"https://{h}/p", wrap[kind] % "".join(f"<p>{b}</p>" for b in blocks)) for k, (h, kind, blocks) in enumerate(pages)]
+    settings = dict(min_run=6, min_pages=3, share=0.2, article_pages=8, article_share=0.5)
+    want = brute_main(pages, *settings.values())
+    got = html_extract.extract_main(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5), shard_tokens=shard, **settings).collect()
+    assert len(got) == len(pages) and 700 < sum(r["changed"] for r in got) < len(pages)
+    assert all(r["text"] == want.get(pages[r["page_id"]], "\n\n".join(pages[r["page_id"]][2])) for r in got)
+    assert all(r["text"] == "\n\n".join(pages[r["page_id"]][2]) for r in got if pages[r["page_id"]][0] == "near")
+
+
+def test_html_hosts_are_spread(spark):
+    """The pages of one host go to many shards, and its commonest page to one of them once."""
+    rows = [(k, "http://one/", f"<p>{' '.join(f'x{k}y{j}' for j in range(50))}</p>") for k in range(400)] + [(k, "http://one/", f"<p>{'copy ' * 60}</p>") for k in range(1000, 1300)]
+    parsed = html_extract.parse_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).cache()
+    parts, hot = html_extract.plan_hosts(parsed, 6, 3, 1000)
+    streams = html_extract.streams_of(parsed, parts, hot, 6)
+    per = [r["count"] for r in streams.groupBy("cell").count().collect()]
+    assert sum(per) == 401 and len(per) == 21 and max(per) < 45
+
+
 def test_html_query(spark, sf):
     got = {r["page_id"]: r["text"] for r in html_extract.op4_html_main(spark, sf).collect()}
     for i, page in duckdb.sql(f"select page_id, html from '{sf}/pages.parquet'").fetchall():
