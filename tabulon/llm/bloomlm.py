@@ -5,15 +5,16 @@ holds (n-gram, 1) ... (n-gram, q), so a level is read back by probing 1, 2, ...
 underestimated, and one that is absent passes the first probe with the filter's false positive rate only. Probabilities are
 smoothed: P1(w) = (c(w) + 1) / (N + V + 1), and P(w | history) = (c(history w) + MU P(w | shorter)) / (c(history) + MU).
 
-Scale. The n-gram table is pre-aggregated per batch and shuffled once by filter shard; every shard sizes itself by its own entries
-(BITS per entry), and the number of shards follows the number of tokens, so what is gathered grows with the corpus.
-The filter is broadcast while its measured size is at most BROADCAST_LIMIT bytes. Beyond it nothing is broadcast or dropped: the
-distinct n-grams of every batch of documents travel to their shard instead, are probed there, and travel back to give the same scores.
-The exact base score takes counts of the most frequent words from a broadcast of at most TOP_WORDS entries (16 bytes each) and joins the
+Scale. One plan at every size. Texts are tokenised once, into stored packs of about PACK characters (distinct word hashes and, per token, their
+number); a document is known by its pack and place. N-grams are counted from the packs, combined per task, and shuffled once by filter shard; a shard holds
+about SHARD_TOKENS n-gram occurrences and sizes itself by its own entries (BITS per entry), so what is gathered grows with the corpus. The whole filter grows
+too and is therefore not broadcast. What is broadcast is bounded by proof: the levels, as probed in the filter, of all n-grams that make up 1 / TOP_GRAMS of all
+occurrences or more, of which there are at most TOP_GRAMS (9 bytes each). All other distinct n-grams of a pack visit their shards, are probed there, and one byte a
+piece travels back to the pack. The exact base score takes counts of the most frequent words from a broadcast of at most TOP_WORDS entries (16 bytes each) and joins the
 rest, which are rare by construction.
 
 Words are known by their 64-bit XXH64. Defined results: null and empty texts are one end token. A null doc_id is taken as an empty
-text for the fold. Repeated rows are scored (and learned) each. With no training rows N = V = 0 and all tokens are unknown. An empty table gives an
+text for the fold. Repeated rows are scored (and learned) each; a null held_out is taken as false. With no training rows N = V = 0 and all tokens are unknown. An empty table gives an
 empty table. Very long texts are read whole; memory is bounded by the batch.
 """
 
@@ -34,11 +35,10 @@ ORDER = 2
 BASE = 1.5
 MU = 300.0
 BITS, PROBES = 10, 5
-TOP_WORDS = 1_000_000
-BROADCAST_LIMIT = 160 << 20
+TOP_WORDS, TOP_GRAMS = 1_000_000, 4_000_000
 SHARD_TOKENS = 2_000_000
-#: Characters of text handled at once inside a batch, when counting and when scoring (beside the filter).
-COUNT_SLICE, SCORE_SLICE = 16 << 20, 2 << 20
+#: Characters of a pack, and counts that a task combines before it sends them on.
+PACK, MERGE = 4 << 20, 2_000_000
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _END = np.uint64(0x9E3779B97F4A7C15)
 _LEVELS = 100
@@ -173,54 +173,128 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """h, c: exact counts of tokens by hash."""
+def pack_texts(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, held_out, text) -> pack (its id), doc_ids, held (one per document), sizes (tokens of each), words (distinct hashes), tokens (number of each token's word)."""
 
     def run(batches):
-        cache = _Hashes()
+        from pyspark import TaskContext
+
+        cache, pack = _Hashes(), TaskContext.get().partitionId() << 32
         for b in batches:
-            for _, texts in _slices(b, "text", COUNT_SLICE):
-                flat, _ = token_hashes(texts, cache)
-                h, n = np.unique(flat, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_signed(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+            for at0, texts in _slices(b, "text", PACK):
+                flat, at = token_hashes(texts, cache)
+                words, tokens = np.unique(flat, return_inverse=True)
+                part, sizes = b.slice(at0, len(texts)), np.diff(at)
+                lists = [pa.array([part.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
+                yield pa.RecordBatch.from_arrays([pa.array([pack]), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, tokens.astype(np.uint32)))], names=["pack", "doc_ids", "held", "sizes", "words", "tokens"])
+                pack += 1
+
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
+    return src.mapInArrow(run, "pack long, doc_ids array<long>, held array<boolean>, sizes binary, words binary, tokens binary")
+
+
+class Pack:
+    """One stored pack."""
+
+    def __init__(self, row: dict):
+        self.id, self.doc_ids, self.held = row["pack"], row["doc_ids"], np.array(row["held"], dtype=bool)
+        self.sizes = np.frombuffer(row["sizes"], dtype=np.int64)
+        self.words = np.frombuffer(row["words"], dtype=np.uint64)
+        self.tokens = np.frombuffer(row["tokens"], dtype=np.uint32)
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.who = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.learn = ~self.held[self.who]
+
+    def grams(self, order: int) -> np.ndarray:
+        """One row of hashes per order."""
+        return np.stack(ngram_hashes(self.words[self.tokens], self.at, order))
+
+
+def _packs(batches):
+    for b in batches:
+        for i in range(b.num_rows):
+            yield Pack(b.slice(i, 1).to_pylist()[0])
+
+
+class _Merged:
+    """Counts of hashes, combined whenever MERGE of them are held."""
+
+    def __init__(self):
+        self.h, self.n, self.held = [], [], 0
+
+    def add(self, h: np.ndarray, n: np.ndarray):
+        """Takes counts of distinct hashes; gives those to be sent on, if any."""
+        self.h.append(h)
+        self.n.append(n)
+        self.held += len(h)
+        if self.held > MERGE:
+            h, n = self.take()
+            if len(h) > MERGE // 2:
+                return h, n
+            self.h, self.n, self.held = [h], [n], len(h)
+        return None
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        h, n = np.concatenate([np.empty(0, np.uint64), *self.h]), np.concatenate([np.empty(0, np.int64), *self.n])
+        self.h, self.n, self.held = [], [], 0
+        if not len(h):
+            return h, n
+        order = np.argsort(h)
+        h, n = h[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        return h[first], np.add.reduceat(n, first)
+
+
+def word_counts(packs: DataFrame) -> DataFrame:
+    """h, c: exact counts of the training side's tokens by hash."""
+
+    def run(batches):
+        merged = _Merged()
+        row = lambda h, n: pa.RecordBatch.from_arrays([_signed(h), pa.array(n)], names=["h", "n"])
+        for p in _packs(batches):
+            n = np.bincount(p.tokens[p.learn], minlength=len(p.words)).astype(np.int64)
+            if out := merged.add(p.words[n > 0], n[n > 0]):
+                yield row(*out)
+        yield row(*merged.take())
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
+    return packs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
 
 
-def filter_shards(docs: DataFrame, shards: int, order: int = ORDER) -> DataFrame:
-    """shard, bits (bytes of the filter), n_grams: one row per shard of the filter over all n-grams of docs."""
+def filter_shards(packs: DataFrame, shards: int, heavy: float, order: int = ORDER) -> DataFrame:
+    """shard, bits (bytes of the filter), n_grams, heavy_h and heavy_q (n-grams with a count of `heavy` or more and their levels): one row per shard."""
 
     def count(batches):
-        cache = _Hashes()
-        for b in batches:
-            for _, texts in _slices(b, "text", COUNT_SLICE):
-                for grams in ngram_hashes(*token_hashes(texts, cache), order):
-                    h, n = np.unique(grams, return_counts=True)
-                    s = shard_of(h, shards)
-                    by = np.argsort(s, kind="stable")
-                    present, at = np.unique(s[by], return_index=True)
-                    h, n = np.split(h[by], at[1:]), np.split(n[by].astype(np.uint32), at[1:])
-                    # One row per shard, its n-grams packed, instead of a row per n-gram.
-                    yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([x.tobytes() for x in h], pa.binary()), pa.array([x.tobytes() for x in n], pa.binary())], names=["shard", "h", "n"])
-
-    def build(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for k, h, n in zip(b.column("shard").to_pylist(), b.column("h").to_pylist(), b.column("n").to_pylist()):
-                held.setdefault(k, []).append((np.frombuffer(h, np.uint64), np.frombuffer(n, np.uint32)))
-        for k in list(held):
-            rows = held.pop(k)
-            h = np.concatenate([x for x, _ in rows])
-            n = np.concatenate([x for _, x in rows])
-            keys, where = np.unique(h, return_inverse=True)
-            counts = np.zeros(len(keys), dtype=np.int64)
-            np.add.at(counts, where, n.astype(np.int64))
-            filled = build_shard(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([filled.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], names=["shard", "bits", "n_grams"])
-
-    rows = docs.select("text").mapInArrow(count, "shard int, h binary, n binary")
-    # A hot n-gram is one entry per slice of text here; its shard is dealt to a task like any other.
-    return rows.repartition(shards, "shard").mapInArrow(build, "shard int, bits binary, n_grams long")
+        merged = _Merged()
+
+        def rows(h, n):
+            s = shard_of(h, shards)
+            by = np.argsort(s, kind="stable")
+            present, at = np.unique(s[by], return_index=True)
+            h, n = np.split(h[by], at[1:]), np.split(n[by], at[1:])
+            # One row per shard, its n-grams packed, instead of a row per n-gram.
+            return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([x.tobytes() for x in h[: len(present)]], pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in n[: len(present)]], pa.binary())], names=["shard", "h", "n"])
+
+        for p in _packs(batches):
+            h, n = np.unique(p.grams(order)[:, p.learn], return_counts=True)
+            if out := merged.add(h, n):
+                yield rows(*out)
+        yield rows(*merged.take())
+
+    def build(table):
+        merged = _Merged()
+        merged.h = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")]
+        merged.n = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("n")]
+        keys, counts = merged.take()
+        filled = build_shard(keys, counts)
+        most = keys[counts >= heavy]
+        shard = table.column("shard")[0].as_py()
+        sizes = np.zeros(shards, dtype=np.int64)
+        sizes[shard] = len(filled)
+        levels = LogFrequencyFilter(filled, sizes).levels(most).astype(np.uint8)
+        return pa.table({"shard": pa.array([shard], pa.int32()), "bits": pa.array([filled.tobytes()], pa.binary()), "n_grams": pa.array([len(keys)], pa.int64()), "heavy_h": pa.array([most.tobytes()], pa.binary()), "heavy_q": pa.array([levels.tobytes()], pa.binary())})
+
+    rows = packs.mapInArrow(count, "shard int, h binary, n binary")
+    return rows.groupBy("shard").applyInArrow(build, "shard int, bits binary, n_grams long, heavy_h binary, heavy_q binary")
 
 
 def smoothed(flat_levels: list[np.ndarray], first: np.ndarray, n: int, v: int, texts: int, mu: float = MU) -> np.ndarray:
@@ -236,14 +310,15 @@ def smoothed(flat_levels: list[np.ndarray], first: np.ndarray, n: int, v: int, t
     return np.log10(p)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> dict:
-    """Statistics of the training side: counts (stored table), n, v, texts, and the filter's shards (stored table)."""
-    counts = stored(word_counts(docs), "lm-counts")
+def train(docs: DataFrame, order: int = ORDER, top_grams: int = TOP_GRAMS, shard_tokens: int = SHARD_TOKENS) -> dict:
+    """docs(doc_id, held_out, text), of which those not held out are learnt. The model: packs of all texts, counts and the filter's shards (stored tables), n, v, texts."""
+    packs = stored(pack_texts(docs), "lm-packs", compression="zstd")
+    counts = stored(word_counts(packs), "lm-counts")
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("c"))).alias("texts")).first()
     n = total["n"] or 0
-    shards = max(8, math.ceil(n / SHARD_TOKENS))
-    filled = stored(filter_shards(docs, shards, order), "lm-filter")
-    return {"counts": counts, "n": n, "v": total["v"], "texts": total["texts"] or 0, "shards": shards, "filter": filled, "order": order}
+    shards = max(8, math.ceil(order * n / shard_tokens))
+    filled = stored(filter_shards(packs, shards, max(2.0, order * n / max(1, top_grams)), order), "lm-filter")
+    return {"packs": packs, "counts": counts, "n": n, "v": total["v"], "texts": total["texts"] or 0, "shards": shards, "filter": filled, "order": order}
 
 
 def _frequent(counts: DataFrame, most: int):
@@ -263,126 +338,103 @@ def _frequent(counts: DataFrame, most: int):
     return h[order], t.column("c").to_numpy()[order], least
 
 
-def score(spark: SparkSession, docs: DataFrame, model: dict, top_words: int = TOP_WORDS, broadcast_limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """docs(doc_id, held_out, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    n, v, texts, order, shards = model["n"], model["v"], model["texts"], model["order"], model["shards"]
-    top_h, top_c, least = _frequent(model["counts"], top_words)
-    size = model["filter"].agg(F.sum(F.length("bits"))).first()[0] or 0
-    whole = size <= broadcast_limit
-    sizes, filled = np.zeros(shards, dtype=np.int64), np.empty(0, dtype=np.uint8)
-    if whole:
-        filled, at = np.empty(size, dtype=np.uint8), 0
-        rows = model["filter"].select("shard", F.length("bits").alias("n"), "bits").orderBy("shard")
-        for r in rows.toLocalIterator():
-            sizes[r["shard"]] = r["n"]
-            filled[at : at + r["n"]] = np.frombuffer(r["bits"], dtype=np.uint8)
-            at += r["n"]
-    shared = spark.sparkContext.broadcast((top_h, top_c, filled, sizes))
-    del filled
-    denominator = float(n + v + 1)
+def _heavy(model: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and levels of the heavy n-grams; bounded by their threshold."""
+    rows = model["filter"].select("heavy_h", "heavy_q").filter(F.length("heavy_q") > 0).toArrow()
+    h = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(x.as_py(), np.uint64) for x in rows.column("heavy_h"))])
+    q = np.concatenate([np.empty(0, np.uint8), *(np.frombuffer(x.as_py(), np.uint8) for x in rows.column("heavy_q"))])
+    order = np.argsort(h)
+    return h[order], q[order]
 
-    def rows(batches, levels_of_slice):
-        cache = _Hashes()
-        h_top, c_top, filled, sizes = shared.value
-        held = LogFrequencyFilter(filled, sizes)
-        for b in batches:
-            for at0, part in _slices(b, "text", SCORE_SLICE):
-                flat, at = token_hashes(part, cache)
-                first = np.zeros(len(flat), dtype=bool)
-                first[at[:-1]] = True
-                uniq, where = np.unique(flat, return_inverse=True)
-                spot = np.minimum(np.searchsorted(h_top, uniq), max(len(h_top) - 1, 0))
-                known = (h_top[spot] == uniq) if len(h_top) else np.zeros(len(uniq), dtype=bool)
-                term = np.where(known, np.log10(((c_top[spot] if len(h_top) else 0) + 1.0) / denominator), 0.0)
-                which = np.repeat(np.arange(len(part)), np.diff(at))
-                base = np.bincount(which, term[where], len(part))
-                n_known = np.bincount(which, known[where], len(part)).astype(np.int64)
-                rare = ~known[where]
-                rare_h, rare_n = [], []
-                pairs, times = np.unique(which[rare] * len(uniq) + where[rare], return_counts=True)
-                pairs = np.stack(np.divmod(pairs, max(len(uniq), 1)))
-                ends = np.searchsorted(pairs[0], np.arange(len(part) + 1))
-                for i in range(len(part)):
-                    rare_h.append(uniq[pairs[1][ends[i] : ends[i + 1]]].view(np.int64))
-                    rare_n.append(times[ends[i] : ends[i + 1]])
-                grams = ngram_hashes(flat, at, order)
-                yield b.slice(at0, len(part)), np.diff(at), base, n_known, rare_h, rare_n, levels_of_slice(grams, first, which, len(part), held)
-
-    def by_broadcast(batches):
-        def levels(grams, first, which, k, held):
-            got = []
-            for g in grams:
-                u, w = np.unique(g, return_inverse=True)
-                got.append(held.levels(u)[w])
-            return np.bincount(which, smoothed(got, first, n, v, texts), k)
-
-        for b, sizes, base, known, rh, rn, scores in rows(batches, levels):
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array(sizes), pa.array(known), pa.array(base), pa.array(scores), pa.array([x.tolist() for x in rh], pa.list_(pa.int64())), pa.array([x.tolist() for x in rn], pa.list_(pa.int64()))], names=names)
-
-    names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare_h", "rare_n"]
-    schema = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare_h array<long>, rare_n array<long>"
-    src = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "held_out", "text")
-    if whole:
-        scored = src.mapInArrow(by_broadcast, schema)
-    else:
-        scored = _score_by_shuffle(src, model, rows, names, schema)
-    rare = scored.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", F.explode_outer(F.arrays_zip("rare_h", "rare_n")).alias("r")).select("*", F.col("r.rare_h").alias("h"), F.col("r.rare_n").alias("m")).drop("r")
-    tail = model["counts"] if least is None else model["counts"].filter(F.col("c") < least)
-    met = rare.join(tail, "h", "left")
-    term = F.when(F.col("m").isNotNull(), F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denominator)))
-    per = met.groupBy("rid").agg(*[F.first(c).alias(c) for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")], F.sum(term).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("seen"))
-    return per.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
+
+def _find(sorted_h: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether there) of each key."""
+    if not len(sorted_h):
+        return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+    at = np.minimum(np.searchsorted(sorted_h, keys), len(sorted_h) - 1)
+    return at, sorted_h[at] == keys
 
 
-def _score_by_shuffle(src: DataFrame, model: dict, rows, names, schema) -> DataFrame:
-    """The same scores when the filter is too large to broadcast: tokens' n-grams visit the shards that hold them."""
-    n, v, texts, order, shards = model["n"], model["v"], model["texts"], model["order"], model["shards"]
+def score(spark: SparkSession, model: dict, top_words: int = TOP_WORDS) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each document that train() was given."""
+    n, v, texts, order, shards, packs = model["n"], model["v"], model["texts"], model["order"], model["shards"], model["packs"]
+    top_h, top_c, least = _frequent(model["counts"], top_words)
+    words, grams = spark.sparkContext.broadcast((top_h, top_c)), spark.sparkContext.broadcast(_heavy(model))
+    denominator = float(n + v + 1)
 
-    def facts(batches):
-        for b, sizes, base, known, rh, rn, _ in rows(batches, lambda *a: None):
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("held_out"), pa.array(sizes), pa.array(known), pa.array(base), pa.array(np.zeros(len(base))), pa.array([x.tolist() for x in rh], pa.list_(pa.int64())), pa.array([x.tolist() for x in rn], pa.list_(pa.int64()))], names=names)
+    def asked(p: Pack):
+        """(distinct n-grams, number of each token's, place and presence among the heavy ones, those that are asked in order of their shards, their shards)."""
+        u, which = np.unique(p.grams(order), return_inverse=True)
+        at, known = _find(grams.value[0], u)
+        open_ = np.flatnonzero(~known)
+        s = shard_of(u[open_], shards)
+        by = np.argsort(s, kind="stable")
+        return u, which.reshape(order, -1), at, known, open_[by], s[by]
 
     def asks(batches):
-        cache = _Hashes()
-        for b in batches:
-            for at0, part in _slices(b, "text", SCORE_SLICE):
-                rid = b.column("rid").to_numpy(zero_copy_only=False)[at0 : at0 + len(part)]
-                flat, at = token_hashes(part, cache)
-                who = np.repeat(rid, np.diff(at))
-                pos = np.arange(len(flat)) - np.repeat(at[:-1], np.diff(at))
-                for k, g in enumerate(ngram_hashes(flat, at, order)):
-                    yield pa.RecordBatch.from_arrays([pa.array(shard_of(g, shards)), _signed(g), pa.array(who), pa.array(pos), pa.array(np.full(len(g), k, np.int32))], names=["shard", "h", "rid", "pos", "k"])
-
-    def answer(key, asked, held):
+        for p in _packs(batches):
+            u, _, _, _, open_, s = asked(p)
+            present, at = np.unique(s, return_index=True)
+            keys = np.split(u[open_], at[1:])[: len(present)]
+            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array(np.full(len(present), p.id)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["shard", "pack", "h"])
+
+    def answer(left, right):
+        """Probes the shard's filter for all its n-grams."""
         sizes = np.zeros(shards, dtype=np.int64)
-        filled = np.frombuffer(held.column("bits")[0].as_py() if held.num_rows else b"", dtype=np.uint8)
-        sizes[key[0].as_py()] = len(filled)
-        keys, where = np.unique(asked.column("h").to_numpy().view(np.uint64), return_inverse=True)
-        return pa.table({"rid": asked.column("rid"), "pos": asked.column("pos"), "k": asked.column("k"), "q": LogFrequencyFilter(filled, sizes).levels(keys)[where]})
-
-    asked = src.mapInArrow(asks, "shard int, h long, rid long, pos long, k int")
-    # A shard's questions may be many; they are salted, and the shard's filter is repeated for each salt.
-    salts = 8
-    asked = asked.withColumn("salt", F.pmod(F.col("rid"), F.lit(salts)).cast("int"))
-    held = model["filter"].select("shard", "bits", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    got = asked.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "rid long, pos long, k int, q long")
-    per = got.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("k", "pos", "q"))).alias("x")).select("rid", F.transform("x", lambda t: t["q"]).alias("q"))
-
-    def finish(batches):
-        for b in batches:
-            out = []
-            for q in b.column("q").to_pylist():
-                q = np.array(q, dtype=np.int64).reshape(order, -1)
-                first = np.zeros(q.shape[1], dtype=bool)
-                first[0] = True
-                out.append(float(smoothed(list(q), first, n, v, texts).sum()))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(out)], names=["rid", "score"])
-
-    scores = per.mapInArrow(finish, "rid long, score double")
-    return src.mapInArrow(facts, schema).drop("score").join(scores, "rid").select(*names)
+        filled = np.frombuffer(right.column("bits")[0].as_py() if right.num_rows else b"", dtype=np.uint8)
+        if left.num_rows:
+            sizes[left.column("shard")[0].as_py()] = len(filled)
+        filt = LogFrequencyFilter(filled, sizes)
+        levels = [filt.levels(np.frombuffer(x.as_py(), np.uint64)).astype(np.uint8).tobytes() for x in left.column("h")]
+        return pa.table({"pack": left.column("pack"), "shard": left.column("shard"), "q": pa.array(levels, pa.binary())})
+
+    def finish(left, right):
+        out = {k: [] for k in names}
+        answers = {s: np.frombuffer(q, np.uint8) for s, q in zip(right.column("shard").to_pylist(), right.column("q").to_pylist())}
+        for row in left.to_pylist():
+            p = Pack(row)
+            u, which, at, known, open_, _ = asked(p)
+            levels = np.zeros(len(u), dtype=np.int64)
+            levels[known] = grams.value[1][at[known]]
+            if len(open_):
+                levels[open_] = np.concatenate([answers[s] for s in sorted(answers)])
+            first, k = np.zeros(len(p.tokens), dtype=bool), len(p.sizes)
+            first[p.at[:-1]] = True
+            scores = np.bincount(p.who, smoothed(list(levels[which]), first, n, v, texts), k)
+            spot, top = _find(words.value[0], p.words)
+            counts = words.value[1][spot] if len(words.value[1]) else np.zeros(len(spot))
+            term = np.where(top, np.log10((counts + 1.0) / denominator), 0.0)
+            # Words beyond the frequent ones, with their numbers in each document.
+            rare = np.flatnonzero(~top[p.tokens])
+            pairs, times = np.unique(p.who[rare] * len(p.words) + p.tokens[rare], return_counts=True)
+            doc, word = np.divmod(pairs, len(p.words))
+            ends = np.searchsorted(doc, np.arange(k + 1))
+            out["pack"] += [p.id] * k
+            out["pos"] += list(range(k))
+            out["doc_id"] += p.doc_ids
+            out["held_out"] += p.held.tolist()
+            out["n_tokens"] += p.sizes.tolist()
+            out["n_known"] += np.bincount(p.who, top[p.tokens], k).astype(np.int64).tolist()
+            out["base_score"] += np.bincount(p.who, term[p.tokens], k).tolist()
+            out["score"] += scores.tolist()
+            signed = p.words.view(np.int64)
+            out["rare"] += [[{"h": h, "m": m} for h, m in zip(signed[word[a:b]].tolist(), times[a:b].tolist())] for a, b in zip(ends, ends[1:])]
+        return pa.table({k: pa.array(out[k], t) for k, t in names.items()})
+
+    names = {"pack": pa.int64(), "pos": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))}
+    schema = "pack long, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h: long, m: long>>"
+    answers = packs.mapInArrow(asks, "shard int, pack long, h binary").groupBy("shard").cogroup(model["filter"].select("shard", "bits").groupBy("shard")).applyInArrow(answer, "pack long, shard int, q binary")
+    scored = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, schema)
+    scored = stored(scored, "lm-scored")
+    rare = scored.select("pack", "pos", F.explode("rare").alias("r")).select("pack", "pos", F.col("r.h").alias("h"), F.col("r.m").alias("m"))
+    tail = model["counts"] if least is None else model["counts"].filter(F.col("c") < least)
+    term = F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denominator))
+    more = rare.join(tail, "h", "left").groupBy("pack", "pos").agg(F.sum(term).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("m"))).alias("seen"))
+    met = scored.join(more, ["pack", "pos"], "left")
+    return met.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
 def op6_bloom_lm(spark, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(7)) == 2
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", fold.alias("held_out"))
-    return score(spark, docs, train(docs.filter(~F.col("held_out"))))
+    return score(spark, train(docs))
