@@ -17,8 +17,6 @@ is a root; nodes on a cycle reach no root and are left out. An empty table gives
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,7 +44,7 @@ def unescape_role(role: Column) -> Column:
 
 
 def linear_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """Turns as a reply tree: each message answers the one before it."""
+    """Turns as a reply tree: each message answers the one before it. A conversation is numbered, and later put together, in one task."""
     named = rows.select(F.col(conv).alias("tree"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(text).alias("text"))
     order = Window.partitionBy("tree").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
     node = F.row_number().over(order).cast("long")
@@ -54,23 +52,26 @@ def linear_tree(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
 
 def _with_ancestors(nodes: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """Per node its depth and path score, and the tables of ancestors 1, 2, 4, ... steps up."""
+    """Per node its depth and path score, and the tables of ancestors 1, 2, 4, ... steps up.
+
+    One table holds all nodes; `up` is the next node not yet counted in dist and total, and null once the root is passed. A round joins the nodes that
+    have one to the whole table, which doubles their steps."""
     own = nodes.select("tree", "node", "parent", "score")
     there = own.select(F.col("tree").alias("t"), F.col("node").alias("n"))
     link = own.join(there, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")), "left")
-    # `up` is the next node not yet counted in dist and total; a row without one has passed its root and is done.
-    first = cut(link.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("score").cast("double").alias("total")))
-    size, steps, done, pending = first.count(), [], [first.filter("up is null")], first.filter("up is not null")
+    known = cut(link.select("tree", "node", F.col("n").alias("up"), F.lit(1).cast("long").alias("dist"), F.col("score").cast("double").alias("total")))
+    left, steps = known.agg(F.count("up").alias("open"), F.count(F.lit(1)).alias("n")).first(), []
     # Pointers on a cycle never end: after as many doublings as any path can have, only those are left.
-    while 2 ** len(steps) <= size and pending.limit(1).count():
+    most, open_ = left["n"], left["open"]
+    while open_ and 2 ** len(steps) <= most:
+        pending = known.filter("up is not null")
         steps.append(pending.select("tree", "node", "up"))
-        known = reduce(DataFrame.unionByName, done, pending)
         far = known.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("dist").alias("d2"), F.col("total").alias("s2"))
         met = pending.join(far, F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")))
-        met = cut(met.select("tree", "node", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("total") + F.col("s2")).alias("total")))
-        done.append(met.filter("up is null"))
-        pending = met.filter("up is not null")
-    return reduce(DataFrame.unionByName, done).select("tree", "node", "dist", "total"), steps
+        met = met.select("tree", "node", F.col("up2").alias("up"), (F.col("dist") + F.col("d2")).alias("dist"), (F.col("total") + F.col("s2")).alias("total"))
+        known = cut(known.filter("up is null").unionByName(met))
+        open_ = known.agg(F.count("up").alias("open")).first()["open"]
+    return known.filter("up is null").select("tree", "node", "dist", "total"), steps
 
 
 def choose_paths(nodes: DataFrame, branches: int = 1) -> DataFrame:
@@ -98,15 +99,15 @@ def format_chats(nodes: DataFrame, branches: int = 1, train_role: str = "assista
     role = F.coalesce("role", F.lit(""))
     head = F.concat(F.lit(START), escape_role(role), F.lit("\n"))
     body = escape_text(F.col("text"))
-    turn = F.struct("depth", head.alias("head"), body.alias("body"), (role == train_role).alias("learn"))
-    chats = turns.groupBy("tree", "branch").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     tail = END + "\n"
+    rows = turns.select("tree", "branch", "depth", head.alias("head"), body.alias("body"), (role == train_role).alias("learn"))
+    # Where each turn begins: a running sum of lengths along its conversation.
+    before = Window.partitionBy("tree", "branch").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("head") + F.length("body") + len(tail)).over(before), F.lit(0)).cast("long") + F.length("head")
+    turn = F.struct("depth", "head", "body", "learn", at.alias("start"))
+    chats = rows.select("tree", "branch", turn.alias("turn")).groupBy("tree", "branch").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
     text = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(tail))), "")
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("spans"))
-    marks = F.transform("turns", lambda x: F.struct(F.length(x["head"]).cast("long").alias("h"), F.length(x["body"]).cast("long").alias("b"), x["learn"].alias("learn")))
-    chats = chats.withColumn("marks", marks)
-    # Running starts by one pass over lengths only; the texts stay out of the accumulator.
-    spans = F.aggregate("marks", first, lambda a, x: F.struct((a["at"] + x["h"] + x["b"] + len(tail)).alias("at"), F.when(x["learn"], F.concat(a["spans"], F.array(F.struct((a["at"] + x["h"]).alias("start"), (a["at"] + x["h"] + x["b"]).alias("end"))))).otherwise(a["spans"]).alias("spans")), lambda a: a["spans"])
+    spans = F.transform(F.filter("turns", lambda x: x["learn"]), lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(x["body"])).alias("end")))
     return chats.select("tree", "branch", text.alias("formatted"), spans.alias("loss"), F.size("turns").cast("long").alias("n_turns"))
 
 
