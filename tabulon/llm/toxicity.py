@@ -8,11 +8,11 @@ Label model. Generative: class -> votes, where each voter depends on the class a
 which holds the strongest correlations). Accuracies, correlations and the reliability of the given labels are estimated by expectation-maximisation over all training
 documents, labelled or not. Its posterior is the target of the classifier.
 
-Classifier. Logistic regression over the mined features and the votes, fitted on a bounded sample of labelled rows (FIT_ROWS, taken
-by hash) with a penalty towards fixed prior weights, so that with few or no labels the lexicons decide.
+Classifier. Logistic regression over the mined features and the votes, fitted on a bounded sample (FIT_ROWS, taken by hash: half of it labelled rows, half any training
+rows) with a penalty towards fixed prior weights, so that with few or no labels the lexicons decide.
 
-Mining counts every feature over all labelled training rows, pre-aggregated per batch; a feature is taken if its log-likelihood ratio is over LEAST_RATIO,
-at most FEATURES of them. Defined results: null and empty texts score by the intercept. Labels without a document, null labels and null ids teach nothing; of
+Mining counts every feature over all labelled training rows, pre-aggregated per batch; a feature is taken if its log-likelihood ratio is over LEAST_RATIO.
+The driver holds those features, the counts of the distinct masks and the sample. Defined results: null and empty texts score by the intercept. Labels without a document, null labels and null ids teach nothing; of
 several labels of one document the largest counts. Rows that repeat a doc_id are scored each. Empty tables give empty tables.
 """
 
@@ -30,7 +30,6 @@ from pyspark.sql import functions as F
 from tabulon.session import stored
 
 FIT_ROWS = 20_000
-FEATURES = 4_000
 LEAST_RATIO, LEAST_DOCS = 22.0, 3
 
 #: Insults by language.
@@ -126,7 +125,7 @@ def mine(labelled: DataFrame) -> list[tuple[bytes, float]]:
     p = (a + b) / float(n1 + n0)
     rest = lambda k, n: F.when(k < n, (n - k) * F.log((n - k) / n / (1 - p))).otherwise(F.lit(0.0))
     ratio = 2 * (term(a, float(n1), p) + term(b, float(n0), p) + F.when(p < 1, rest(a, float(n1)) + rest(b, float(n0))).otherwise(F.lit(0.0)))
-    best = per.filter(a + b >= LEAST_DOCS).withColumn("g", ratio).filter(F.col("g") > LEAST_RATIO).orderBy(F.desc("g"), "f").limit(FEATURES)
+    best = per.filter(a + b >= LEAST_DOCS).withColumn("g", ratio).filter(F.col("g") > LEAST_RATIO).orderBy(F.desc("g"), "f")
     return [(bytes(r["f"]), 1.0 if r["a"] / n1 > r["b"] / n0 else -1.0) for r in best.collect()]
 
 
@@ -228,7 +227,7 @@ class Classifier:
         x = prior.copy()
         m1, m2 = np.zeros_like(x), np.zeros_like(x)
         pull = np.full(len(x), penalty)
-        pull[-1] = 0.01
+        pull[-1] = 1.0
         for t in range(1, steps + 1):
             z = x[-1] + np.bincount(who, x[cols], len(rows))
             g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
@@ -246,6 +245,7 @@ class Classifier:
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Classifier:
     """docs(doc_id, text): the training side only; labels(doc_id, toxic)."""
+    docs = docs.select("doc_id", "text")
     given = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     # Both sides are dealt by doc_id at every size: how much moves then follows the input.
     labelled = stored(docs.join(given.hint("merge"), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "toxic"), "toxic-labelled")
@@ -253,32 +253,28 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     voters = Voters([f for f, sign in mined if sign > 0])
     blank = Classifier(voters, mined)
 
-    def masks(batches):
-        for b in batches:
-            seen = Counter(blank.row(t.as_py())[0] for t in b.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["mask", "n"])
-
     def sparse(batches):
         for b in batches:
             got = [blank.row(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([k for k, _ in got], pa.int64()), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["doc_id", "toxic", "mask", "cols"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([k for k, _ in got], pa.int64()), pa.array([c for _, c in got], pa.list_(pa.int32()))], names=["doc_id", "mask", "cols"])
 
-    voted = stored(labelled.mapInArrow(sparse, "doc_id long, toxic int, mask long, cols array<int>"), "toxic-votes")
-    every = docs.select("text").mapInArrow(masks, "mask long, n long").groupBy("mask").agg(F.sum("n").alias("n"))
-    given_counts = voted.groupBy("mask", "toxic").agg(F.count(F.lit(1)).alias("n"))
-    counts = every.select("mask", F.lit(-1).alias("y"), "n").unionByName(given_counts.select("mask", F.col("toxic").alias("y"), "n")).collect()
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    voted = stored(every.mapInArrow(sparse, "doc_id long, mask long, cols array<int>"), "toxic-votes")
+    known = stored(voted.join(given.hint("merge"), "doc_id"), "toxic-known")
+    free = voted.groupBy("mask").agg(F.count(F.lit(1)).alias("n")).select("mask", F.lit(-1).alias("y"), "n")
+    counts = free.unionByName(known.groupBy("mask", F.col("toxic").alias("y")).agg(F.count(F.lit(1)).alias("n"))).collect()
     at = {k: i for i, k in enumerate(sorted({r["mask"] for r in counts}))}
     table = np.zeros((len(at), 3))
     for r in counts:
         table[at[r["mask"]], r["y"]] += r["n"]
     model = LabelModel().fit(np.array(list(at), dtype=np.int64), np.maximum(0, table[:, 2] - table[:, :2].sum(1)), table[:, :2], len(voters.names)) if at else None
 
-    # The bounded sample: by hash, up to half of it toxic.
-    n1, n = voted.filter("toxic = 1").count(), voted.count()
-    take1 = min(n1, fit_rows // 2)
-    share = {1: take1 / n1 if n1 else 0.0, 0: min(1.0, (fit_rows - take1) / (n - n1)) if n > n1 else 0.0}
-    u = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("fit")), F.lit(1 << 30)) / float(1 << 30)
-    rows = voted.filter(u < F.when(F.col("toxic") == 1, share[1]).otherwise(share[0])).select("mask", "toxic", "cols").toArrow()
+    # The bounded sample: a quarter each of toxic rows, other labelled rows, rows with a vote and rows without one.
+    order = [F.xxhash64("doc_id", F.lit("fit")), "doc_id", "mask", "cols"]
+    first = lambda rows: rows.orderBy(*order).limit(max(1, fit_rows // 4)).select("mask", "toxic", "cols")
+    unknown = voted.withColumn("toxic", F.lit(-1))
+    parts = [known.filter("toxic = 1"), known.filter("toxic = 0"), unknown.filter("mask <> 0"), unknown.filter("mask = 0")]
+    rows = pa.concat_tables([first(x).toArrow().cast(pa.schema([("mask", pa.int64()), ("toxic", pa.int32()), ("cols", pa.list_(pa.int32()))])) for x in parts])
     if model is not None and rows.num_rows:
         target = model.posterior(rows.column("mask").to_numpy(), rows.column("toxic").to_numpy())
         blank.fit(rows.column("cols").to_pylist(), target)

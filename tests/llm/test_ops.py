@@ -526,6 +526,27 @@ def test_toxicity_without_labels(odd, none, spark):
     assert toxicity.score_toxicity(none.select("doc_id", "text", F.lit(True).alias("held_out")), toxicity.train_toxicity(none.select("doc_id", "text"), nolabels)).count() == 0
 
 
+def test_toxicity_odd_labels(spark):
+    """Repeated rows and labels, clashing columns, labels of one class only."""
+    rows = [(k, f"you idiot {k}" if k % 4 == 0 else f"a fine day {k}", "mask", 3) for k in range(200)] + [(7, "a fine day 7", "x", 1), (None, "you moron", "x", 1), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mask string, toxic int")
+    labels = spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(0, 200, 3)] + [(8, 0), (8, 1), (None, 1), (9, None), (9, 7), (99_999, 1)], "doc_id long, toxic int")
+    for given in (labels, labels.filter("toxic = 1"), labels.filter("toxic = 0")):
+        got = toxicity.score_toxicity(docs.withColumn("held_out", F.lit(False)), toxicity.train_toxicity(docs, given)).collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+        assert given is not labels or all(r["predicted"] == (r["doc_id"] % 4 == 0) for r in got if r["doc_id"] is not None)
+
+
+def test_classifier_learns_from_unlabelled_text(spark):
+    """Unlabelled documents, judged by their votes alone, are targets as well."""
+    rows = [(k, f"you idiot and moron says {k}" if k % 3 == 0 else f"all is well {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    right = sum((model.score(t) >= 0.5) == (k % 3 == 0) for k, t in rows)
+    posterior = model.label_model.posterior(np.array([model.row(t)[0] for _, t in rows]), np.full(len(rows), -1))
+    assert right == len(rows) and ((posterior >= 0.5) == [k % 3 == 0 for k, _ in rows]).all()
+
+
 def test_label_model_finds_accuracies():
     rng = np.random.default_rng(0)
     y = rng.random(20_000) < 0.2
