@@ -28,7 +28,7 @@ def load() -> None:
     """Imports the modules that register queries."""
     import importlib
 
-    for name in ("elementwise", "aggregates", "tables", "learning", "iterative"):
+    for name in ("elementwise", "aggregates", "tables", "learning", "iterative", "tensors"):
         importlib.import_module(f"tabulon.queries.{name}")
 
 

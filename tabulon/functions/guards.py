@@ -12,10 +12,45 @@ INF, NAN = float("inf"), float("nan")
 NUMBER = r"^[+-]?((?i:inf|infinity|nan)|(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)$"
 
 
+def signbit(x: Column) -> Column:
+    """Whether the sign is negative, -0.0 included; false for NaN."""
+    return F.coalesce((x < 0) | ((x == 0) & x.cast("double").cast("string").startswith("-")), F.lit(False))
+
+
 def ieee_div(a: Column, b: Column) -> Column:
     """a / b with x/0 = signed infinity and 0/0 = NaN."""
     a, b = a.cast("double"), b.cast("double")
-    return F.when(b != 0, F.try_divide(a, b)).when(a.isNull() | b.isNull(), F.lit(None)).when(F.isnan(a) | (a == 0), F.lit(NAN)).otherwise(F.signum(a) * INF)
+    infinite = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when((a < 0) != signbit(b), F.lit(-INF)).otherwise(F.lit(INF))
+    return F.when(b != 0, F.try_divide(a, b)).when(a.isNotNull() & b.isNotNull(), infinite)
+
+
+def above(x: Column, y) -> Column:
+    """x > y, false where x is NaN (Spark holds NaN for the largest number)."""
+    return (x > y) & ~F.isnan(x)
+
+
+def fmax(x: Column, y: Column) -> Column:
+    """The larger one; a number wins against NaN."""
+    return F.when(F.isnan(x), y).when(F.isnan(y), x).otherwise(F.greatest(x, y))
+
+
+def fmin(x: Column, y: Column) -> Column:
+    """The smaller one; a number wins against NaN, which Spark holds for the largest."""
+    return F.least(x, y)
+
+
+def _whole(x: Column, fn) -> Column:
+    """fn, which returns a long, of a double of any size: from 2 ** 52 on all doubles are whole."""
+    x = x.cast("double")
+    return F.when(F.abs(x) < float(1 << 52), fn(x).cast("double")).otherwise(x)
+
+
+def floor(x: Column) -> Column:
+    return _whole(x, F.floor)
+
+
+def ceil(x: Column) -> Column:
+    return _whole(x, F.ceil)
 
 
 def _log(x: Column, fn) -> Column:
@@ -49,12 +84,17 @@ def strict_double(s: Column) -> Column:
 
 
 def trunc(x: Column) -> Column:
-    return F.when(x < 0, F.ceil(x)).otherwise(F.floor(x)).cast("double")
+    return F.when(x < 0, ceil(x)).otherwise(floor(x))
 
 
 def floormod(x: Column, y: Column) -> Column:
-    """x - floor(x / y) * y."""
-    return x - F.floor(x / y) * y
+    """x - floor(x / y) * y; NaN for a zero divisor."""
+    return x - floor(ieee_div(x, y)) * y
+
+
+def fmod(x: Column, y: Column) -> Column:
+    """The remainder with the sign of x; NaN for a zero divisor."""
+    return F.when(y != 0, x % y).when(x.isNotNull() & y.isNotNull(), F.lit(NAN))
 
 
 def as_flag(cond: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabulon.functions.guards import strict_double
+from tabulon.session import cut
 
 #: Cells that count as missing, and image file extensions.
 MISSING = ("", "NA", "NaN", "nan", "N/A", "NULL", "null", "None", "none", "?", ".", "-")
@@ -24,6 +27,14 @@ def pseudo_days(cell: Column) -> Column:
     return F.coalesce(strict_double(cell), F.when(F.size(parts) >= 3, F.get(parts, F.lit(0)) * 365.25 + F.get(parts, F.lit(1)) * 30.44 + F.get(parts, F.lit(2))))
 
 
+def days(df: DataFrame, name: str) -> Column:
+    """pseudo_days of a column: dates and timestamps by their fields, anything else by its text."""
+    c, kind = F.col(f"`{name}`"), dict(df.dtypes)[name]
+    if kind == "date" or kind.startswith("timestamp"):
+        return F.year(c) * 365.25 + F.month(c) * 30.44 + F.dayofmonth(c)
+    return pseudo_days(c.cast("string"))
+
+
 def tokens(text: Column) -> Column:
     """Alphanumeric runs, A-Z lower-cased."""
     low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -101,6 +112,19 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(finite(F.col(c)), F.lit(means[c])) for c in columns})
 
 
+def impute_zscore(df: DataFrame, columns: list[str]) -> DataFrame:
+    """impute_mean, then zscore, with all statistics from one pass: imputed values lie at the mean and add nothing to the squares."""
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    x = {c: finite(F.col(f"`{c}`").cast("double")) for c in columns}
+    parts = [f(x[c]).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("m", F.avg), ("v", F.var_pop), ("n", F.count))]
+    s = df.agg(F.count(F.lit(1)).alias("n"), *parts).first()
+    out = {}
+    for i, c in enumerate(columns):
+        mean, var = s[f"m{i}"] or 0.0, (s[f"v{i}"] or 0.0) * s[f"n{i}"] / max(s["n"], 1)
+        out[c] = (F.coalesce(x[c], F.lit(mean)) - F.lit(mean)) / F.lit((var + 1e-8) ** 0.5)
+    return df.withColumns(out)
+
+
 def drop_bad_targets(df: DataFrame, target: str) -> DataFrame:
     return df.filter(F.col(target).isNotNull() & ~F.isnan(F.col(target).cast("double")) & (F.abs(F.col(target)) != float("inf")))
 
@@ -116,6 +140,27 @@ def uniform(*key: Column, seed: int = 42) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
+def normal(*key: Column, seed: int = 42) -> Column:
+    """Standard normal draws from two uniform ones (of seed and seed + 1)."""
+    return F.sqrt(-2.0 * F.ln(1.0 - uniform(*key, seed=seed))) * F.cos(2.0 * math.pi * uniform(*key, seed=seed + 1))
+
+
+def bernoulli(p: float, *key: Column, seed: int = 42) -> Column:
+    return uniform(*key, seed=seed) < p
+
+
+def dropout(x: Column, p: float, *key: Column, seed: int = 42) -> Column:
+    """Zero with probability p, otherwise x / (1 - p)."""
+    return F.when(bernoulli(p, *key, seed=seed), 0.0).otherwise(x / (1.0 - p))
+
+
+def permutation(df: DataFrame, key: str, seed: int = 42, out: str = "place") -> DataFrame:
+    """Adds each row's place in a random order, by hash; found by ranges, no task orders the whole table."""
+    from tabulon.operators.ordering import argsort
+
+    return argsort(df.withColumn("__u", uniform(F.col(key), seed=seed)), "__u", key, out=out).drop("__u")
+
+
 def exact_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """Adds in_train: exactly round(n * share) rows, chosen by hash.
 
@@ -152,6 +197,75 @@ def quantize_int(x: Column, scale: float, zero: int, low: int, high: int) -> Col
     return F.least(F.greatest(F.round(x / scale) + zero, F.lit(float(low))), F.lit(float(high)))
 
 
+def dequantize_int(q: Column, scale: float, zero: int) -> Column:
+    return (q - zero) * scale
+
+
+def fake_quantize(x: Column, scale: float, zero: int, low: int, high: int) -> Column:
+    return dequantize_int(quantize_int(x, scale, zero, low, high), scale, zero)
+
+
+def onehot_groups(columns: list[str]) -> dict[str, list[str]]:
+    """Base name -> its one-hot columns (`base=value`), in order; a column alone is a group of one."""
+    out: dict[str, list[str]] = {}
+    for c in columns:
+        base, mark, _ = c.partition("=")
+        if mark:
+            out.setdefault(base, []).append(c)
+    return out
+
+
+def token_columns(columns: list[str]) -> dict[str, list[str]]:
+    """Base name -> its token columns (`base#t0`, `base#t1`, ...), in order of their number."""
+    out: dict[str, list[tuple[int, str]]] = {}
+    for c in columns:
+        base, mark, k = c.rpartition("#t")
+        if mark and k.isdigit():
+            out.setdefault(base, []).append((int(k), c))
+    return {b: [c for _, c in sorted(x)] for b, x in out.items()}
+
+
+def collapse_onehot(df: DataFrame) -> DataFrame:
+    """One-hot groups back to a column each: the number of the value that is set, counted on over the groups; without one it is 0. Other columns come first."""
+    groups = onehot_groups(df.columns)
+    members = {c for g in groups.values() for c in g}
+    made, start = [], 0
+    for base, cols in groups.items():
+        hits = [F.when(F.col(f"`{c}`") > 0.5, F.lit(float(start + k))) for k, c in enumerate(cols)]
+        made.append(F.coalesce(*hits, F.lit(0.0)).alias(base))
+        start += len(cols)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in members], *made)
+
+
+def token_vocabulary(df: DataFrame, x: str) -> DataFrame:
+    """token, id: the distinct tokens of a text column, numbered from 1 in their order, by ranges."""
+    from tabulon.operators.ordering import argsort
+
+    v = df.select(F.explode(tokens(F.col(f"`{x}`"))).alias("token")).distinct()
+    return argsort(v, "token", "token", out="id").select("token", (F.col("id") + 1).cast("int").alias("id"))
+
+
+def text_ids(df: DataFrame, x: str, out: str, vocab: DataFrame | None = None, most: int = MAX_TOKENS) -> DataFrame:
+    """Adds the ids of the first `most` tokens of a text column as an array; a token that the vocabulary lacks is 0.
+
+    The vocabulary may be of any size: tokens are joined to it, not looked up in a literal."""
+    vocab = token_vocabulary(df, x) if vocab is None else vocab
+    rows = df.withColumn("__row", F.monotonically_increasing_id())
+    rows = cut(rows)
+    words = rows.select("__row", F.posexplode(F.slice(tokens(F.col(f"`{x}`")), 1, most)).alias("__k", "token"))
+    ids = words.join(vocab, "token", "left").groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("__k", F.coalesce("id", F.lit(0)).alias("id")))).alias("__x"))
+    found = rows.join(ids.select("__row", F.transform("__x", lambda z: z["id"]).alias("__ids")), "__row", "left")
+    return found.withColumn(out, F.coalesce("__ids", F.array().cast("array<int>"))).drop("__row", "__ids")
+
+
+def text_columns(df: DataFrame, x: str, vocab: DataFrame | None = None, most: int = MAX_TOKENS) -> tuple[DataFrame, list[str]]:
+    """(df with the columns `x#t0`, `x#t1`, ... of token ids, padded with 0, instead of x; their names): as many as the longest text has tokens, at most `most`."""
+    found = text_ids(df, x, "__text_ids", vocab, most)
+    width = found.agg(F.max(F.size("__text_ids"))).first()[0] or 1
+    names = [f"{x}#t{k}" for k in range(max(1, width))]
+    return found.select(*[F.col(f"`{c}`") for c in df.columns if c != x], *[F.coalesce(F.get("__text_ids", F.lit(k)), F.lit(0)).cast("double").alias(n) for k, n in enumerate(names)]), names
+
+
 def exclude(df: DataFrame, patterns: list[str]) -> DataFrame:
     """Drops columns by exact name, `group:*`, bare group, or bare column after a group."""
     def hit(name: str) -> bool:

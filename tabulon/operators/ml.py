@@ -29,6 +29,74 @@ def multinomial_nb(tokens: DataFrame, doc: str, feature: str, logp: DataFrame, p
     return base.join(hit, [doc, cls], "left").select(doc, cls, (F.col("prior") + F.col("__n") * F.col("floor") + F.coalesce("__s", F.lit(0.0))).alias("score"))
 
 
+def bernoulli_nb(present: DataFrame, docs: DataFrame, doc: str, feature: str, logp: DataFrame, priors: DataFrame, cls: str) -> DataFrame:
+    """doc, class, score: log prior, plus log p of the features a document has and log(1 - p) of those it has not.
+
+    present(doc, feature): distinct; logp(class, feature, logp): all features of all classes; priors(class, prior). The absent ones are summed once a class, and
+    a document corrects that sum by the features that it has."""
+    none = logp.groupBy(cls).agg(F.sum(F.log1p(-F.exp("logp"))).alias("__none"))
+    per = present.join(logp, feature).groupBy(doc, cls).agg(F.sum(F.col("logp") - F.log1p(-F.exp("logp"))).alias("__s"))
+    classes = F.array(*[F.lit(r[0]) for r in priors.select(cls).collect()])
+    base = docs.select(doc, F.explode(classes).alias(cls)).join(priors, cls).join(none, cls)
+    return base.join(per, [doc, cls], "left").select(doc, cls, (F.col("prior") + F.col("__none") + F.coalesce("__s", F.lit(0.0))).alias("score"))
+
+
+def gaussian_stats(x: DataFrame, cls: str, feature: str, value: str, smoothing: float = 1e-9) -> DataFrame:
+    """class, feature, mean, var of a long table."""
+    return x.groupBy(cls, feature).agg(F.avg(value).alias("mean"), (F.var_pop(value) + smoothing).alias("var"))
+
+
+def gaussian_ll(x: DataFrame, row: str, feature: str, value: str, stats: DataFrame, priors: DataFrame, cls: str) -> DataFrame:
+    """row, class, score: log prior - 0.5 * sum(ln var + (x - mean)^2 / var)."""
+    d = F.col(value) - F.col("mean")
+    s = x.select(row, feature, value).join(stats, feature).groupBy(row, cls).agg(F.sum(F.ln("var") + d * d / F.col("var")).alias("__s"))
+    return s.join(priors, cls).select(row, cls, (F.col("prior") - 0.5 * F.col("__s")).alias("score"))
+
+
+def itemset_support(items: DataFrame, basket: str, item: str, sets: DataFrame) -> DataFrame:
+    """set, support: baskets that hold all items of sets(set, item), of sets of any size."""
+    sizes = sets.groupBy("set").agg(F.count(F.lit(1)).alias("__k"))
+    held = items.select(basket, item).distinct().join(sets.withColumnRenamed("item", item), item).groupBy(basket, "set").agg(F.count(F.lit(1)).alias("__n"))
+    full = held.join(sizes, "set").filter("__n = __k").groupBy("set").agg(F.count(F.lit(1)).alias("support"))
+    return sizes.join(full, "set", "left").select("set", F.coalesce("support", F.lit(0)).alias("support"))
+
+
+def join_itemsets(sets: DataFrame) -> DataFrame:
+    """items (sorted array, one longer): frequent sets of one size that agree in all but their last item, joined; no subset is pruned."""
+    split = sets.select(F.slice("items", F.lit(1), F.size("items") - 1).alias("p"), F.element_at("items", -1).alias("a"))
+    return split.join(split.select("p", F.col("a").alias("b")), "p").filter("a < b").select(F.concat("p", F.array("a", "b")).alias("items"))
+
+
+def frequent_itemsets(items: DataFrame, basket: str, item: str, least: int, most_items: int) -> DataFrame:
+    """items (sorted array), support of all sets of up to most_items items in at least `least` baskets, size after size."""
+    level = item_support(items, basket, item).filter(F.col("support") >= least).select(F.array(item).alias("items"), "support")
+    out = level = cut(level)
+    for _ in range(1, most_items):
+        found = cut(join_itemsets(level).withColumn("set", F.concat_ws("\0", F.transform("items", lambda x: x.cast("string")))))
+        support = itemset_support(items, basket, item, found.select("set", F.explode("items").alias("item")))
+        level = cut(found.join(support, "set").filter(F.col("support") >= least).select("items", "support"))
+        if level.isEmpty():
+            break
+        out = out.unionByName(level)
+    return out
+
+
+def random_threshold(df: DataFrame, x: str, seed: int) -> Column:
+    """A threshold drawn uniformly between the least and the largest value, by keyed hash."""
+    from tabulon.operators.encode import uniform
+
+    low, high = F.min(x), F.max(x)
+    return df.agg((low + uniform(F.lit(x), seed=seed) * (high - low)).alias("t")).scalar()
+
+
+def feature_subset(features: list[str], k: int, seed: int) -> list[str]:
+    """k features drawn without replacement by keyed hash, in their given order."""
+    import hashlib
+
+    drawn = sorted(features, key=lambda f: hashlib.md5(f"{seed}:{f}".encode()).digest())[:k]
+    return [f for f in features if f in drawn]
+
+
 def item_support(items: DataFrame, basket: str, item: str) -> DataFrame:
     return items.select(basket, item).distinct().groupBy(item).agg(F.count(F.lit(1)).alias("support"))
 
@@ -112,14 +180,18 @@ def leaf_values(df: DataFrame, node: str, grad: str, hess: str, lam: float = 1.0
 
 def goss(df: DataFrame, grad: str, key: Column, top: float, other: float) -> DataFrame:
     """Adds weight: 1 for the share `top` of the largest |grad|, (1 - top) / other for a share `other` of the rest drawn by hash; others are dropped."""
-    cutoff = df.agg(F.percentile(F.abs(F.col(grad)), F.lit(1.0 - top)).alias("c")).scalar()
+    from tabulon.operators.ordering import quantiles
+
+    cutoff = quantiles(df.select(F.abs(F.col(grad)).alias("g")), "g", [1.0 - top])[0]
+    if cutoff is None:
+        return df.withColumn("weight", F.lit(1.0))
     big = F.abs(F.col(grad)) >= cutoff
     marked = df.withColumn("weight", F.when(big, F.lit(1.0)).when(key < other, F.lit((1.0 - top) / other)))
     return marked.filter("weight is not null")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the largest node id that each node reaches; minimum label spreading with pointer jumping on negated ids."""
+    """node, component: the largest node id that each node reaches; the largest label spreads along the edges, with pointer jumping."""
     e = edges.select("src", "dst").filter("src != dst")
     both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
@@ -153,7 +225,11 @@ def spanning_forest(edges: DataFrame) -> DataFrame:
 
 def bootstrap(df: DataFrame, pos: str, n: int, rounds: int, seed: int = 7) -> DataFrame:
     """round, slot, pos of sampling with replacement by keyed hash; rows must carry positions 0 ... n-1."""
-    draws = df.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).cast("int").alias("round"), (F.col("id") % n).alias("slot"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).alias(pos))
+    from tabulon.operators.encode import uniform
+
+    slot = F.col("id") % n
+    at = F.floor(uniform(F.floor(F.col("id") / n).cast("long"), slot, seed=seed) * n)
+    draws = df.sparkSession.range(rounds * n).select(F.floor(F.col("id") / n).cast("int").alias("round"), slot.alias("slot"), at.cast("long").alias(pos))
     return draws.join(df, pos)
 
 

@@ -32,10 +32,9 @@ def moments(x: Column) -> dict[str, Column]:
 
 
 def logsumexp(df: DataFrame, x: str, by: list[str] | None = None) -> DataFrame:
-    """max + ln(sum(exp(x - max))). One pass: each group keeps a running (max, scaled sum) by way of two aggregates over e^(x - group max)."""
+    """max + ln(sum(exp(x - max))). Two scans: the maxima, one row a group, which are found first and joined, and the sums; both pre-aggregated."""
     by = by or []
     top = df.groupBy(*by).agg(F.max(x).alias("__m"))
-    # The maxima are one row for each group; adaptive execution broadcasts them if they measure small.
     joined = df.join(top, by) if by else df.withColumn("__m", top.scalar())
     return joined.groupBy(*by, "__m").agg((F.log(F.sum(F.exp(F.col(x) - F.col("__m")))) + F.col("__m")).alias("logsumexp")).drop("__m")
 

@@ -87,6 +87,73 @@ def take_along(src: Column, idx: Column) -> Column:
     return F.transform(idx, lambda j: F.get(src, j))
 
 
-def array_ops(v: Column, n: int) -> dict[str, Column]:
-    """Per-row array operators: slice, flip, roll by two, concatenation with itself, tile."""
-    return {"lead": F.slice(v, 1, 3), "flip": F.reverse(v), "rolled": F.concat(F.slice(v, n - 1, 2), F.slice(v, 1, n - 2)), "twice": F.concat(v, v)}
+def array_ops(v: Column, shift: int = 2) -> dict[str, Column]:
+    """Per-row array operators: slice, flip, roll (the last `shift` elements come first), concatenation with itself."""
+    k = F.pmod(F.lit(shift), F.greatest(F.size(v), F.lit(1)))
+    return {"lead": F.slice(v, 1, 3), "flip": F.reverse(v), "rolled": F.concat(F.slice(v, F.size(v) - k + 1, k), F.slice(v, F.lit(1), F.size(v) - k)), "twice": F.concat(v, v)}
+
+
+def concat_columns(a: DataFrame, b: DataFrame, width: int) -> DataFrame:
+    """Two matrices side by side; `width` is the number of columns of the first."""
+    return a.unionByName(b.withColumn("j", F.col("j") + width))
+
+
+def concat_rows(a: DataFrame, b: DataFrame, height: int) -> DataFrame:
+    """Two matrices one above the other; `height` is the number of rows of the first."""
+    return a.unionByName(b.withColumn("i", F.col("i") + height))
+
+
+def slice_columns(m: DataFrame, start: int, count: int) -> DataFrame:
+    """Columns start ... start + count - 1, numbered from 0."""
+    return m.filter(F.col("j").between(start, start + count - 1)).withColumn("j", F.col("j") - start)
+
+
+def broadcast(m: DataFrame, vector: DataFrame, axis: str, op: str) -> DataFrame:
+    """m with its value combined with vector(axis, w) along an axis: add, sub, mul or div."""
+    from tabulon.functions.guards import ieee_div
+
+    made = {"add": F.col("v") + F.col("w"), "sub": F.col("v") - F.col("w"), "mul": F.col("v") * F.col("w"), "div": ieee_div(F.col("v"), F.col("w"))}[op]
+    return m.join(vector.select(axis, "w"), axis).select("i", "j", made.alias("v"))
+
+
+def outer(x: DataFrame, y: DataFrame, blocks: int = 64) -> DataFrame:
+    """i, j, v = x_i * y_j of x(i, v) and y(j, w): y is dealt to blocks and each row of x meets every block once."""
+    right = y.withColumn("__b", F.pmod(F.xxhash64("j"), F.lit(blocks)))
+    left = x.withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    return left.join(right, "__b").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
+
+
+def matrix(spark, rows: int, columns: int, value: Column) -> DataFrame:
+    """i, j, v for all cells; value is an expression of i and j. Eye is i = j, tri is j <= i + k, fill is a literal."""
+    grid = spark.range(rows * columns).select(F.floor(F.col("id") / columns).cast("long").alias("i"), (F.col("id") % columns).alias("j"))
+    return grid.withColumn("v", value.cast("double"))
+
+
+def eye(spark, rows: int, columns: int | None = None) -> DataFrame:
+    return matrix(spark, rows, columns or rows, (F.col("i") == F.col("j")).cast("double"))
+
+
+def tri(spark, rows: int, columns: int, k: int = 0) -> DataFrame:
+    return matrix(spark, rows, columns, (F.col("j") <= F.col("i") + k).cast("double"))
+
+
+def fill(spark, rows: int, columns: int, value: float) -> DataFrame:
+    return matrix(spark, rows, columns, F.lit(value))
+
+
+def arange(spark, n: int, start: float = 0.0, step: float = 1.0) -> DataFrame:
+    return spark.range(n).select(F.col("id").alias("i"), (F.lit(start) + step * F.col("id")).alias("v"))
+
+
+def linspace(spark, start: float, stop: float, n: int) -> DataFrame:
+    """n values from start to stop, both included; one value is the start."""
+    return spark.range(n).select(F.col("id").alias("i"), (F.lit(float(start)) + (stop - start) * F.col("id") / max(n - 1, 1)).alias("v"))
+
+
+def logspace(spark, start: float, stop: float, n: int, base: float = 10.0) -> DataFrame:
+    return linspace(spark, start, stop, n).withColumn("v", F.pow(F.lit(float(base)), F.col("v")))
+
+
+def geomspace(spark, start: float, stop: float, n: int) -> DataFrame:
+    """n values from start to stop in equal ratios."""
+    return spark.range(n).select(F.col("id").alias("i"), (start * F.pow(F.lit(stop / start), F.col("id") / max(n - 1, 1))).alias("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tabulon.catalog import register
 from tabulon.operators import ordering, reduce, sets, window
 from tabulon.session import table
 
+reduce_frames = lambda frames: functools.reduce(lambda a, b: a.unionByName(b), frames)
 R = lambda c, k=4: F.round(c, k)
 N = lambda c: c.cast("long")
 
@@ -16,7 +19,7 @@ N = lambda c: c.cast("long")
 @register(
     "reduce_all_lineitem",
     """SELECT round(sum(x),2) AS sum, round(avg(x),4) AS mean, min(x) AS min, max(x) AS max, round(sqrt(sum(x*x)),2) AS l2_norm, round(sum(abs(x)),2) AS asum, round(avg(abs(x)),4) AS mean_abs, round(sum(x*x)/1e6,2) AS sumsq_m,
-  max(x)-min(x) AS ptp, count(*) FILTER (WHERE x<>0) AS count_nonzero, bool_or(x<>0) AS any_nonzero, bool_and(x<>0) AS all_nonzero, false AS has_nan, true AS all_finite, round(sum(x),2) AS nansum FROM (SELECT l_extendedprice AS x FROM lineitem)""",
+  max(x)-min(x) AS ptp, count(*) FILTER (WHERE x<>0) AS count_nonzero, bool_or(x<>0) AS any_nonzero, bool_and(x<>0) AS all_nonzero, bool_or(isnan(x)) AS has_nan, bool_and(isfinite(x)) AS all_finite, round(sum(x),2) AS nansum FROM (SELECT l_extendedprice AS x FROM lineitem)""",
 )
 def reduce_all(spark, sf):
     b = reduce.basic(F.col("l_extendedprice"))
@@ -25,6 +28,14 @@ def reduce_all(spark, sf):
     return table(spark, sf, "lineitem").agg(*cols, R(b["sumsq"] / 1e6, 2).alias("sumsq_m"))
 
 
+@register("reduce_with_nan", "SELECT l_linenumber%3 AS k, bool_or(isnan(x)) AS has_nan, bool_and(isfinite(x)) AS all_finite, round(sum(CASE WHEN isnan(x) THEN 0 ELSE x END),2) AS nansum FROM (SELECT l_linenumber, CASE WHEN l_linenumber=3 AND l_orderkey%4=0 THEN 'nan'::DOUBLE WHEN l_linenumber=4 AND l_orderkey%4=0 THEN 'inf'::DOUBLE ELSE l_quantity END AS x FROM lineitem) GROUP BY 1")
+def reduce_nan(spark, sf):
+    c = F.col
+    odd = F.when((c("l_linenumber") == 3) & (c("l_orderkey") % 4 == 0), float("nan")).when((c("l_linenumber") == 4) & (c("l_orderkey") % 4 == 0), float("inf")).otherwise(c("l_quantity"))
+    b = reduce.basic(F.col("x"))
+    return table(spark, sf, "lineitem").select((c("l_linenumber") % 3).alias("k"), odd.alias("x")).groupBy("k").agg(b["has_nan"].alias("has_nan"), b["all_finite"].alias("all_finite"), R(b["nansum"], 2).alias("nansum"))
+
+
 @register("reduce_dot_product", "SELECT round(sum(l_quantity*l_discount),3) AS dot, round(product(1+l_discount/1000),6) AS prod FROM lineitem")
 def reduce_dot(spark, sf):
     return table(spark, sf, "lineitem").agg(R(F.sum(F.col("l_quantity") * F.col("l_discount")), 3).alias("dot"), R(F.product(1 + F.col("l_discount") / 1000), 6).alias("prod"))
@@ -44,9 +55,10 @@ def reduce_lse(spark, sf):
 
 @register("reduce_columns_by_row", "SELECT l_orderkey, l_linenumber, round(l_quantity+l_discount+l_tax,6) AS row_sum, greatest(l_quantity,l_discount,l_tax) AS row_max, least(l_quantity,l_discount,l_tax) AS row_min, round(ln(exp(l_quantity)+exp(l_discount)+exp(l_tax)),6) AS row_lse FROM lineitem")
 def reduce_rows(spark, sf):
+    from tabulon.operators.neural import log_sum_exp
+
     v = F.array("l_quantity", "l_discount", "l_tax")
-    m = F.array_max(v)
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", R(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("row_sum"), m.alias("row_max"), F.array_min(v).alias("row_min"), R(m + F.log(F.aggregate(v, F.lit(0.0), lambda a, x: a + F.exp(x - m))), 6).alias("row_lse"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", R(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 6).alias("row_sum"), F.array_max(v).alias("row_max"), F.array_min(v).alias("row_min"), R(log_sum_exp(v), 6).alias("row_lse"))
 
 
 @register("segment_sum_max", "SELECT s.segment, coalesce(round(sum(l_quantity),2),0.0) AS segment_sum, coalesce(max(l_quantity),-1.7976931348623157e308) AS segment_max FROM generate_series(0,(SELECT max(s_suppkey) FROM supplier)) AS s(segment) LEFT JOIN lineitem ON l_suppkey=s.segment GROUP BY 1")
@@ -170,7 +182,25 @@ def argsort(spark, sf):
 @register("sort_kth_median", "SELECT (SELECT o_totalprice FROM orders ORDER BY 1 LIMIT 1 OFFSET 99) AS kth, round(median(o_totalprice),4) AS median FROM orders")
 def kth(spark, sf):
     d = table(spark, sf, "orders")
-    return d.agg(F.round(F.median("o_totalprice"), 4).alias("median")).withColumn("kth", ordering.kth_smallest(d, "o_totalprice", 100))
+    median = ordering.quantiles(d, "o_totalprice", [0.5])[0]
+    return spark.range(1).select(F.round(F.lit(median), 4).alias("median"), ordering.kth_smallest(d, "o_totalprice", 100).alias("kth"))
+
+
+@register("sort_by_key_orders", "SELECT row_number() OVER (ORDER BY o_orderpriority, o_orderkey)-1 AS place, o_orderpriority, o_orderkey FROM orders")
+def sort_by_key(spark, sf):
+    return ordering.sort_by_key(table(spark, sf, "orders"), "o_orderpriority", "o_orderkey", ["o_orderkey"])
+
+
+@register("search_find_and_select", "SELECT 'first' AS what, o_orderkey AS pos FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus='P' ORDER BY 1 LIMIT 5) UNION ALL SELECT 'nonzero', event_id FROM events WHERE floor(value)%3<>0 UNION ALL SELECT 'masked', event_id FROM events WHERE event_type='click' UNION ALL SELECT 'argmax_abs', (SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC, c_custkey LIMIT 1)")
+def find_and_select(spark, sf):
+    o, e, c = (table(spark, sf, t) for t in ("orders", "events", "customer"))
+    parts = {
+        "first": ordering.find_n(o, "o_orderkey", F.col("o_orderstatus") == "P", 5),
+        "nonzero": ordering.nonzero(e.withColumn("v", F.floor("value") % 3), "event_id", "v"),
+        "masked": ordering.masked_select(e, (F.col("event_type") == "click").cast("int")).select("event_id"),
+        "argmax_abs": ordering.argmax_abs(c, "c_acctbal", "c_custkey"),
+    }
+    return reduce_frames([df.toDF("pos").select(F.lit(k).alias("what"), "pos") for k, df in parts.items()])
 
 
 @register("segment_sort_lineitem", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice, l_linenumber)-1 AS place FROM lineitem")

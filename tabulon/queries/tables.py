@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabulon.catalog import register
-from tabulon.operators import distance, encode, joins, shape
+from tabulon.operators import distance, encode, joins, ordering, shape
 from tabulon.session import table
 
 R = lambda c, k=6: F.round(c, k)
@@ -21,12 +20,12 @@ R = lambda c, k=6: F.round(c, k)
 )
 def flagship(spark, sf):
     """lineitem -> typed columns -> one-hot, pseudo-days -> rows with a target, mean-imputed -> z-scores -> means per line status."""
-    raw = table(spark, sf, "lineitem").select("l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", F.date_format("l_shipdate", "yyyy-MM-dd").alias("ship"))
+    raw = table(spark, sf, "lineitem").select("l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
     flags = [F.coalesce((F.col("l_returnflag") == v).cast("double"), F.lit(0.0)).alias(f"flag_{v.lower()}") for v in ("A", "N", "R")]
-    x = raw.select("l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", *flags, encode.pseudo_days(F.col("ship")).alias("ship_days"))
+    x = raw.select("l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", *flags, encode.days(raw, "l_shipdate").alias("ship_days"))
     cols = [c for c in x.columns if c != "l_linestatus"]
     x = encode.drop_bad_targets(x, "l_quantity")
-    z = encode.zscore(encode.impute_mean(x, cols), cols)
+    z = encode.impute_zscore(x, cols)
     return z.groupBy("l_linestatus").agg(F.count(F.lit(1)).alias("n_rows"), *[R(F.avg(c), 5).alias(c) for c in cols])
 
 
@@ -86,7 +85,9 @@ def exclude(spark, sf):
 @register("encode_bin_edges", "SELECT b, round(lo+(hi-lo)*b/8,4) AS uniform, round(quantile_cont(x, b/8.0),4) AS quantile FROM (SELECT l_extendedprice AS x FROM lineitem), (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem), generate_series(0,8) AS g(b) GROUP BY b, lo, hi".replace("quantile_cont(x, b/8.0)", "quantile_cont(x, [0,0.125,0.25,0.375,0.5,0.625,0.75,0.875,1.0])[b+1]"))
 def edges(spark, sf):
     x = F.col("l_extendedprice")
-    d = table(spark, sf, "lineitem").agg(encode.bin_edges_uniform(F.min(x), F.max(x), 8).alias("u"), F.percentile(x, [k / 8 for k in range(9)]).alias("q"))
+    lines = table(spark, sf, "lineitem")
+    quantiles = ordering.quantiles(lines, "l_extendedprice", [k / 8 for k in range(9)])
+    d = lines.agg(encode.bin_edges_uniform(F.min(x), F.max(x), 8).alias("u")).withColumn("q", F.array(*[F.lit(v) for v in quantiles]))
     return d.select(F.posexplode(F.arrays_zip("u", "q")).alias("b", "z")).select(F.col("b").cast("long").alias("b"), R(F.col("z.u"), 4).alias("uniform"), R(F.col("z.q"), 4).alias("quantile"))
 
 
@@ -195,7 +196,7 @@ _shape("shape_tril", "SELECT i, j, CASE WHEN j<=i THEN v ELSE 0 END AS v FROM m"
 _shape("shape_diagonal", "SELECT i, j, CASE WHEN i=j THEN v+1.5 ELSE v END AS v FROM m WHERE j=i", lambda m: shape.add_diagonal(shape.diagonal(m), 1.5))
 _shape("shape_slice", "SELECT i, j, v FROM m WHERE i BETWEEN 10 AND 19", lambda m: shape.slice_rows(m, "i", 10, 10))
 _shape("shape_repeat_tile", "SELECT 3*i+a AS i, j+40*b AS j, v FROM m, generate_series(0,2) AS x(a), generate_series(0,1) AS y(b)", lambda m: shape.tile_rows(shape.repeat_rows(m, "i", 3), "j", 40, 2))
-_shape("shape_broadcast_ops", "SELECT i, j, round(v-avg(v) OVER (PARTITION BY j)+1e-5,3) AS v FROM m", lambda m: m.withColumn("v", R(F.col("v") - F.avg("v").over(Window.partitionBy("j")) + 1e-5, 3)))
+_shape("shape_broadcast_ops", "SELECT i, j, round(v-avg(v) OVER (PARTITION BY j)+1e-5,3) AS v FROM m", lambda m: shape.broadcast(m, m.groupBy("j").agg((F.avg("v") - 1e-5).alias("w")), "j", "sub").withColumn("v", R(F.col("v"), 3)))
 
 for _rule, _expr in (("constant", "CASE WHEN k BETWEEN 0 AND 4 THEN k+100 ELSE 0 END"), ("replicate", "least(greatest(k,0),4)+100"), ("circular", "(k+10)%5+100"), ("reflect", "least((k+16)%8,8-(k+16)%8)+100")):
 
@@ -206,12 +207,12 @@ for _rule, _expr in (("constant", "CASE WHEN k BETWEEN 0 AND 4 THEN k+100 ELSE 0
     register(f"shape_pad_{_rule}", f"SELECT r_regionkey AS g, k+3 AS pos, ({_expr})::DOUBLE AS v FROM region, generate_series(-3,7) AS s(k)")(_pad)
 
 
-@register("array_ops_embeddings", "SELECT vec_id, embedding[1:3]::DOUBLE[] AS lead, round(list_sum(list_reverse(embedding)[1:2])::DOUBLE,5) AS flip2, len(embedding)*2 AS twice_n, round(embedding[2]::DOUBLE,6) AS taken FROM embeddings".replace("embedding[1:3]::DOUBLE[] AS lead", "round(embedding[1]::DOUBLE+embedding[2]::DOUBLE+embedding[3]::DOUBLE,5) AS lead3"))
+@register("array_ops_embeddings", "SELECT vec_id, embedding[1:3]::DOUBLE[] AS lead, round(list_sum(list_reverse(embedding)[1:2])::DOUBLE,5) AS flip2, len(embedding)*2 AS twice_n, round(embedding[len(embedding)-4]::DOUBLE+2*embedding[1]::DOUBLE,5) AS rolled, round(embedding[2]::DOUBLE,6) AS taken FROM embeddings".replace("embedding[1:3]::DOUBLE[] AS lead", "round(embedding[1]::DOUBLE+embedding[2]::DOUBLE+embedding[3]::DOUBLE,5) AS lead3"))
 def array_ops(spark, sf):
     v = F.col("embedding").cast("array<double>")
-    o = shape.array_ops(v, 16)
+    o = shape.array_ops(v, 5)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    return table(spark, sf, "embeddings").select("vec_id", R(total(o["lead"]), 5).alias("lead3"), R(total(F.slice(o["flip"], 1, 2)), 5).alias("flip2"), F.size(o["twice"]).cast("long").alias("twice_n"), R(F.get(shape.take_along(v, F.array(F.lit(1))), F.lit(0)), 6).alias("taken"))
+    return table(spark, sf, "embeddings").select("vec_id", R(total(o["lead"]), 5).alias("lead3"), R(total(F.slice(o["flip"], 1, 2)), 5).alias("flip2"), F.size(o["twice"]).cast("long").alias("twice_n"), R(F.get(o["rolled"], F.lit(0)) + 2 * F.get(o["rolled"], F.lit(5)), 5).alias("rolled"), R(F.get(shape.take_along(v, F.array(F.lit(1))), F.lit(0)), 6).alias("taken"))
 
 
 def _pairs(spark, sf):

@@ -165,3 +165,61 @@ def test_boosters(spark, kind):
     assert c.predict(d).agg(F.avg(((F.col("prediction") > 0.5) == (F.col("c") > 0.5)).cast("double"))).first()[0] >= 0.95
     with pytest.raises(ValueError):
         boost.Booster(kind=kind).fit(spark.createDataFrame([(float("nan"), 1.0)], "x double, y double"), ["x"], "y")
+
+
+def test_order_statistics_by_ranges(spark, monkeypatch):
+    """Exact ranks and quantiles where the driver may take few values: ties, negatives, nulls, ranks beyond the end."""
+    import numpy as np
+
+    from tabulon.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW", 40)
+    rng = np.random.default_rng(2)
+    values = [*rng.normal(0, 100, 4000).round(1).tolist(), *[7.0] * 900, *[-500.0] * 30]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)] * 5, "x double")
+    ranks = [0, 1, 29, 30, 1500, 2400, len(values) - 1, len(values)]
+    got = ordering.order_statistics(df, "x", ranks)
+    assert got == {r: sorted(values)[r] if r < len(values) else None for r in ranks}
+    assert np.allclose(ordering.quantiles(df, "x", [0, 0.1, 0.5, 0.99, 1]), np.quantile(values, [0, 0.1, 0.5, 0.99, 1]))
+    assert ordering.quantiles(df.filter("false"), "x", [0.5]) == [None]
+
+
+def test_recurrence_over_several_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from tabulon.operators import window
+
+    monkeypatch.setattr(window, "BLOCK", 4)
+    rng = np.random.default_rng(3)
+    rows = [(g, k, float(a), float(b)) for g, n in ((None, 70), ("x", 1), ("y", 33)) for k, (a, b) in enumerate(rng.normal(0, 1, (n, 2)))]
+    got = {(r["g"], r["k"]): r["h"] for r in window.recurrence(spark.createDataFrame(rows, "g string, k long, a double, b double"), ["g"], ["k"], "a", "b").collect()}
+    h, want = {}, {}
+    for g, k, a, b in rows:
+        h[g] = want[g, k] = a * h.get(g, 0.0) + b
+    assert set(got) == set(want) and all(np.isclose(got[k], want[k]) for k in want)
+
+
+def test_scalar_functions_on_odd_values(spark):
+    """NaN, infinities, zeros of both signs and ordinary numbers against numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tabulon.functions.scalar import BINARY, UNARY
+
+    inf, nan = np.inf, np.nan
+    values = [nan, inf, -inf, 0.0, -0.0, 0.5, -0.5, 1.0, -1.0, 2.0, -2.5, 3.0, 1e300, -1e-300, 5e-324]
+    pairs = [(x, y) for x in values for y in values]
+    df = spark.createDataFrame([(float(k), x, y) for k, (x, y) in enumerate(pairs)], "k double, x double, y double")
+    one = {"asin": np.arcsin, "acos": np.arccos, "atanh": np.arctanh, "sqrt": np.sqrt, "rsqrt": lambda x: 1 / np.sqrt(x), "reciprocal": lambda x: 1 / x, "floor": np.floor, "ceil": np.ceil, "trunc": np.trunc, "ln": np.log, "log2": np.log2, "log10": np.log10, "log1p": np.log1p,
+           "logit": lambda x: np.log(x / (1 - x)), "exp": np.exp, "expm1": np.expm1, "cbrt": np.cbrt, "tanh": np.tanh, "relu": lambda x: np.fmax(x, 0), "square": lambda x: x * x, "abs": np.abs, "sign": lambda x: np.nan_to_num(np.sign(x))}
+    two = {"div": np.divide, "fmod": np.fmod, "maximum": np.fmax, "minimum": np.fmin, "copysign": np.copysign, "hypot": np.hypot, "pow": np.power, "floor_divide": lambda x, y: np.floor(x / y), "remainder": lambda x, y: x - np.floor(x / y) * y, "nextafter": np.nextafter,
+           "ldexp": lambda x, y: x * np.exp2(y), "xlogy": lambda x, y: np.where(x == 0, 0, x * np.log(y)), "squared_difference": lambda x, y: (x - y) ** 2}
+    got = df.orderBy("k").select("x", "y", *[UNARY[n](F.col("x")).alias(n) for n in one], *[BINARY[n](F.col("x"), F.col("y")).alias(n) for n in two]).collect()
+    x, y = (np.array([p[i] for p in pairs]) for i in (0, 1))
+    skipped = {("copysign", k) for k in range(len(pairs)) if np.isnan(pairs[k][1])} | {("pow", k) for k, (a, b) in enumerate(pairs) if abs(a) == 1 and not np.isfinite(b)} | {("hypot", k) for k, (a, b) in enumerate(pairs) if np.isnan(a) or np.isnan(b)}
+    with np.errstate(all="ignore"):
+        for name, fn in [*((n, lambda f=f: f(x)) for n, f in one.items()), *((n, lambda f=f: f(x, y)) for n, f in two.items())]:
+            want = fn()
+            for k, r in enumerate(got):
+                if (name, k) not in skipped:
+                    assert r[name] is not None and (np.isclose(r[name], want[k], rtol=1e-12, atol=0) or r[name] == want[k] or np.isnan(r[name]) and np.isnan(want[k])), (name, pairs[k], r[name], want[k])
