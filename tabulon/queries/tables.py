@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from tabulon.catalog import register
 from tabulon.operators import distance, encode, joins, ordering, shape
-from tabulon.session import table
+from tabulon.session import ensure_checkpoint_dir, table
+from tabulon.sources import tables as tables_source
 
 R = lambda c, k=6: F.round(c, k)
 
@@ -116,6 +117,33 @@ def missing(spark, sf):
     return table(spark, sf, "events").select("event_id", encode.is_missing(F.col("event_type")).alias("missing"), strict_double(F.col("value").cast("string")).alias("number"))
 
 
+def _written(df):
+    """df as a folder of CSV parts under the shared folder, quoted where its cells need it."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    df.write.option("header", "true").option("quote", '"').option("escape", '"').option("quoteAll", "false").csv(path)
+    return path
+
+
+@register("source_csv_round_trip", "SELECT p_partkey::VARCHAR AS key, p_name||', \"'||p_type||'\"'||chr(10)||p_brand AS words, CASE WHEN p_size%5=0 THEN '' ELSE p_size::VARCHAR END AS size FROM part")
+def csv_round_trip(spark, sf):
+    """Cells with separators, quotes and line breaks, and missing ones, written and read again."""
+    c = F.col
+    words = F.concat("p_name", F.lit(', "'), "p_type", F.lit('"\n'), "p_brand")
+    d = table(spark, sf, "part").select(c("p_partkey").cast("string").alias("key"), words.alias("words"), F.when(c("p_size") % 5 == 0, "NA").otherwise(c("p_size").cast("string")).alias("size"))
+    return tables_source.read_csv(spark, _written(d))
+
+
+@register("source_csv_headless", "SELECT l_orderkey::VARCHAR AS col_0, l_linenumber::VARCHAR AS col_1, l_quantity::INT::VARCHAR AS col_2 FROM lineitem")
+def csv_headless(spark, sf):
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark)}/csv-{uuid.uuid4().hex}"
+    table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int")).write.csv(path)
+    return tables_source.read_csv(spark, path, multiline=False)
+
+
 def _kind_sql(column: str) -> str:
     number = r"regexp_full_match(x,'[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')"
     return f"""SELECT '{column}' AS "column", CASE WHEN missing=n THEN 'numeric' WHEN images>=0.95 THEN 'image' WHEN dates>=0.95 THEN 'temporal' WHEN numbers=1 AND d<=2 THEN 'categorical' WHEN numbers=1 AND whole AND d BETWEEN 3 AND 10 AND hi-lo+1=d THEN 'ordinal'

@@ -11,9 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabulon.operators.encode import IMAGE_EXTENSIONS
+
 #: Element types of tensor files.
 TYPES = {"BOOL": "u1", "U8": "u1", "I8": "i1", "I16": "<i2", "U16": "<u2", "F16": "<f2", "BF16": "<u2", "I32": "<i4", "U32": "<u4", "F32": "<f4", "I64": "<i8", "U64": "<u8", "F64": "<f8"}
-IMAGES = "{jpg,jpeg,png,bmp,gif,webp,tiff,tif,ico,pnm,pbm,pgm,ppm,qoi,dds,hdr,exr,ff}"
+IMAGES = "{" + ",".join(IMAGE_EXTENSIONS) + "}"
 
 
 def parse_header(raw: bytes) -> tuple[dict, int]:
@@ -78,13 +80,37 @@ def read_tensors(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(run, ", ".join(f"`{n}` double" for n in names))
 
 
-def read_images(spark: SparkSession, folder: str, labelled: bool = False) -> DataFrame:
-    """path, stem, width, height, pixels (array of 0-255), and with labelled the parent folder (a number if all are)."""
+def resized(data: bytes, height: int, width: int, channels: int, to: tuple[int, int]) -> np.ndarray:
+    """Pixels of an image (rows of BGR or grey bytes) as numbers in [0, 1], red first, at another size by the nearest pixel."""
+    x = np.frombuffer(data, dtype=np.uint8).reshape(height, width, channels)[:, :, ::-1]
+    i = np.minimum((np.arange(to[0]) + 0.5) * height / to[0], height - 1).astype(int)
+    j = np.minimum((np.arange(to[1]) + 0.5) * width / to[1], width - 1).astype(int)
+    return x[i][:, j].astype(np.float64) / 255.0
+
+
+def read_images(spark: SparkSession, folder: str, labelled: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
+    """path, stem, width, height, channels, pixels (numbers in [0, 1], null if the file can't be read), and with labelled the parent folder (a number if all are).
+
+    All images get one size (rows, columns): the given one, or that of the first by path."""
     img = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", f"*.{IMAGES}").option("recursiveFileLookup", "true").load(folder).select("image.*")
-    hexed = F.hex("data")
-    pixels = F.transform(F.sequence(F.lit(0), F.length("data") - 1), lambda i: F.conv(F.substring(hexed, 2 * i + 1, F.lit(2)), 16, 10).cast("int"))
-    out = img.select(F.col("origin").alias("path"), F.regexp_extract("origin", r"([^/]*)\.[^./]*$", 1).alias("stem"), "width", "height", F.when(F.length("data") > 0, pixels).alias("pixels"))
-    return out.withColumn("label", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)) if labelled else out
+    if size is None:
+        first = img.filter("height > 0").select("origin", "height", "width").orderBy("origin").first()
+        size = (first["height"], first["width"]) if first else (1, 1)
+
+    def run(batches):
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("data", "height", "width", "nChannels")))
+            pixels = [resized(d, h, w, n, size).ravel().tolist() if h > 0 else None for d, h, w, n in rows]
+            yield pa.RecordBatch.from_arrays([b.column("origin"), b.column("nChannels"), pa.array(pixels, pa.list_(pa.float64()))], names=["path", "channels", "pixels"])
+
+    out = img.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, "path string, channels int, pixels array<double>")
+    stem = F.regexp_extract("path", r"([^/]*)\.[^./]*$", 1)
+    out = out.select("path", stem.alias("stem"), F.lit(size[1]).alias("width"), F.lit(size[0]).alias("height"), "channels", "pixels")
+    if not labelled:
+        return out
+    out = out.withColumn("label", F.regexp_extract("path", r"([^/]+)/[^/]+$", 1))
+    numbers = out.agg(F.bool_and(F.col("label").try_cast("double").isNotNull())).first()[0]
+    return out.withColumn("label", F.col("label").cast("double")) if numbers else out
 
 
 @dataclass
