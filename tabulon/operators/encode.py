@@ -187,10 +187,20 @@ def quantize(x: Column, edges: list[float]) -> Column:
     return F.least(F.greatest(F.size(F.filter(e, lambda v: v <= x)) - 1, F.lit(0)), F.lit(len(edges) - 2))
 
 
-def ordered_target_stats(df: DataFrame, cat: str, target: str, order: list[str], prior: float, smoothing: float) -> Column:
-    """(sum before + prior * smoothing) / (count before + smoothing) along the order within the category."""
-    w = Window.partitionBy(cat).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return (F.coalesce(F.sum(target).over(w), F.lit(0.0)) + prior * smoothing) / (F.count(target).over(w) + smoothing)
+def ordered_target_stats(df: DataFrame, cat: str, target: str, order: list[str], prior: float, smoothing: float, out: str = "ts") -> DataFrame:
+    """Adds (sum before + prior * smoothing) / (count before + smoothing) along the order within the category.
+
+    Rows are dealt into ranges of the order; a category's sums of the ranges before are added to its running sums inside a range, so that a category of any
+    size is spread over all tasks."""
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = cut(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()))
+    per = dealt.groupBy(F.col(cat).alias("__cat"), F.col("__part").alias("__p")).agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
+    before = Window.partitionBy("__cat").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("__cat", "__p", F.coalesce(F.sum("__s").over(before), F.lit(0.0)).alias("__s"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__n"))
+    met = dealt.join(per, F.col(cat).eqNullSafe(F.col("__cat")) & (F.col("__part") == F.col("__p")))
+    w = Window.partitionBy(cat, "__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    total, count = F.col("__s") + F.coalesce(F.sum(target).over(w), F.lit(0.0)), F.col("__n") + F.count(target).over(w)
+    return met.withColumn(out, (total + prior * smoothing) / (count + smoothing)).select(*[F.col(f"`{c}`") for c in df.columns if c != out], out)
 
 
 def quantize_int(x: Column, scale: float, zero: int, low: int, high: int) -> Column:

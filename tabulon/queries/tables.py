@@ -101,7 +101,7 @@ def quantize(spark, sf):
 @register("encode_ordered_target_stats", "SELECT event_id, round((coalesce(sum(value) OVER w,0)+0.5*2)/(count(value) OVER w+2)+1e-8,6) AS ts FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
 def target_stats(spark, sf):
     d = table(spark, sf, "events")
-    return d.select("event_id", R(encode.ordered_target_stats(d, "event_type", "value", ["event_id"], 0.5, 2.0) + 1e-8).alias("ts"))
+    return encode.ordered_target_stats(d, "event_type", "value", ["event_id"], 0.5, 2.0).select("event_id", R(F.col("ts") + 1e-8).alias("ts"))
 
 
 @register("encode_byte_tokens", "SELECT n_nationkey, len(n_name)::BIGINT AS n_bytes, ord(n_name[1])+1 AS first_id, 0 AS last_id FROM nation")
@@ -146,7 +146,7 @@ def csv_headless(spark, sf):
 
 def _kind_sql(column: str) -> str:
     number = r"regexp_full_match(x,'[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')"
-    return f"""SELECT '{column}' AS "column", CASE WHEN missing=n THEN 'numeric' WHEN images>=0.95 THEN 'image' WHEN dates>=0.95 THEN 'temporal' WHEN numbers=1 AND d<=2 THEN 'categorical' WHEN numbers=1 AND whole AND d BETWEEN 3 AND 10 AND hi-lo+1=d THEN 'ordinal'
+    return rf"""SELECT '{column}' AS "column", CASE WHEN missing=n THEN 'numeric' WHEN images>=0.95 THEN 'image' WHEN dates>=0.95 THEN 'temporal' WHEN numbers=1 AND d<=2 THEN 'categorical' WHEN numbers=1 AND whole AND d BETWEEN 3 AND 10 AND hi-lo+1=d THEN 'ordinal'
  WHEN numbers=1 THEN 'numeric' WHEN d<=0.5*n AND d<=200 AND mean_tokens<=4 THEN 'categorical' ELSE 'text' END AS kind FROM (SELECT count(*) AS n, count(*) FILTER (WHERE NOT ok) AS missing, count(DISTINCT x) FILTER (WHERE ok) AS d, avg({number}::INT) FILTER (WHERE ok) AS numbers,
  avg(regexp_matches(x,'^\d{{4}}[-/]\d{{1,2}}[-/]\d{{1,2}}([T ].*)?$')::INT) FILTER (WHERE ok) AS dates, avg(regexp_matches(x,'(?i)\.(jpg|png|gif)$')::INT) FILTER (WHERE ok) AS images, avg(len(list_filter(regexp_split_to_array(x,'[^\p{{L}}\p{{N}}]+'), lambda t: t<>''))) FILTER (WHERE ok) AS mean_tokens,
  bool_and(try_cast(x AS DOUBLE)=floor(try_cast(x AS DOUBLE))) FILTER (WHERE ok) AS whole, min(try_cast(x AS DOUBLE)) AS lo, max(try_cast(x AS DOUBLE)) AS hi FROM (SELECT x, x IS NOT NULL AND x NOT IN ('','NA','NaN','nan','N/A','NULL','null','None','none','?','.','-') AS ok FROM (SELECT {column}::VARCHAR AS x FROM lineitem)))"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,11 +40,20 @@ def _steady(spark: SparkSession) -> None:
         spark.conf.set(key, f"{now},{rule}" if now else rule)
 
 
+#: Folders made inside open scratch() blocks, innermost last.
+_scopes: list[list[tuple[DataFrame, str]]] = []
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and returns it with its lineage cut; survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     _steady(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _scopes:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _scopes[-1].append((out, file.get()))
+    return out
 
 
 def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
@@ -54,4 +64,36 @@ def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFram
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", compression) if compression else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append((out, path))
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Within the block, what cut() and stored() write is noted; at its end all of it is deleted but what was handed to the function that the block gets.
+
+        with scratch(spark) as keep:
+            out = keep(stored(transform(df), "result"))
+
+    DataFrames that read a deleted folder can't be used any more, so a result must be stored and kept. Kept folders are left to an enclosing block."""
+    mine: list[tuple[DataFrame, str]] = []
+    kept: list[DataFrame] = []
+    _scopes.append(mine)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.remove(mine)
+        for df, path in mine:
+            if any(df is k for k in kept):
+                if _scopes:
+                    _scopes[-1].append((df, path))
+                continue
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
