@@ -103,7 +103,8 @@ class Booster:
     def fit(self, df: DataFrame, features: list[str], target: str, categorical: list[str] = ()) -> "Booster":
         """features: numbers; categorical: those of them that are values to be told apart."""
         numeric = [f for f in features if f not in categorical]
-        bad = " or ".join([*(f"`{c}` is null or isnan(`{c}`)" for c in [*numeric, target]), "false"])
+        numbers = numeric if self.objective == "multiclass" else [*numeric, target]
+        bad = " or ".join([*(f"`{c}` is null or isnan(`{c}`)" for c in numbers), f"`{target}` is null"])
         if not features or df.filter(bad).limit(1).count():
             raise ValueError("features and target must be finite")
         self.features, self.categorical, self.target = list(features), list(categorical), target
@@ -111,8 +112,7 @@ class Booster:
         if not 1 <= len(self.classes) <= 1000:
             raise ValueError("a multiclass target has 1 to 1000 classes")
         train = self._with_statistics(df) if self.categorical else df
-        self.prior = df.agg(F.avg(target)).first()[0]
-        self.base = float(self.prior) if self.objective == "squared" else 0.0
+        self.base = float(df.agg(F.avg(target)).first()[0]) if self.objective == "squared" else 0.0
         self.bundles = bundle_features(train, self.inputs) if self.bundling else [[f] for f in self.inputs]
         levels = [k / self.bins for k in range(1, self.bins)]
         row = train.agg(*[F.percentile_approx(F.col(f"`{c}`"), levels, 10_000).alias(f"q{i}") for i, c in enumerate(self.inputs)]).first()

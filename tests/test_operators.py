@@ -52,7 +52,15 @@ def test_discounted_returns_and_runs(spark):
 
 def test_ordered_target_stats(spark):
     d = spark.createDataFrame([(0, 0, 10.0), (1, 1, 20.0), (2, 0, 30.0), (3, 1, 40.0)], "k int, c int, y double")
-    assert [r[0] for r in d.withColumn("ts", encode.ordered_target_stats(d, "c", "y", ["k"], 0.0, 1.0)).orderBy("k").select("ts").collect()] == [0.0, 0.0, 5.0, 10.0]
+    assert [r[0] for r in encode.ordered_target_stats(d, "c", "y", ["k"], 0.0, 1.0).orderBy("k").select("ts").collect()] == [0.0, 0.0, 5.0, 10.0]
+    # One category with nearly all rows, dealt over ranges; a null category is one of its own.
+    rows_ = [(k, "hot" if k % 50 else None, float(k % 7)) for k in range(400)]
+    got = encode.ordered_target_stats(spark.createDataFrame(rows_, "k int, c string, y double"), "c", "y", ["k"], 0.5, 2.0)
+    seen, want = {}, {}
+    for k, c, y in rows_:
+        total, n = seen.get(c, (0.0, 0))
+        want[k], seen[c] = (total + 1.0) / (n + 2.0), (total + y, n + 1)
+    assert {r["k"]: r["ts"] for r in got.collect()} == pytest.approx(want)
 
 
 def test_naive_bayes_log_prob(spark):
@@ -167,6 +175,44 @@ def test_boosters(spark, kind):
         boost.Booster(kind=kind).fit(spark.createDataFrame([(float("nan"), 1.0)], "x double, y double"), ["x"], "y")
 
 
+def test_booster_for_many_classes(spark):
+    rng = np.random.default_rng(4)
+    centres = {"a": (0, 0), "b": (3, 0), "c": (0, 3)}
+    data = [(float(x + rng.normal(0, 0.6)), float(y + rng.normal(0, 0.6)), name) for name, (x, y) in centres.items() for _ in range(60)]
+    d = spark.createDataFrame(data, "x double, z double, y string")
+    b = boost.Booster(kind="leaf", rounds=4, leaves=4, rate=0.5, objective="multiclass", bins=16).fit(d, ["x", "z"], "y")
+    assert b.predict(d).agg(F.avg((F.col("prediction") == F.col("y")).cast("double"))).first()[0] >= 0.9
+    p = b.predict_proba(d)
+    assert p.columns == ["x", "z", "y", "probabilities"] and all(len(r[0]) == 3 and abs(sum(r[0]) - 1) < 1e-9 for r in p.select("probabilities").collect())
+    with pytest.raises(ValueError):
+        boost.Booster().fit(d.withColumn("y", F.lit(1.0)), ["x"], "y").predict_proba(d)
+
+
+def test_booster_with_categories_and_draws(spark):
+    """A categorical column decides the target; an unseen value and a null get a prediction as well."""
+    data = [(f"v{k % 6}", float(k % 11), float(10 * (k % 6) + 1)) for k in range(240)]
+    d = spark.createDataFrame(data, "c string, x double, y double")
+    b = boost.Booster(kind="oblivious", rounds=10, depth=3, rate=0.5, lam=0.1, bins=24, subsample=0.8, colsample=1.0).fit(d, ["c", "x"], "y", categorical=["c"])
+    assert b.predict(d).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 6
+    odd = b.predict(spark.createDataFrame([("new", 1.0), (None, 2.0)], "c string, x double")).collect()
+    assert len(odd) == 2 and all(0 < r["prediction"] < 60 for r in odd) and b.predict(d).columns == ["c", "x", "y", "prediction"]
+
+
+def test_bundled_features(spark):
+    """Features of which one at a time is set share a column and give the same fit."""
+    data = [tuple(float(1 + k % 5) if k % 8 == f else 0.0 for f in range(8)) + (float((k % 8) * 2 + k % 5),) for k in range(200)]
+    d = spark.createDataFrame(data, ", ".join(f"f{f} double" for f in range(8)) + ", y double")
+    names = [f"f{f}" for f in range(8)]
+    assert sorted(map(sorted, boost.bundle_features(d, names))) == [names]
+    assert len(boost.bundle_features(d.withColumn("f1", F.lit(1.0)), names)) == 2
+    errors = []
+    for bundling in (False, True):
+        b = boost.Booster(kind="level", rounds=6, depth=5, rate=0.6, lam=0.1, bins=8, bundling=bundling).fit(d, names, "y")
+        assert len(b.columns) == (1 if bundling else 8)
+        errors.append(b.predict(d).agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0])
+    assert errors[1] < max(0.5, errors[0] + 0.15)
+
+
 def test_order_statistics_by_ranges(spark, monkeypatch):
     """Exact ranks and quantiles where the driver may take few values: ties, negatives, nulls, ranks beyond the end."""
     import numpy as np
