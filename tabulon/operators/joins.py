@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabulon.session import cut
+
 
 def stem(path: Column) -> Column:
     """File name without folders and without its last extension."""
@@ -31,6 +33,33 @@ def admission(sample: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return s.withColumn("verdict", verdict)
 
 
+def assemble(groups: dict[str, DataFrame], target: str | None = None, key: str = "_hash") -> tuple[DataFrame, dict[str, str]]:
+    """(one table, how each other group joined) of the groups of a source.
+
+    The rows are those of the group that has the target (`group:column`, or a column name), or of the only group that is given. Every other group joins by its admission's verdict:
+    by key, by position within the key (in file order), or not at all. Columns are named `group:column` when there are several groups."""
+    if len(groups) == 1:
+        return next(iter(groups.values())).drop(key), {}
+    held = [g for g, df in groups.items() if target and (target in df.columns or target in [f"{g}:{c}" for c in df.columns])]
+    if not held:
+        raise ValueError("several groups and none has the target: name it as group:column")
+    base = held[0]
+    named = {g: df.select(F.col(f"`{key}`").alias(key), *[F.col(f"`{c}`").alias(f"{g}:{c}") for c in df.columns if c != key]) for g, df in groups.items()}
+    # Positions are the order of the files' rows, fixed once by writing them.
+    placed = {g: cut(df.withColumn("__at", F.monotonically_increasing_id())) for g, df in named.items()}
+    out, verdicts = placed[base], {}
+    for g, other in placed.items():
+        if g == base:
+            continue
+        how = verdicts[g] = admission(placed[base], other, key).first()["verdict"]
+        other = other.withColumnRenamed("__at", "__there")
+        if how == "key":
+            out = key_join(out, other.drop("__there"), key)
+        elif how == "positional":
+            out = positional_join(out, other, key, ["__at"], ["__there"]).drop("__there")
+    return out.drop(key, "__at"), verdicts
+
+
 def best_stem_column(sample: DataFrame, columns: list[str], stems: DataFrame, stem_col: str) -> str | None:
     """The column of sample whose cells' stems hit most of the given stems; one pass per candidate column, counts only."""
     hits = {}

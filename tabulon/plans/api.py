@@ -8,6 +8,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -16,11 +17,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabulon.functions.guards import strict_double
-from tabulon.operators import encode
+from tabulon.operators import encode, joins
 from tabulon.plans import layers
 from tabulon.session import cut
 from tabulon.sources.tables import load
 
+#: Tasks that add up gradients before the driver does.
+FAN = 32
 LOSSES = ("mse", "mae", "huber", "ce", "bce", "focal")
 
 
@@ -31,6 +34,8 @@ class Data:
     y: str | None = None
     left_out: list[str] = field(default_factory=list)
     share: float | None = None
+    #: How the groups of a folder or archive were joined.
+    joined: dict[str, str] = field(default_factory=dict)
 
     @staticmethod
     def load() -> "Data":
@@ -58,47 +63,93 @@ class Data:
         self.share = share
         return self
 
+    def _read(self, spark: SparkSession, source) -> DataFrame:
+        got = source if isinstance(source, DataFrame) else load(spark, source)
+        if isinstance(got, dict):
+            got, self.joined = joins.assemble(got, self.y)
+        return got
+
     def frame(self, spark: SparkSession) -> DataFrame:
+        """The source as one table; folders and archives of several groups are assembled."""
         if self.source is None:
             raise ValueError("no source is set")
-        return self.source if isinstance(self.source, DataFrame) else load(spark, self.source)
+        return self._read(spark, self.source)
 
-    def prepared(self, spark: SparkSession) -> tuple[DataFrame, list[str], str, list]:
-        """(encoded rows with __train, feature names, target, classes of a categorical target)."""
+    def prepared(self, spark: SparkSession) -> tuple[DataFrame, "Schema"]:
+        """(f0, f1, ..., __y, __key, __train; how they were made). Kinds and vocabularies come from the source alone; the rows of a test source are encoded by them and never train."""
         df = self.frame(spark)
-        target = self.y or df.columns[-1]
+        names = {c: c for c in df.columns} | {c.rpartition(":")[2]: c for c in reversed(df.columns)}
+        target = names.get(self.y, self.y) if self.y else df.columns[-1]
         if target not in df.columns:
-            target = next((c for c in df.columns if c.rpartition(":")[2] == target), None)
-            if target is None:
-                raise ValueError(f"no column {self.y}")
+            raise ValueError(f"no column {self.y}")
         df = encode.exclude(df, [p for p in self.left_out if p != target])
+        schema = Schema.of(df, target)
+        rows = df.withColumn("__test", F.lit(False))
+        if self.tested is not None:
+            rows = rows.unionByName(self._read(spark, self.tested).select(*[F.col(f"`{c}`").cast(t) for c, t in df.dtypes], F.lit(True).alias("__test")))
+        x = encode.drop_bad_targets(schema.encoded(rows, ["__test"]), "__y")
+        if self.share is not None:
+            held = x.filter("__test").withColumn("in_train", F.lit(False))
+            x = encode.exact_split(x.filter("not __test"), "__key", self.share).unionByName(held).withColumnRenamed("in_train", "__train")
+        else:
+            x = x.withColumn("__train", ~F.col("__test"))
+        return x.drop("__test"), schema
+
+
+@dataclass
+class Schema:
+    """How the columns of a table become numbers; saved with a model, so that new rows are encoded alike."""
+
+    target: str
+    classes: list
+    columns: list[dict]  # name, kind, and values, width or vocabulary as the kind needs
+
+    @staticmethod
+    def of(df: DataFrame, target: str) -> "Schema":
         kinds = {r["column"]: r["kind"] for r in encode.kinds(encode.profile(df)).collect()}
-        df = df.withColumn("__key", F.xxhash64(*df.columns))
-        cols, names, classes = [], [], []
-        number = lambda c: strict_double(F.col(f"`{c}`").cast("string"))
+        columns = []
         for c, kind in kinds.items():
-            if c == target:
-                continue
-            if kind in ("numeric", "ordinal"):
-                made, own = [number(c)], [c]
-            elif kind == "temporal":
-                made, own = [encode.pseudo_days(F.col(f"`{c}`").cast("string"))], [c]
-            elif kind == "categorical":
-                values = encode.vocabulary(df, c)
-                made, own = encode.one_hot(F.col(f"`{c}`"), values, c), [f"{c}={v}" for v in values]
+            made = {"name": c, "kind": kind}
+            if kind == "categorical":
+                made["values"] = encode.vocabulary(df, c)
+            elif kind == "text":
+                length = df.agg(F.max(F.size(encode.tokens(F.col(f"`{c}`").cast("string"))))).first()[0] or 1
+                made["width"] = int(min(max(length, 1), encode.MAX_TOKENS))
+                made["vocabulary"] = [r["token"] for r in encode.token_vocabulary(df.withColumn(c, F.col(f"`{c}`").cast("string")), c).orderBy("id").collect()]
+            if c != target and kind != "image":
+                columns.append(made)
+        classes = encode.vocabulary(df, target) if kinds[target] == "categorical" and dict(df.dtypes)[target] == "string" else []
+        return Schema(target, classes, columns)
+
+    @property
+    def names(self) -> list[str]:
+        out = []
+        for c in self.columns:
+            out += [f"{c['name']}={v}" for v in c["values"]] if c["kind"] == "categorical" else [f"{c['name']}#t{k}" for k in range(c["width"])] if c["kind"] == "text" else [c["name"]]
+        return out
+
+    def encoded(self, df: DataFrame, more: list[str]) -> DataFrame:
+        """f0, f1, ... in the order of names, __y (null where df has no target), __key and the columns `more`."""
+        number = lambda c: strict_double(F.col(f"`{c}`").cast("string"))
+        df = df.withColumn("__key", F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in more]))
+        cols = []
+        for i, c in enumerate(self.columns):
+            name = c["name"]
+            if c["kind"] == "categorical":
+                cols += encode.one_hot(F.col(f"`{name}`"), c["values"], name)
+            elif c["kind"] == "temporal":
+                cols.append(encode.days(df, name))
+            elif c["kind"] == "text":
+                vocab = df.sparkSession.createDataFrame([(t, k + 1) for k, t in enumerate(c["vocabulary"])], "token string, id int")
+                df = encode.text_ids(df.withColumn("__text", F.col(f"`{name}`").cast("string")), "__text", f"__ids{i}", vocab, c["width"]).drop("__text")
+                cols += [F.coalesce(F.get(f"__ids{i}", F.lit(k)), F.lit(0)).cast("double") for k in range(c["width"])]
             else:
-                continue
-            cols += made
-            names += own
-        if kinds[target] == "categorical" and dict(df.dtypes)[target] == "string":
-            classes = encode.vocabulary(df, target)
-            y = encode.ordinal(F.col(f"`{target}`"), classes)
+                cols.append(number(name))
+        if self.target not in df.columns:
+            y = F.lit(None).cast("double")
         else:
-            y = number(target)
-        x = df.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], y.alias("__y"), "__key")
-        x = encode.drop_bad_targets(x, "__y")
-        x = encode.exact_split(x, "__key", self.share).withColumnRenamed("in_train", "__train") if self.share is not None else x.withColumn("__train", F.lit(True))
-        return x, names, target, classes
+            y = encode.ordinal(F.col(f"`{self.target}`"), self.classes) if self.classes else number(self.target)
+        return df.select(*[c.alias(f"f{i}") for i, c in enumerate(cols)], y.alias("__y"), "__key", *more)
 
 
 @dataclass
@@ -145,37 +196,51 @@ class Train:
     """Full-batch training: every partition sums its gradients, the driver adds the sums (their size is the model's) and takes the step."""
 
     def __init__(self):
-        self.n, self.history, self.params = 100, [], None
+        self.n, self.history, self.params, self.start, self.each, self.log_path, self.lines = 100, [], None, None, 1, None, []
 
     def epochs(self, n: int) -> "Train":
         self.n = n
         return self
 
+    def log(self, path: str) -> "Train":
+        """Losses are written to this file, a line for each logged epoch."""
+        self.log_path = path
+        return self
+
+    def log_every(self, n: int) -> "Train":
+        self.each = max(1, n)
+        return self
+
+    def resume(self, path: str) -> "Train":
+        """Training goes on from a saved model, if its layers have the same shapes."""
+        self.start = path
+        return self
+
     def run(self, spark: SparkSession, model: Model, data: Data, seed: int = 1) -> "Train":
-        x, self.names, self.target, self.classes = data.prepared(spark)
-        if issues := model.problems(len(self.classes)):
+        x, self.schema = data.prepared(spark)
+        if issues := model.problems(len(self.schema.classes)):
             raise ValueError("; ".join(issues))
-        cols = [f"f{i}" for i in range(len(self.names))]
+        cols = [f"f{i}" for i in range(len(self.schema.names))]
         train = x.filter("__train")
-        if cols:
-            x, self.stats = self._scaled(train, x, cols)
+        self.stats = self._statistics(train, cols)
         regress = model.kind in ("mse", "mae", "huber")
         s = train.agg(F.avg("__y").alias("m"), F.var_pop("__y").alias("v")).first()
-        self.scale = (s["m"], float(np.sqrt(s["v"] + 1e-8))) if regress else (0.0, 1.0)
-        rows = cut(x.select(F.array(*[F.col(c) for c in cols]).alias("x"), ((F.col("__y") - self.scale[0]) / self.scale[1]).alias("y"), F.col("__y").alias("raw"), "__train"))
-        rng = np.random.default_rng(seed)
-        self.params, width = [], len(cols)
-        for size, act in model.sizes:
-            self.params.append({"w": rng.normal(0, np.sqrt(2 / max(width, 1)), (width, size)), "b": np.zeros(size), "act": act})
-            width = size
+        if s["m"] is None:
+            raise ValueError("no row has a target to learn from")
+        self.scale, self.kind = (s["m"], float(np.sqrt(s["v"] + 1e-8))) if regress else (0.0, 1.0), model.kind
+        rows = cut(self._scaled(x, cols).select("x", ((F.col("__y") - self.scale[0]) / self.scale[1]).alias("y"), F.col("__y").alias("raw"), "__train"))
+        self.params = self._initial(model, len(cols), seed)
         states = [({}, {}) for _ in self.params]
         fit, k = rows.filter("__train").select("x", "y"), model.sizes[-1][0]
+        parts = 1 + (fit.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0)
         best = None
-        for _ in range(self.n):
-            total, n, grads = self._gradients(fit, model.kind, k)
+        for epoch in range(self.n):
+            total, n, grads = self._gradients(fit, model.kind, k, parts)
             if not np.isfinite(total):
                 break
             self.history.append(total / max(n, 1))
+            if epoch % self.each == 0:
+                self.lines.append(f"{epoch}\t{self.history[-1]:.9g}")
             if best is None or self.history[-1] < best[0]:
                 best = (self.history[-1], [{**p, "w": p["w"].copy(), "b": p["b"].copy()} for p in self.params])
             for p, (gw, gb), (sw, sb) in zip(self.params, grads, states):
@@ -183,17 +248,39 @@ class Train:
                 p["b"] = layers.step(model.optimiser, p["b"], gb / max(n, 1), sb, model.rate)
         if best is not None:
             self.params = best[1]
-        self.kind, self.rows = model.kind, rows
+        if self.log_path:
+            with open(self.log_path, "a") as f:
+                f.writelines(line + "\n" for line in self.lines)
+        self.rows = rows
         return self
 
+    def _initial(self, model: Model, width: int, seed: int) -> list[dict]:
+        rng, out = np.random.default_rng(seed), []
+        for size, act in model.sizes:
+            out.append({"w": rng.normal(0, np.sqrt(2 / max(width, 1)), (width, size)), "b": np.zeros(size), "act": act})
+            width = size
+        if self.start:
+            old = Train.load(self.start).params
+            if [(p["w"].shape, p["act"]) for p in old] == [(p["w"].shape, p["act"]) for p in out]:
+                out = old
+        return out
+
     @staticmethod
-    def _scaled(train: DataFrame, x: DataFrame, cols: list[str]):
+    def _statistics(train: DataFrame, cols: list[str]) -> list[tuple[float, float]]:
+        """(mean, deviation) of each feature's finite training values, in one pass."""
         finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        if not cols:
+            return []
         s = train.agg(*[f(finite(F.col(c))).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
-        stats = {c: (s[f"m_{c}"] or 0.0, float(np.sqrt((s[f"v_{c}"] or 0.0) + 1e-8))) for c in cols}
-        return x.withColumns({c: (F.coalesce(finite(F.col(c)), F.lit(m)) - m) / d for c, (m, d) in stats.items()}), stats
+        return [(s[f"m_{c}"] or 0.0, float(np.sqrt((s[f"v_{c}"] or 0.0) + 1e-8))) for c in cols]
+
+    def _scaled(self, x: DataFrame, cols: list[str]) -> DataFrame:
+        """Adds x: the features, missing ones at the mean, over their deviations."""
+        finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+        return x.withColumn("x", F.array(*[(F.coalesce(finite(F.col(c)), F.lit(m)) - m) / d for c, (m, d) in zip(cols, self.stats)]).cast("array<double>"))
 
-    def _gradients(self, fit: DataFrame, kind: str, k: int):
+    def _gradients(self, fit: DataFrame, kind: str, k: int, n_parts: int):
+        """(loss, rows, gradients) summed over all rows; beyond FAN partitions their sums are first added up in FAN tasks, so the driver gets a bounded number."""
         params = self.params
 
         def run(batches):
@@ -213,7 +300,15 @@ class Train:
                 flat = np.concatenate([np.concatenate([a.ravel(), b_]) for a, b_ in sums])
                 yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([n]), pa.array([flat.tobytes()], pa.binary())], names=["total", "n", "flat"])
 
-        parts = fit.mapInArrow(run, "total double, n long, flat binary").collect()
+        sums = fit.mapInArrow(run, "total double, n long, flat binary")
+        if n_parts > FAN:
+
+            def added(t):
+                flat = sum(np.frombuffer(x.as_py()) for x in t.column("flat"))
+                return pa.table({"total": [sum(t.column("total").to_pylist())], "n": [sum(t.column("n").to_pylist())], "flat": pa.array([flat.tobytes()], pa.binary())})
+
+            sums = sums.withColumn("__f", (F.spark_partition_id() % FAN).cast("int")).groupBy("__f").applyInArrow(added, "total double, n long, flat binary")
+        parts = sums.collect()
         flat = sum((np.frombuffer(r["flat"]) for r in parts), np.zeros(sum(p["w"].size + p["b"].size for p in params)))
         grads, at = [], 0
         for p in params:
@@ -222,8 +317,8 @@ class Train:
             at += w + b
         return sum(r["total"] for r in parts), sum(r["n"] for r in parts), grads
 
-    def scored(self) -> DataFrame:
-        """raw target, prediction (class index for ce), __train."""
+    def _applied(self, rows: DataFrame, more: str) -> DataFrame:
+        """rows(x, more columns) with the prediction (class index for ce)."""
         params, kind, (m, d) = self.params, self.kind, self.scale
 
         def run(batches):
@@ -231,11 +326,42 @@ class Train:
                 x = np.array(b.column("x").to_pylist(), dtype=float).reshape(b.num_rows, -1)
                 out = layers.forward(params, x)[-1][1]
                 p = out.argmax(axis=1).astype(float) if kind == "ce" else out[:, 0] * d + m
-                yield pa.RecordBatch.from_arrays([b.column("raw"), b.column("__train"), pa.array(p)], names=["raw", "__train", "prediction"])
+                kept = [c for c in b.schema.names if c != "x"]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(p)], names=[*kept, "prediction"])
 
-        return self.rows.select("x", "raw", "__train").mapInArrow(run, "raw double, __train boolean, prediction double")
+        return rows.mapInArrow(run, f"{more}, prediction double")
 
-    def save(self, path: str) -> None:
-        """The best parameters and what is needed to use them, as JSON."""
+    def scored(self) -> DataFrame:
+        """raw target, prediction (class index for ce), __train."""
+        return self._applied(self.rows.select("x", "raw", "__train"), "raw double, __train boolean")
+
+    def predict(self, df: DataFrame, key: str) -> DataFrame:
+        """key, prediction for new rows, encoded by the schema that was trained with."""
+        kind = dict(df.dtypes)[key]
+        x = self.schema.encoded(df.withColumn("__id", F.col(f"`{key}`")), ["__id"])
+        x = self._scaled(x, [f"f{i}" for i in range(len(self.schema.names))])
+        return self._applied(x.select("x", "__id"), f"__id {kind}").withColumnRenamed("__id", key)
+
+    def save(self, path: str) -> bool:
+        """Writes the best parameters and what is needed to use them as JSON, unless the file holds a model with a smaller loss. Whether it was written."""
+        best = min(self.history, default=None)
+        if os.path.exists(path):
+            with open(path) as f:
+                old = json.load(f)["best"]
+            if old is not None and (best is None or old < best):
+                return False
+        made = {"schema": vars(self.schema), "stats": self.stats, "scale": self.scale, "kind": self.kind, "best": best, "params": [{"w": p["w"].tolist(), "b": p["b"].tolist(), "act": p["act"]} for p in self.params]}
         with open(path, "w") as f:
-            json.dump({"names": self.names, "target": self.target, "classes": self.classes, "scale": self.scale, "kind": self.kind, "best": min(self.history, default=None), "params": [{"w": p["w"].tolist(), "b": p["b"].tolist(), "act": p["act"]} for p in self.params]}, f)
+            json.dump(made, f)
+        return True
+
+    @staticmethod
+    def load(path: str) -> "Train":
+        """A saved model, ready to predict."""
+        with open(path) as f:
+            made = json.load(f)
+        out = Train()
+        out.schema, out.stats, out.scale, out.kind = Schema(**made["schema"]), [tuple(s) for s in made["stats"]], tuple(made["scale"]), made["kind"]
+        out.history = [] if made["best"] is None else [made["best"]]
+        out.params = [{"w": np.array(p["w"], dtype=float).reshape(-1, len(p["b"])), "b": np.array(p["b"]), "act": p["act"]} for p in made["params"]]
+        return out

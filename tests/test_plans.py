@@ -17,6 +17,57 @@ def test_regression_and_split(spark, tmp_path):
     run.save(str(tmp_path / "m.json"))
 
 
+def test_text_test_source_resume_and_saved_models(spark, tmp_path):
+    words = ["good", "fine", "bad", "poor"]
+    rows = [(f"{words[k % 4]} thing {words[(k + k // 4) % 2]}", float(k % 9), 3.0 if k % 4 < 2 else -3.0) for k in range(120)]
+    d = spark.createDataFrame([(f"{t} number {k} of the list", x, y) for k, (t, x, y) in enumerate(rows)], "note string, x double, y double")
+    test = spark.createDataFrame([("unseen words only", None, 0.0), ("good thing", 2.0, 3.0)], "note string, x double, y double")
+    data = Data.load().set(d).test(test).target("y")
+    model = Model().layer(8, "tanh").layer(1).loss("mse").lr(0.1).optimizer("adam")
+    run = Train().epochs(20).log(str(tmp_path / "log")).log_every(5).run(spark, model, data)
+    assert [c["kind"] for c in run.schema.columns][0] == "text" and any("#t0" in n for n in run.schema.names)
+    s = run.scored()
+    assert s.filter("__train").count() == 120 and s.filter("not __train").count() == 2 and len((tmp_path / "log").read_text().splitlines()) == 4
+    path = str(tmp_path / "m.json")
+    assert run.save(path)
+    again = Train.load(path)
+    ask = d.withColumn("k", F.monotonically_increasing_id())
+    assert dict(map(tuple, again.predict(ask, "k").collect())) == pytest.approx(dict(map(tuple, run.predict(ask, "k").collect())))
+    assert again.predict(ask.drop("y"), "k").count() == 120
+    more = Train().epochs(3).resume(path).run(spark, model, data)
+    assert more.history[0] <= run.history[-1] * 1.5
+    worse = Train().epochs(1).run(spark, model, data, seed=9)
+    assert not worse.save(path) and Train.load(path).history == [min(run.history)]
+
+
+def test_folder_of_groups(spark, tmp_path):
+    (tmp_path / "H1__meas.csv").write_text("a,y\n1,2\n2,4\n3,6\n")
+    (tmp_path / "H2__meas.csv").write_text("a,y\n4,8\n5,10\n6,12\n7,14\n")
+    (tmp_path / "H1__site.csv").write_text("height\n10\n")
+    (tmp_path / "H2__site.csv").write_text("height\n20\n")
+    (tmp_path / "H1__step.csv").write_text("s\n1\n2\n3\n")
+    (tmp_path / "H2__step.csv").write_text("s\n4\n5\n6\n7\n")
+    (tmp_path / "H9__odd.csv").write_text("q\n1\n")
+    data = Data.load().set(str(tmp_path)).target("y")
+    df = data.frame(spark)
+    assert data.joined == {"site": "key", "step": "positional", "odd": "skip: no shared key"}
+    got = sorted((int(r["meas:a"]), int(r["site:height"]), int(r["step:s"]), int(r["meas:y"])) for r in df.collect())
+    assert got == [(k, 10 if k < 4 else 20, k, 2 * k) for k in range(1, 8)]
+    run = Train().epochs(3).run(spark, Model().layer(1).loss("mse").lr(0.1), data)
+    assert run.schema.target == "meas:y" and len(run.history) == 3
+    with pytest.raises(ValueError):
+        Data.load().set(str(tmp_path)).target("nothing").frame(spark)
+
+
+def test_gradients_of_many_partitions(spark):
+    from tabulon.plans import api
+
+    d = spark.range(300).select((F.col("id") / 100).alias("x"), (F.col("id") * 0.02).alias("y")).repartition(api.FAN + 8)
+    run = Train().epochs(2).run(spark, Model().layer(1).loss("mse").lr(0.1), Data.load().set(d).target("y"))
+    few = Train().epochs(2).run(spark, Model().layer(1).loss("mse").lr(0.1), Data.load().set(d.coalesce(2)).target("y"))
+    assert run.history == pytest.approx(few.history)
+
+
 def test_preflight():
     with pytest.raises(ValueError):
         Data.load().split(1.0)
