@@ -54,12 +54,17 @@ def hamming(a, b):
 METRICS = {"l2": squared_l2, "l1": l1, "cosine": cosine, "chebyshev": chebyshev, "minkowski": minkowski, "canberra": canberra, "braycurtis": braycurtis, "hamming": hamming}
 
 
+def _salts(train: DataFrame) -> int:
+    """Parts that the train rows are dealt to: one for each BLOCK of them, 16 at least."""
+    return max(16, train.count() // BLOCK)
+
+
 def query_pairs(queries: DataFrame, train: DataFrame, block: int = BLOCK) -> DataFrame:
     """Every query (q, qv) with every train row (t, tv), by an equi-join on query blocks.
 
     Train rows are repeated once per block of queries and spread by a salt, so the join has blocks x salts keys and no side is broadcast by assumption."""
     n = max(1, math.ceil(queries.count() / block))
-    salts = 16
+    salts = _salts(train)
     q = queries.withColumn("__b", F.pmod(F.xxhash64("q"), F.lit(n))).withColumn("__s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     t = train.withColumn("__s", F.pmod(F.xxhash64("t"), F.lit(salts)).cast("int")).withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     return q.join(t, ["__b", "__s"]).drop("__b", "__s")
@@ -71,7 +76,7 @@ def nearest(queries: DataFrame, train: DataFrame, k: int, metric: str = "l2") ->
     The k best are kept per query and salt before they meet, so a query's candidates in one task are bounded by salts x k."""
     d = query_pairs(queries, train).filter(F.col("q") != F.col("t")).select("q", "t", METRICS[metric](F.col("qv"), F.col("tv")).alias("distance"))
     order = lambda *key: F.row_number().over(Window.partitionBy(*key).orderBy("distance", "t"))
-    d = d.withColumn("__s", F.pmod(F.xxhash64("t"), F.lit(16)))
+    d = d.withColumn("__s", F.pmod(F.xxhash64("t"), F.lit(_salts(train))))
     d = d.withColumn("__p", order("q", "__s")).filter(F.col("__p") <= k).drop("__p", "__s")
     return d.withColumn("place", order("q")).filter(F.col("place") <= k)
 

@@ -165,8 +165,9 @@ def exact_split(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFr
     """Adds in_train: exactly round(n * share) rows, chosen by hash.
 
     The cut value is found from counts of hash ranges; only the range that holds it is ordered."""
-    d = df.withColumn("__u", uniform(F.col(key), seed=seed)).withColumn("__r", F.floor(F.col("__u") * 4096))
-    per = d.groupBy("__r").agg(F.count(F.lit(1)).alias("n"))  # at most 4096 rows
+    ranges = max(4096, df.count() // 20_000)
+    d = df.withColumn("__u", uniform(F.col(key), seed=seed)).withColumn("__r", F.floor(F.col("__u") * ranges))
+    per = d.groupBy("__r").agg(F.count(F.lit(1)).alias("n"))  # a row for each range
     run = per.withColumn("upto", F.sum("n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, 0))).withColumn("want", F.round(F.sum("n").over(Window.partitionBy()) * share))
     at = run.filter(F.col("upto") - F.col("n") < F.col("want")).agg(F.max(F.struct("__r", (F.col("want") - F.col("upto") + F.col("n")).alias("left"))).alias("x")).first()["x"]
     if at is None:

@@ -154,7 +154,8 @@ class Schema:
 
 @dataclass
 class Model:
-    sizes: list[tuple[int, str]] = field(default_factory=list)
+    #: (size, activation) of a dense layer, (filters, activation, kernel) of a convolution.
+    sizes: list[tuple] = field(default_factory=list)
     kind: str = "mse"
     rate: float = 0.01
     optimiser: str = "sgd"
@@ -165,6 +166,13 @@ class Model:
         self.sizes.append((size, act))
         return self
 
+    def conv(self, filters: int, kernel: int, act: str = "linear") -> "Model":
+        """A convolution along the features (in the order of the schema); its outputs are place after place."""
+        if filters < 1 or kernel < 1 or act not in layers.ACTIVATIONS:
+            raise ValueError("a convolution needs filters, a kernel and a known activation")
+        self.sizes.append((filters, act, kernel))
+        return self
+
     def loss(self, kind: str) -> "Model":
         if kind not in LOSSES:
             raise ValueError(f"unknown loss {kind}")
@@ -182,6 +190,8 @@ class Model:
     def problems(self, n_classes: int) -> list[str]:
         """What would fail before any job starts."""
         out = [] if self.sizes else ["the model has no layers"]
+        if self.sizes and len(self.sizes[-1]) > 2:
+            out.append("the last layer must be dense")
         last = self.sizes[-1][0] if self.sizes else 0
         if self.kind in ("bce", "focal") and (last != 1 or self.sizes[-1][1] != "sigmoid"):
             out.append(f"{self.kind} needs one sigmoid output")
@@ -256,12 +266,15 @@ class Train:
 
     def _initial(self, model: Model, width: int, seed: int) -> list[dict]:
         rng, out = np.random.default_rng(seed), []
-        for size, act in model.sizes:
-            out.append({"w": rng.normal(0, np.sqrt(2 / max(width, 1)), (width, size)), "b": np.zeros(size), "act": act})
-            width = size
+        for size, act, *kernel in model.sizes:
+            rows = kernel[0] if kernel else width
+            if rows > width:
+                raise ValueError(f"a kernel of {rows} is wider than {width} features")
+            out.append({"w": rng.normal(0, np.sqrt(2 / max(rows, 1)), (rows, size)), "b": np.zeros(size), "act": act, "kind": "conv" if kernel else "dense"})
+            width = (width - rows + 1) * size if kernel else size
         if self.start:
             old = Train.load(self.start).params
-            if [(p["w"].shape, p["act"]) for p in old] == [(p["w"].shape, p["act"]) for p in out]:
+            if [(p["w"].shape, p["act"], p["kind"]) for p in old] == [(p["w"].shape, p["act"], p["kind"]) for p in out]:
                 out = old
         return out
 
@@ -350,7 +363,7 @@ class Train:
                 old = json.load(f)["best"]
             if old is not None and (best is None or old < best):
                 return False
-        made = {"schema": vars(self.schema), "stats": self.stats, "scale": self.scale, "kind": self.kind, "best": best, "params": [{"w": p["w"].tolist(), "b": p["b"].tolist(), "act": p["act"]} for p in self.params]}
+        made = {"schema": vars(self.schema), "stats": self.stats, "scale": self.scale, "kind": self.kind, "best": best, "params": [{"w": p["w"].tolist(), "b": p["b"].tolist(), "act": p["act"], "kind": p["kind"]} for p in self.params]}
         with open(path, "w") as f:
             json.dump(made, f)
         return True
@@ -363,5 +376,5 @@ class Train:
         out = Train()
         out.schema, out.stats, out.scale, out.kind = Schema(**made["schema"]), [tuple(s) for s in made["stats"]], tuple(made["scale"]), made["kind"]
         out.history = [] if made["best"] is None else [made["best"]]
-        out.params = [{"w": np.array(p["w"], dtype=float).reshape(-1, len(p["b"])), "b": np.array(p["b"]), "act": p["act"]} for p in made["params"]]
+        out.params = [{"w": np.array(p["w"], dtype=float).reshape(-1, len(p["b"])), "b": np.array(p["b"]), "act": p["act"], "kind": p["kind"]} for p in made["params"]]
         return out

@@ -40,26 +40,60 @@ def loss_grad(kind: str, out: np.ndarray, y: np.ndarray) -> tuple[float, np.ndar
     raise ValueError(f"unknown loss {kind}")
 
 
+def _windows(x: np.ndarray, k: int) -> np.ndarray:
+    """(rows, places, k): all runs of k neighbouring features."""
+    return np.lib.stride_tricks.sliding_window_view(x, k, axis=1)
+
+
+def _affine(p: dict, x: np.ndarray) -> np.ndarray:
+    """A dense layer, or a convolution along the features (w: kernel x filters), whose outputs are place after place."""
+    if p.get("kind") != "conv":
+        return x @ p["w"] + p["b"]
+    return (_windows(x, len(p["w"])) @ p["w"] + p["b"]).reshape(len(x), -1)
+
+
 def forward(params: list[dict], x: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(pre-activation, output) of each dense layer, after the input."""
+    """(pre-activation, output) of each layer, after the input."""
     trace = [(x, x)]
     for p in params:
-        z = trace[-1][1] @ p["w"] + p["b"]
+        z = _affine(p, trace[-1][1])
         trace.append((z, ACTIVATIONS[p["act"]][0](z)))
     return trace
 
 
 def backward(params: list[dict], trace, grad: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Gradients (dW, db) of each dense layer, summed over rows."""
+    """Gradients (dW, db) of each layer, summed over rows."""
     out = []
     for k in range(len(params) - 1, -1, -1):
+        p, x = params[k], trace[k][1]
         z, y = trace[k + 1]
-        grad = grad * ACTIVATIONS[params[k]["act"]][1](z, y)
-        out.append((trace[k][1].T @ grad, grad.sum(axis=0)))
-        grad = grad @ params[k]["w"].T
+        grad = grad * ACTIVATIONS[p["act"]][1](z, y)
+        if p.get("kind") == "conv":
+            width = len(p["w"])
+            g = grad.reshape(len(x), -1, p["w"].shape[1])
+            out.append((np.einsum("npk,npf->kf", _windows(x, width), g), g.sum(axis=(0, 1))))
+            grad = np.zeros_like(x)
+            for j in range(width):
+                grad[:, j : j + g.shape[1]] += g @ p["w"][j]
+        else:
+            out.append((x.T @ grad, grad.sum(axis=0)))
+            grad = grad @ p["w"].T
     return out[::-1]
 
 
+class AttentionCache:
+    """Keys and values of the steps so far; a new step attends to all of them without computing them again."""
+
+    def __init__(self):
+        self.keys, self.values = [], []
+
+    def step(self, q: np.ndarray, k: np.ndarray, v: np.ndarray) -> np.ndarray:
+        self.keys.append(k)
+        self.values.append(v)
+        scores = np.array(self.keys) @ q / np.sqrt(len(q))
+        return softmax(scores) @ np.array(self.values)
+
+
 def attention(q: np.ndarray, k: np.ndarray, v: np.ndarray, causal: bool = False) -> np.ndarray:
     s = q @ k.T / np.sqrt(q.shape[-1])
     if causal:

@@ -36,6 +36,9 @@ def test_text_test_source_resume_and_saved_models(spark, tmp_path):
     assert again.predict(ask.drop("y"), "k").count() == 120
     more = Train().epochs(3).resume(path).run(spark, model, data)
     assert more.history[0] <= run.history[-1] * 1.5
+    wide = Model().conv(3, 4, "relu").layer(1).loss("mse").lr(0.05)
+    convolved = Train().epochs(6).run(spark, wide, data)
+    assert convolved.history[-1] < convolved.history[0] and not Model().conv(2, 2).problems(0) == []
     worse = Train().epochs(1).run(spark, model, data, seed=9)
     assert not worse.save(path) and Train.load(path).history == [min(run.history)]
 
@@ -93,6 +96,31 @@ def test_gradients_match_differences(kind):
         assert gw[0, 0] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-6)
 
 
+def test_convolution_gradients_match_differences():
+    rng = np.random.default_rng(1)
+    params = [{"w": rng.normal(size=(3, 2)), "b": rng.normal(size=2), "act": "tanh", "kind": "conv"}, {"w": rng.normal(size=(2, 2)), "b": rng.normal(size=2), "act": "sigmoid", "kind": "conv"}, {"w": rng.normal(size=(14, 1)), "b": np.zeros(1), "act": "linear", "kind": "dense"}]
+    x, y = rng.normal(size=(4, 6)), rng.normal(size=(4, 1))
+    t = layers.forward(params, x)
+    assert [z.shape[1] for z, _ in t] == [6, 8, 14, 1]
+    value = lambda: layers.loss_grad("mse", layers.forward(params, x)[-1][1], y)[0]
+    grads = layers.backward(params, t, layers.loss_grad("mse", t[-1][1], y)[1])
+    for p, (gw, gb) in zip(params, grads):
+        for part, g in ((p["w"], gw), (p["b"], gb)):
+            for at in np.ndindex(part.shape):
+                part[at] += 1e-6
+                up = value()
+                part[at] -= 2e-6
+                down = value()
+                part[at] += 1e-6
+                assert g[at] == pytest.approx((up - down) / 2e-6, rel=1e-4, abs=1e-6)
+
+
+def test_attention_cache_gives_causal_attention():
+    x = np.random.default_rng(2).normal(size=(6, 4))
+    cache = layers.AttentionCache()
+    assert np.array([cache.step(r, r, r) for r in x]) == pytest.approx(layers.attention(x, x, x, causal=True))
+
+
 @pytest.mark.parametrize("kind", "sgd momentum nesterov adagrad rmsprop adadelta adam adamw nadam radam lamb lars lion".split())
 def test_optimisers_go_down(kind):
     w, s = np.array([3.0, -2.0]), {}
