@@ -4,7 +4,7 @@ A text is scanned for three kinds of secrets. Then every encoded layer in it is
 Unicode escapes (\\uXXXX, \\UXXXXXXXX, \\u{X}, \\xXX, &#N;) are replaced in place, base64 runs (also URL-safe, also in lines) are decoded, and
 decoded bytes with the magic of gzip, zlib, bzip2, xz or zstd are decompressed. Each new layer goes on the worklist until no layer gives a new one; a layer that was seen before for the same place is
 not taken again, so cycles (an archive of itself) end. Every layer carries, for each of its characters, the span of the original text it came from, and a
-match in it is reported as that span.
+match in it is reported as that span: of plain base64 the characters that carry it, of a compressed layer the whole run.
 
 Defined results: null and empty texts have no spans. Layers are whole: all members and frames of an archive are read. A decompressed layer is streamed and scanned in
 windows of about WINDOW characters, which end where no match and no encoded run goes on; n_cut, the number of layers not read to their end, is 0. Repeated rows give equal rows. The scan is row by row: nothing is shuffled or kept.
@@ -201,7 +201,7 @@ def _legible(raw: bytes) -> str | None:
 
 
 def _decoded(run: str):
-    """The windows of the text that a base64 run holds, plain or compressed any number of times; None if it holds none."""
+    """(the windows of the text that a base64 run holds, whether it was compressed, any number of times); None if it holds none."""
     body = run.replace("\r", "").replace("\n", "").rstrip("=").translate(_URL_SAFE)
     body = body[: len(body) - (len(body) % 4 == 1)]
     try:
@@ -218,9 +218,18 @@ def _decoded(run: str):
                 seen.clear()  # too long for an archive of itself
                 break
     if depth:  # compressed text need not be printable throughout
-        return _windows(chain([head], rest))
+        return _windows(chain([head], rest)), True
     text = _legible(raw)
-    return None if text is None else [text]
+    return None if text is None else ([text], False)
+
+
+def _places(run: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where in a base64 run each character of its plain text begins and ends: byte k lies in the sextets from 8 k // 6 to (8 k + 7) // 6."""
+    used = np.flatnonzero(~np.isin(np.frombuffer(run.encode("utf-32-le"), dtype=np.uint32), (10, 13)))
+    points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    after = np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
+    before = np.concatenate([[0], after[:-1]])
+    return used[before * 8 // 6], used[(after * 8 - 1) // 6] + 1
 
 
 def _base64(layer: Layer):
@@ -229,11 +238,17 @@ def _base64(layer: Layer):
         tries = [(m.start(), m.end())]
         while tries:
             a, b = tries.pop()
-            texts = _decoded(layer.text[a:b])
-            if texts is not None:
+            found = _decoded(layer.text[a:b])
+            if found is not None:
+                texts, compressed = found
                 s, e = layer.span(a, b)
                 for text in texts:
-                    yield Layer(text, np.full(len(text), s), np.full(len(text), e))
+                    if compressed:
+                        yield Layer(text, np.full(len(text), s), np.full(len(text), e))
+                        continue
+                    first, last = _places(layer.text[a:b], text)
+                    plain = layer.starts is None
+                    yield Layer(text, a + first if plain else layer.starts[a + first], a + last if plain else layer.ends[a + last - 1])
             elif (a, b) == m.span():
                 if re.search("[/_+-]", m[0]):
                     tries += [(a + p.start(), a + p.end()) for p in re.finditer(r"[A-Za-z0-9]{16,}={0,2}", m[0]) if p.span() != (0, len(m[0]))]
