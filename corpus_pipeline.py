@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabulon.llm import exactdedup, mixing, piece_dropout, quality, simhash
-from tabulon.session import stored
+from tabulon.session import scratch, stored
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +43,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written as Parquet and read again."""
+    """All stages over documents, each but the last written as Parquet and read again; what a stage wrote on its way, and the stages before the last one read, are deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    with scratch(spark) as keep:
+        for name, stage in STAGES[:-1]:
+            with scratch(spark) as keep_stage:
+                docs = keep_stage(stored(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+        keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
