@@ -55,8 +55,8 @@ METRICS = {"l2": squared_l2, "l1": l1, "cosine": cosine, "chebyshev": chebyshev,
 
 
 def _salts(train: DataFrame) -> int:
-    """Parts that the train rows are dealt to: one for each BLOCK of them, 16 at least."""
-    return max(16, train.count() // BLOCK)
+    """Parts that the train rows are dealt to: one for 50,000 of them, 16 at least."""
+    return max(16, train.count() // 50_000)
 
 
 def query_pairs(queries: DataFrame, train: DataFrame, block: int = BLOCK) -> DataFrame:
