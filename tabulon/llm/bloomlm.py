@@ -13,7 +13,7 @@ occurrences or more, of which there are at most TOP_GRAMS (9 bytes each). All ot
 piece travels back to the pack. The exact base score takes counts of the most frequent words from a broadcast of at most TOP_WORDS entries (16 bytes each) and joins the
 rest, which are rare by construction.
 
-Words are known by their 64-bit XXH64. Defined results: null and empty texts are one end token. A null doc_id is taken as an empty
+Words are known by their 64-bit XXH64, n-grams by KEY_BITS bits within their shard. Defined results: null and empty texts are one end token. A null doc_id is taken as an empty
 text for the fold. Repeated rows are scored (and learned) each; a null held_out is taken as false. With no training rows N = V = 0 and all tokens are unknown. An empty table gives an
 empty table. Very long texts are read whole; memory is bounded by the batch.
 """
@@ -111,8 +111,28 @@ def level_values(base: float = BASE) -> np.ndarray:
     return np.array(out)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((keys >> np.uint64(20)) % np.uint64(shards)).astype(np.int32)
+#: An n-gram is known by its shard and so many bits of its hash, of which two n-grams of one shard of 2 ** 21 share all with a chance of 2 ** -19.
+KEY_BITS = 40
+
+
+def located(hashes: np.ndarray, shards: int) -> np.ndarray:
+    """The keys of n-grams: the shard above KEY_BITS bits of the hash."""
+    return (((hashes >> np.uint64(20)) % np.uint64(shards)) << np.uint64(KEY_BITS)) | (hashes & np.uint64((1 << KEY_BITS) - 1))
+
+
+def shard_of(keys: np.ndarray) -> np.ndarray:
+    return (keys >> np.uint64(KEY_BITS)).astype(np.int32)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """The keys of one shard, without it, in five bytes each."""
+    return np.ascontiguousarray(keys, dtype="<u8").view(np.uint8).reshape(-1, 8)[:, : KEY_BITS // 8].tobytes()
+
+
+def unpacked_keys(raw: bytes, shard: int) -> np.ndarray:
+    out = np.zeros((len(raw) * 8 // KEY_BITS, 8), dtype=np.uint8)
+    out[:, : KEY_BITS // 8] = np.frombuffer(raw, dtype=np.uint8).reshape(-1, KEY_BITS // 8)
+    return out.view("<u8").reshape(-1) | (np.uint64(shard) << np.uint64(KEY_BITS))
 
 
 def _seeds(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,7 +174,7 @@ class LogFrequencyFilter:
         """The level of each key: level after level is probed until one is missing."""
         out = np.zeros(len(keys), dtype=np.int64)
         left = np.arange(len(keys))
-        shard = shard_of(keys, self.shards)
+        shard = shard_of(keys)
         at, bits = self.at[shard], self.bits[shard]
         left = left[bits > 0]
         for level in range(1, _LEVELS + 1):
@@ -186,7 +206,7 @@ def pack_texts(docs: DataFrame) -> DataFrame:
                 words, tokens = np.unique(flat, return_inverse=True)
                 part, sizes = b.slice(at0, len(texts)), np.diff(at)
                 lists = [pa.array([part.column(c).to_pylist()], pa.list_(t)) for c, t in (("doc_id", pa.int64()), ("held_out", pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([pa.array([pack]), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, tokens.astype(np.uint32)))], names=["pack", "doc_ids", "held", "sizes", "words", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([pack]), *lists, *(pa.array([x.tobytes()], pa.binary()) for x in (sizes, words, tokens.astype(np.uint16 if len(words) <= 1 << 16 else np.uint32)))], names=["pack", "doc_ids", "held", "sizes", "words", "tokens"])
                 pack += 1
 
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("held_out", F.lit(False)).alias("held_out"), "text")
@@ -200,14 +220,14 @@ class Pack:
         self.id, self.doc_ids, self.held = row["pack"], row["doc_ids"], np.array(row["held"], dtype=bool)
         self.sizes = np.frombuffer(row["sizes"], dtype=np.int64)
         self.words = np.frombuffer(row["words"], dtype=np.uint64)
-        self.tokens = np.frombuffer(row["tokens"], dtype=np.uint32)
+        self.tokens = np.frombuffer(row["tokens"], dtype=np.uint16 if len(self.words) <= 1 << 16 else np.uint32)
         self.at = np.concatenate([[0], np.cumsum(self.sizes)])
         self.who = np.repeat(np.arange(len(self.sizes)), self.sizes)
         self.learn = ~self.held[self.who]
 
-    def grams(self, order: int) -> np.ndarray:
-        """One row of hashes per order."""
-        return np.stack(ngram_hashes(self.words[self.tokens], self.at, order))
+    def grams(self, order: int, shards: int) -> np.ndarray:
+        """One row of keys per order."""
+        return located(np.stack(ngram_hashes(self.words[self.tokens], self.at, order)), shards)
 
 
 def _packs(batches):
@@ -264,30 +284,34 @@ def filter_shards(packs: DataFrame, shards: int, heavy: float, order: int = ORDE
     """shard, bits (bytes of the filter), n_grams, heavy_h and heavy_q (n-grams with a count of `heavy` or more and their levels): one row per shard."""
 
     def count(batches):
+        import zlib
+
         merged = _Merged()
 
-        def rows(h, n):
-            s = shard_of(h, shards)
-            by = np.argsort(s, kind="stable")
-            present, at = np.unique(s[by], return_index=True)
-            h, n = np.split(h[by], at[1:]), np.split(n[by], at[1:])
-            # One row per shard, its n-grams packed, instead of a row per n-gram.
-            return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([x.tobytes() for x in h[: len(present)]], pa.binary()), pa.array([x.astype(np.uint32).tobytes() for x in n[: len(present)]], pa.binary())], names=["shard", "h", "n"])
+        def rows(keys, n):
+            s = shard_of(keys)  # in order, as the keys are
+            present, at = np.unique(s, return_index=True)
+            parts = zip(np.split(keys, at[1:])[: len(present)], np.split(n.astype(np.uint32), at[1:])[: len(present)])
+            # One row per shard, its n-grams packed, instead of a row per n-gram; most counts are small and take next to nothing.
+            made = [(packed_keys(k), zlib.compress(c.tobytes(), 1)) for k, c in parts]
+            return pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array([k for k, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], names=["shard", "h", "n"])
 
         for p in _packs(batches):
-            h, n = np.unique(p.grams(order)[:, p.learn], return_counts=True)
+            h, n = np.unique(p.grams(order, shards)[:, p.learn], return_counts=True)
             if out := merged.add(h, n):
                 yield rows(*out)
         yield rows(*merged.take())
 
     def build(table):
+        import zlib
+
+        shard = table.column("shard")[0].as_py()
         merged = _Merged()
-        merged.h = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("h")]
-        merged.n = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) for x in table.column("n")]
+        merged.h = [unpacked_keys(x.as_py(), shard) for x in table.column("h")]
+        merged.n = [np.frombuffer(zlib.decompress(x.as_py()), np.uint32).astype(np.int64) for x in table.column("n")]
         keys, counts = merged.take()
         filled = build_shard(keys, counts)
         most = keys[counts >= heavy]
-        shard = table.column("shard")[0].as_py()
         sizes = np.zeros(shards, dtype=np.int64)
         sizes[shard] = len(filled)
         levels = LogFrequencyFilter(filled, sizes).levels(most).astype(np.uint8)
@@ -363,29 +387,27 @@ def score(spark: SparkSession, model: dict, top_words: int = TOP_WORDS) -> DataF
     denominator = float(n + v + 1)
 
     def asked(p: Pack):
-        """(distinct n-grams, number of each token's, place and presence among the heavy ones, those that are asked in order of their shards, their shards)."""
-        u, which = np.unique(p.grams(order), return_inverse=True)
+        """(distinct n-grams, number of each token's, place and presence among the heavy ones, those that are asked, in order of their shards)."""
+        u, which = np.unique(p.grams(order, shards), return_inverse=True)
         at, known = _find(grams.value[0], u)
-        open_ = np.flatnonzero(~known)
-        s = shard_of(u[open_], shards)
-        by = np.argsort(s, kind="stable")
-        return u, which.reshape(order, -1), at, known, open_[by], s[by]
+        return u, which.reshape(order, -1), at, known, np.flatnonzero(~known)
 
     def asks(batches):
         for p in _packs(batches):
-            u, _, _, _, open_, s = asked(p)
-            present, at = np.unique(s, return_index=True)
-            keys = np.split(u[open_], at[1:])[: len(present)]
-            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array(np.full(len(present), p.id)), pa.array([x.tobytes() for x in keys], pa.binary())], names=["shard", "pack", "h"])
+            u, _, _, _, open_ = asked(p)
+            keys = u[open_]
+            present, at = np.unique(shard_of(keys), return_index=True)
+            rows = [packed_keys(k) for k in np.split(keys, at[1:])[: len(present)]]
+            yield pa.RecordBatch.from_arrays([pa.array(present, pa.int32()), pa.array(np.full(len(present), p.id)), pa.array(rows, pa.binary())], names=["shard", "pack", "h"])
 
     def answer(left, right):
         """Probes the shard's filter for all its n-grams."""
         sizes = np.zeros(shards, dtype=np.int64)
         filled = np.frombuffer(right.column("bits")[0].as_py() if right.num_rows else b"", dtype=np.uint8)
-        if left.num_rows:
-            sizes[left.column("shard")[0].as_py()] = len(filled)
+        shard = left.column("shard")[0].as_py() if left.num_rows else 0
+        sizes[shard] = len(filled)
         filt = LogFrequencyFilter(filled, sizes)
-        levels = [filt.levels(np.frombuffer(x.as_py(), np.uint64)).astype(np.uint8).tobytes() for x in left.column("h")]
+        levels = [filt.levels(unpacked_keys(x.as_py(), shard)).astype(np.uint8).tobytes() for x in left.column("h")]
         return pa.table({"pack": left.column("pack"), "shard": left.column("shard"), "q": pa.array(levels, pa.binary())})
 
     def finish(left, right):
@@ -393,7 +415,7 @@ def score(spark: SparkSession, model: dict, top_words: int = TOP_WORDS) -> DataF
         answers = {s: np.frombuffer(q, np.uint8) for s, q in zip(right.column("shard").to_pylist(), right.column("q").to_pylist())}
         for row in left.to_pylist():
             p = Pack(row)
-            u, which, at, known, open_, _ = asked(p)
+            u, which, at, known, open_ = asked(p)
             levels = np.zeros(len(u), dtype=np.int64)
             levels[known] = grams.value[1][at[known]]
             if len(open_):
@@ -406,7 +428,7 @@ def score(spark: SparkSession, model: dict, top_words: int = TOP_WORDS) -> DataF
             term = np.where(top, np.log10((counts + 1.0) / denominator), 0.0)
             # Words beyond the frequent ones, with their numbers in each document.
             rare = np.flatnonzero(~top[p.tokens])
-            pairs, times = np.unique(p.who[rare] * len(p.words) + p.tokens[rare], return_counts=True)
+            pairs, times = np.unique(p.who[rare] * len(p.words) + p.tokens[rare].astype(np.int64), return_counts=True)
             doc, word = np.divmod(pairs, len(p.words))
             ends = np.searchsorted(doc, np.arange(k + 1))
             out["pack"] += [p.id] * k
