@@ -27,8 +27,10 @@ SHINGLE, SEED = 3, 42
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 _BLOCK = 1 << 16
-#: Candidate pairs that are made at once.
-_PAIRS = 1 << 20
+#: Candidate pairs that are made at once, rows of a bucket that are gathered at once, and pairs a text in a bucket that is not crowded.
+_PAIRS, _CHUNK, _CROWD = 1 << 20, 1 << 20, 8
+#: Texts of a family that are compared with each other at once.
+_FAMILY = 512
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -139,53 +141,164 @@ def _choose(n: int, k: int) -> int:
     return comb(n, k)
 
 
-def _across(loose: int):
-    """Pairs (a, b) of all texts of one bucket that lie in different groups and whose heads differ in at most `loose` bits. Rows come sorted by
-    bucket, group and id; a bucket may span batches."""
+def _buckets(batches, names: tuple[str, ...], most: int | None = None):
+    """The columns of whole buckets (rows of equal x, which come together and may span batches), many at a time; longer ones than `most` in parts."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [batch.column(c).to_numpy() for c in names]
+        rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
+        last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+        if most and len(rows[0]) - last > most:
+            last = len(rows[0])
+        if last:
+            yield [r[:last] for r in rows]
+        held = [r[last:] for r in rows] if last < len(rows[0]) else None
+    if held is not None:
+        yield held
 
-    def pairs(x, g, ids, head):
-        n = len(x)
-        ends = np.append(np.flatnonzero((x[1:] != x[:-1]) | (g[1:] != g[:-1])) + 1, n)
-        group_end = np.repeat(ends, np.diff(ends, prepend=0))
-        ends = np.append(np.flatnonzero(x[1:] != x[:-1]) + 1, n)
-        counts = np.repeat(ends, np.diff(ends, prepend=0)) - group_end
-        total, at = np.cumsum(counts), 0
-        while at < n:
+
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def _links(a: np.ndarray, b: np.ndarray, family: bool | None = None) -> pa.RecordBatch:
+    more = [] if family is None else [pa.array(np.full(len(a), family))]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *more], names=["a", "b", "family"][: 2 + len(more)])
+
+
+def _hub(bits: np.ndarray) -> int:
+    """The row of bits (as longs) nearest to the majority of all: of a text and its edited copies, the text."""
+    rows = np.unpackbits(bits.view(np.uint8), bitorder="little").reshape(-1, 64)
+    middle = np.packbits(2 * rows.sum(axis=0, dtype=np.int64) > len(rows), bitorder="little").view(np.int64)
+    return int(_bits_apart(bits, middle).argmin())
+
+
+def _gather(loose: int):
+    """Links that gather large groups, a number in proportion to the rows: each text of a bucket to the next by its head, and to the bucket's hub.
+    Rows come sorted by bucket, head and id."""
+
+    def run(batches):
+        for x, head, alt, ids in _buckets(batches, ("x", "head", "alt", "id"), _CHUNK):
+            same = x[1:] == x[:-1]
+            at = np.flatnonzero(same & (_bits_apart(head[1:], head[:-1]) <= loose))
+            out = [(ids[at], ids[at + 1])]
+            starts = np.flatnonzero(np.concatenate([[True], ~same]))
+            sizes = np.diff(starts, append=len(x))
+            for i, n in zip(starts[sizes > 3].tolist(), sizes[sizes > 3].tolist()):
+                hub = i + _hub(alt[i : i + n])
+                near = i + np.flatnonzero(_bits_apart(head[i : i + n], head[hub]) <= loose)
+                near = near[near != hub]
+                out.append((np.full(len(near), ids[hub]), ids[near]))
+            a, b = (np.concatenate(c) for c in zip(*out))
+            yield _links(a, b)
+
+    return run
+
+
+def _across(loose: int, crowd: int):
+    """(a, b, family): pairs of the texts of one bucket that lie in different groups and whose heads allow a link. Rows come sorted by bucket, group and id; k tells
+    which bit of a row's slice was turned (0: none), and a pair is named only in one of the buckets of a table in which it meets.
+
+    In a bucket with more than `crowd` pairs a text, the texts near its hub are not paired but named with it, as a family (hub, text, true); only pairs with or
+    among the others are. That is done again with the others while they are too many."""
+
+    flip = np.concatenate([[0], 1 << np.arange(40)]).astype(np.int64)
+
+    def pairs(rows, which, ends, limit=None):
+        """Passing pairs of each row of `which` with the rows from its group's end on up to `ends`; None if there are more than limit."""
+        x, _, _, head, v, stop_g = rows
+        c = ends[which] - stop_g[which]
+        which, c = which[c > 0], c[c > 0]
+        total, at, found, n = np.cumsum(c), 0, [], 0
+        while at < len(which):
             stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _PAIRS, "right")))
-            c = counts[at:stop]
-            left = np.repeat(np.arange(at, stop), c)
-            right = np.arange(len(left)) + np.repeat(group_end[at:stop] - (np.cumsum(c) - c), c)
-            near = np.bitwise_count((head[left] ^ head[right]).view(np.uint64)) <= loose
-            a, b = ids[left[near]], ids[right[near]]
-            a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            w, k = which[at:stop], c[at:stop]
+            left = np.repeat(w, k)
+            right = np.arange(len(left)) + np.repeat(stop_g[w] - (np.cumsum(k) - k), k)
+            ok = _bits_apart(head[left], head[right]) <= loose
+            left, right = left[ok], right[ok]
+            low = v[left] ^ v[right]
+            low &= -low
+            ok = np.minimum(v[left] ^ low, v[right] ^ low) == x[left] & ((1 << 40) - 1)
+            found.append((left[ok], right[ok]))
+            n += len(found[-1][0])
+            if limit is not None and n > limit:
+                return None
             at = stop
+        return found
 
     def run(batches):
-        held = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [batch.column(c).to_numpy() for c in ("x", "g", "id", "head")]
-            rows = rows if held is None else [np.concatenate(p) for p in zip(held, rows)]
-            last = int(np.searchsorted(rows[0], rows[0][-1], "left"))
-            if last:
-                yield from pairs(*(r[:last] for r in rows))
-            held = [r[last:] for r in rows]
-        if held is not None:
-            yield from pairs(*held)
+        for x, g, ids, head, k in _buckets(batches, ("x", "g", "id", "head", "k")):
+            n, v = len(x), (x & ((1 << 40) - 1)) ^ flip[k]
+            new = x[1:] != x[:-1]
+            ends = lambda cut: np.repeat(e := np.append(np.flatnonzero(cut) + 1, n), np.diff(e, prepend=0))
+            stop_g, stop = ends(new | (g[1:] != g[:-1])), ends(new)
+            starts = np.flatnonzero(np.concatenate([[True], new]))
+            sizes = np.diff(starts, append=n)
+            large = np.add.reduceat(stop - stop_g, starts) > crowd * sizes
+            for left, right in pairs((x, g, ids, head, v, stop_g), np.flatnonzero(~np.repeat(large, sizes)), stop):
+                yield _links(ids[left], ids[right], False)
+            for i, size in zip(starts[large].tolist(), sizes[large].tolist()):
+                rest = np.arange(i, i + size)
+                while True:
+                    part = tuple(c[rest] for c in (x, g, ids, head, v))
+                    end = np.full(len(rest), len(rest))
+                    stops = np.searchsorted(part[1], part[1], "right")
+                    found = pairs((*part, stops), np.arange(len(rest)), end, crowd * len(rest))
+                    if found is not None:
+                        for left, right in found:
+                            yield _links(part[2][left], part[2][right], False)
+                        break
+                    hub = _hub(part[3])
+                    near = _bits_apart(part[3], part[3][hub]) <= loose
+                    yield _links(np.full(int(near.sum()), part[2][hub]), part[2][near], True)
+                    # The texts near the hub against the others, which are few or far.
+                    for at in range(0, len(rest), 4096):
+                        l, r = np.nonzero(_bits_apart(part[3][at : at + 4096][near[at : at + 4096]][:, None], part[3][~near][None, :]) <= loose)
+                        a, b = np.flatnonzero(near[at : at + 4096])[l] + at, np.flatnonzero(~near)[r]
+                        ok = part[1][a] != part[1][b]
+                        yield _links(part[2][a[ok]], part[2][b[ok]], False)
+                    rest = rest[~near]
+
+    return run
+
+
+def _exact(similarity: float):
+    """src, dst: the links between texts of different groups in two blocks of a family (or in one), by the exact similarity of their shingle sets."""
+
+    def run(key, table):
+        ids, g, sizes, block = (table.column(c).to_numpy() for c in ("id", "g", "n", "block"))
+        low, high = key[1].as_py(), key[2].as_py()
+        sets = table.column("s").combine_chunks()
+        flat, which = sets.flatten().to_numpy(), np.repeat(np.arange(len(ids)), np.diff(sets.offsets.to_numpy()))
+        _, at, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        often = np.flatnonzero(counts > 1)
+        place = np.full(len(counts), -1)
+        place[often] = np.arange(len(often))
+        at, which = place[at][place[at] >= 0], which[place[at] >= 0]
+        shared = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        for c in range(0, len(often), 4096):
+            own = (at >= c) & (at < c + 4096)
+            m = np.zeros((len(ids), min(4096, len(often) - c)), dtype=np.float32)
+            m[which[own], at[own] - c] = 1
+            shared += m @ m.T
+        alike = shared >= similarity * (sizes[:, None] + sizes[None, :] - shared)
+        alike &= (g[:, None] != g[None, :]) & (ids[:, None] < ids[None, :])
+        if low != high:
+            alike &= block[:, None] != block[None, :]
+        a, b = np.nonzero(alike)
+        return pa.table({"src": pa.array(ids[a]), "dst": pa.array(ids[b])})
 
     return run
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = NEAR_SHINGLE, similarity: float = NEAR_SIMILARITY) -> DataFrame:
     """doc_id, component_id for every document with words. Documents are linked whose sets of `shingle` words have a Jaccard similarity of at
-    least `similarity`: the fingerprints name the candidates, the sets decide.
-
-    Rows of one doc_id are one document; null ids and texts without words are linked to nothing."""
-    from pyspark.sql import Window
+    least `similarity`: the fingerprints name the candidates, the sets decide. The component is the smallest id reached.
 
+    Rows of one doc_id are one document, of which the text with the smallest component counts; null ids and texts without words are linked to nothing."""
     src = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("doc_id is not null")
     tables, bits = plan_tables(src.count(), similarity)
     width = plan_width(tables, bits)
@@ -202,14 +315,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def slices(batches):
         weights = 1 << np.arange(bits, dtype=np.int64)
+        words = [0, *(1 + t % (width - 1) for t in range(tables))]
         for b in batches:
             raw = np.frombuffer(b"".join(b.column("wide").to_pylist()), dtype=np.uint8).reshape(-1, 8 * width)
             flat = np.unpackbits(raw, axis=1, bitorder="little")[:, : tables * bits].reshape(-1, tables, bits).astype(np.int64)
             values = (flat * weights).sum(axis=2)
-            first = raw[:, :8].copy().view("<i8").reshape(-1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(first), pa.array(values.tolist(), pa.list_(pa.int64()))], names=["id", "head", "v"])
+            picked = raw.view("<i8")[:, words]
+            lists = [pa.array(m.tolist(), pa.list_(pa.int64())) for m in (values, picked[:, 1:])]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.ascontiguousarray(picked[:, 0])), *lists], names=["id", "head", "v", "alt"])
 
-    parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>").select("id", "head", F.posexplode("v").alias("t", "v"))
+    parts = classes.mapInArrow(slices, "id long, head long, v array<bigint>, alt array<bigint>")
+    parts = parts.select("id", "head", F.posexplode(F.arrays_zip("v", "alt")).alias("t", "z")).select("id", "head", F.col("z.v").alias("v"), "t", F.col("z.alt").alias("alt"))
     # Bits may differ in 4.5 standard deviations more than at the threshold, in one word and then in the whole fingerprint.
     share = differing_share(similarity)
     most = lambda n: int(n * share + 4.5 * (n * share * (1 - share)) ** 0.5)
@@ -233,18 +349,34 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         alike = shared / (F.size("sa") + F.size("sb") - shared) >= similarity
         return both.filter(alike).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
-    # Texts with an equal slice are linked to the next by the head of their fingerprints, which gathers large groups; then every
-    # bucket pairs all its texts of different groups, so nothing is left out and no group is paired with itself.
-    order = Window.partitionBy("t", "v").orderBy("head", "id")
-    met = parts.select("id", "head", F.lag("id").over(order).alias("o"), F.lag("head").over(order).alias("h")).filter(F.col("o").isNotNull() & (F.col("o") != F.col("id")))
-    met = met.filter(F.bit_count(F.col("head").bitwiseXOR(F.col("h"))) <= loose)
-    groups = cut(components(linked(met.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")))))
+    def family_links(families: DataFrame, groups: DataFrame) -> DataFrame:
+        """Links inside families of texts that are much alike, block by block. A text of which more shingles than the threshold lets differ are in no other text of
+        any family has none."""
+        texts = stored(src.join(families.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sets, "id long, s array<bigint>"), "near-families")
+        once = texts.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).filter("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+        able = texts.withColumn("n", F.size("s").cast("long")).join(once, "id", "left").filter(F.col("n") - F.coalesce("own", F.lit(0)) >= similarity * F.col("n")).drop("own")
+        able = able.join(families.select(F.col("node").alias("id"), F.col("component").alias("family")), "id").join(groups.select(F.col("node").alias("id"), F.col("component").alias("c")), "id", "left")
+        able = able.select("id", "family", F.coalesce("c", "id").alias("g"), "n", "s")
+        blocks = able.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / float(_FAMILY)).cast("int").alias("blocks"))
+        placed = able.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        placed = placed.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+        return placed.select("family", "low", "high", "id", "g", "n", "block", "s").groupBy("family", "low", "high").applyInArrow(_exact(similarity), "src long, dst long")
+
+    # Texts with an equal slice are linked to few others, which gathers large groups; then every bucket of slices at most 2 bits apart pairs its
+    # texts of different groups, so nothing is left out and no group is paired with itself.
+    bucket = lambda v: (F.col("t").cast("long") * F.lit(1 << 40) + v).alias("x")
+    met = parts.select(bucket(F.col("v")), "head", "alt", "id").repartition("x").sortWithinPartitions("x", "head", "id")
+    groups = cut(components(linked(met.mapInArrow(_gather(loose), "a long, b long"))))
     flips = F.array(*[F.lit(0).cast("long")], *[F.lit(1 << k).cast("long") for k in range(bits)])
-    grouped = parts.join(groups, F.col("id") == F.col("node"), "left").select("id", "head", F.coalesce("component", "id").alias("g"), "t", "v")
-    keyed = grouped.select("t", "g", "id", "head", F.explode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("x"))
-    keyed = keyed.select((F.col("t").cast("long") * F.lit(1 << 40) + F.col("x")).alias("x"), "g", "id", "head")
-    met = keyed.repartition("x").sortWithinPartitions("x", "g", "id").mapInArrow(_across(loose), "a long, b long")
-    links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met))
+    grouped = parts.join(groups, F.col("id") == F.col("node"), "left").withColumn("g", F.coalesce("component", "id"))
+
+    keyed = grouped.select("t", "g", "id", "head", F.posexplode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("k", "y"))
+    keyed = keyed.select(bucket(F.col("y")), "g", "id", "head", F.col("k").cast("tinyint").alias("k")).repartition("x").sortWithinPartitions("x", "g", "id")
+    met = cut(keyed.mapInArrow(_across(loose, _CROWD), "a long, b long, family boolean").distinct())
+    links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met.filter("not family").select("a", "b")))
+    crowds = met.filter("family and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if not crowds.isEmpty():
+        links = links.unionByName(stored(family_links(components(crowds), groups), "near-family-links"))
     found = components(links)
     named = cut(classes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"), "n"))
     return join_groups(docs.select("doc_id", "same"), named, "same", "n", docs.count()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

@@ -127,6 +127,55 @@ def test_hot_groups_meet_their_rows(spark):
     assert 0 < groups.filter("size > 5").count() < skew.HOT
 
 
+def plain_fingerprint(text, seed=42):
+    """The contract's fingerprint, bit by bit."""
+    import xxhash
+
+    w = WORD.findall(lower(text))
+    grams = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) >= 3 else [" ".join(w)] if w else []
+    hashes = [xxhash.xxh64(g.encode(), seed=seed).intdigest() for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) if hashes else 0
+
+
+def test_simhash_query_against_brute_force(spark, sf):
+    """The registered query: fingerprints bit by bit, and components over all pairs at most two bits apart, with texts edited until they are 1, 2 and 3 bits away."""
+    docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    got = {r["doc_id"]: r for r in simhash.op8_simhash(spark, sf).collect()}
+    fp = {i: plain_fingerprint(t) for i, t in docs}
+    assert {i: f"{x:016x}" for i, x in fp.items()} == {i: r["fingerprint"] for i, r in got.items()}
+    ids, values = list(fp), np.array(list(fp.values()), dtype=np.uint64)
+    root = {i: i for i in ids}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in range(len(ids)):
+        for b in np.flatnonzero(np.bitwise_count(values[a + 1 :] ^ values[a]) <= 2):
+            x, y = find(ids[a]), find(ids[a + 1 + b])
+            root[max(x, y)] = min(x, y)
+    assert all(got[i]["component_id"] == find(i) for i in ids)
+
+
+def test_ball_links_at_each_distance(spark):
+    """Chains of fingerprints that differ in 1, 2 and 3 bits, the sign bit among them."""
+    rng = np.random.default_rng(12)
+    rows, want = [], {}
+    for k in range(300):
+        x, bits = int(rng.integers(0, 1 << 62)), rng.choice(64, 3, replace=False).tolist()
+        for d in range(4):
+            y = x
+            for b in bits[:d]:
+                y ^= 1 << b
+            rows.append((y - (1 << 64) if y >> 63 else y, 4 * k + d))
+        want[k] = {(4 * k, 4 * k + 1), (4 * k, 4 * k + 2), (4 * k + 1, 4 * k + 2), (4 * k + 1, 4 * k + 3), (4 * k + 2, 4 * k + 3)}
+    links = {tuple(r) for r in simhash.ball_links(spark.createDataFrame(rows, "fp long, id long")).collect()}
+    assert links <= set().union(*want.values())
+    for k in range(300):  # every text is linked, and all four are connected
+        assert {i for a, b in links if a // 4 == k for i in (a, b)} == {4 * k + d for d in range(4)}
+
+
 def test_simhash_links(odd, none):
     got = simhash.simhash_components(odd).collect()
     texts = {(r["doc_id"], r["text"]) for r in odd.collect()}
@@ -321,6 +370,28 @@ def test_secret_layers():
     assert secret_scan.joined(secret_scan.scan(text)[0]) == f"assign:0:16,hex:30:62,access:79:95"
 
 
+def test_secret_spans_in_base64():
+    """A match in plain base64 maps to the characters that carry it, across line breaks and layers."""
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        before = "".join(rng.choice("abc é😀\n") for _ in range(rng.randrange(40)))
+        text = f"{before} token=abcdefgh12 {before} end"
+        for lines in (False, True):
+            run = base64.encodebytes(text.encode()).decode().rstrip("\n") if lines else base64.b64encode(text.encode()).decode()
+            whole = f"x {run} y"
+            found = [x for x in secret_scan.scan(whole)[1] if x[3] == "assign"]
+            (s, _, e, _), = found
+            at = len((before + " ").encode())
+            inner = run.replace("\n", "")
+            want = len(whole[2:s].replace("\n", "")), len(whole[2:e].replace("\n", ""))
+            assert want == (at * 8 // 6, ((at + len("token=abcdefgh12")) * 8 - 1) // 6 + 1) and inner[want[0] : want[1]]
+    twice = base64.b64encode(base64.b64encode(b"some words before token=abcdefgh12 and after it")).decode()
+    (s, _, e, _), = secret_scan.scan(twice)[1]
+    assert 0 < s < e < len(twice) and b"token=abcdefgh12" in base64.b64decode(base64.b64decode(twice[s // 16 * 16 : -(-e // 16) * 16] + "==="))
+
+
 def test_secret_archives_are_read_whole():
     import bz2
     import lzma
@@ -346,6 +417,24 @@ def test_secret_text_with_separators_and_short_lines():
             assert {k for *_, k in secret_scan.scan(lines + after)[1]} == {"assign"}, (n, after)
 
 
+def test_secret_query_base_spans(spark, sf):
+    """The registered query over the whole table: base counts and digest by the contract's own patterns, and all spans hold the base ones."""
+    got = {r["doc_id"]: r for r in secret_scan.op7_secret_scan(spark, sf).collect()}
+    docs = duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall()
+    assert len(got) == len(docs)
+    letters = lambda w: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w)
+    words = "|".join([*map(letters, ("password", "passwd", "secret", "token")), letters("api") + "_?" + letters("key")])
+    for i, t in docs:
+        t, r = t or "", got[i]
+        spans = [(m.start(), 0, m.end(), "assign") for m in re.finditer(rf"""({words})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) > 7]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) > 15]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) > 31]
+        line = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        assert r["base_sha256"] == hashlib.sha256(line.encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[3] == k for x in spans) for k in ("assign", "access", "hex")]
+        assert set(line.split(",")) - {""} <= set(r["spans"].split(","))
+
+
 def test_secret_query(spark, odd, none):
     got = secret_scan.scan_secrets(odd)
     assert got.count() == 17 and secret_scan.scan_secrets(none).count() == 0
@@ -463,6 +552,42 @@ def test_pieces_match_the_model_and_come_back(spark, odd, none):
     assert piece_dropout.encode_pieces(none).count() == 0
 
 
+def test_piece_query(spark, sf):
+    """The registered query: every text comes back, and its pieces are those of a merge agenda written out with the same draws."""
+    docs = dict(duckdb.sql(f"select doc_id, text from '{sf}/documents.parquet'").fetchall())
+    got = piece_dropout.op1_piece_dropout(spark, sf).collect()
+    assert len(got) == len(docs) and all(r["lossless"] and r["n_tokens"] == len(r["token_ids"]) for r in got)
+    codec = piece_dropout.Codec(piece_dropout.load_pieces())
+    score = {p: codec.scores[i] for p, i in codec.ids.items()}
+
+    def agenda(unit, skip):
+        parts = [piece_dropout.LITERAL if c == piece_dropout.SPACE else piece_dropout.SPACE if c == " " else c for c in unit]
+        gone, k = set(), 0  # pairs that were skipped, by the identity of their parts
+        parts = [[p] for p in parts]
+        while True:
+            options = [(-score[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a[0] + b[0] in score and (id(a), id(b)) not in gone]
+            if not options:
+                break
+            i = min(options)[1]
+            if k in skip:
+                gone.add((id(parts[i]), id(parts[i + 1])))
+            else:
+                parts[i : i + 2] = [[parts[i][0] + parts[i + 1][0]]]
+            k += 1
+        out = []
+        for (p,) in parts:
+            out += [codec.ids[p]] if p in codec.ids else [codec.byte_ids[b] for b in p.replace(piece_dropout.LITERAL, piece_dropout.SPACE).encode()]
+        return out
+
+    for r in got[:25]:
+        units = codec.units.findall(" " + docs[r["doc_id"]]) if docs[r["doc_id"]] else []
+        first, states = codec._gaps(codec._states([str(r["doc_id"])], [len(units)], np.arange(len(units))))
+        want = []
+        for u, g, state in zip(units, first.tolist(), states):
+            want += agenda(u, codec._skips(g, state, len(u)))
+        assert r["token_ids"] == want
+
+
 def test_dropout_is_drawn_for_every_occurrence():
     codec = piece_dropout.Codec(piece_dropout.load_pieces())
     plain = piece_dropout.Codec(piece_dropout.load_pieces(), 0.0)
