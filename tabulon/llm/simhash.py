@@ -28,7 +28,7 @@ _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 _BLOCK = 1 << 16
 #: Candidate pairs that are made at once, rows of a bucket that are gathered at once, and pairs a text in a bucket that is not crowded.
-_PAIRS, _CHUNK, _CROWD = 1 << 20, 1 << 20, 8
+_PAIRS, _CHUNK, _CROWD = 1 << 18, 1 << 18, 8
 #: Texts of a family that are compared with each other at once.
 _FAMILY = 512
 
@@ -255,9 +255,12 @@ def _across(loose: int, crowd: int):
                     near = _bits_apart(part[3], part[3][hub]) <= loose
                     yield _links(np.full(int(near.sum()), part[2][hub]), part[2][near], True)
                     # The texts near the hub against the others, which are few or far.
-                    for at in range(0, len(rest), 4096):
-                        l, r = np.nonzero(_bits_apart(part[3][at : at + 4096][near[at : at + 4096]][:, None], part[3][~near][None, :]) <= loose)
-                        a, b = np.flatnonzero(near[at : at + 4096])[l] + at, np.flatnonzero(~near)[r]
+                    away = np.flatnonzero(~near)
+                    step = max(1, _PAIRS // max(1, len(away)))
+                    for at in range(0, len(rest), step):
+                        own = np.flatnonzero(near[at : at + step]) + at
+                        l, r = np.nonzero(_bits_apart(part[3][own][:, None], part[3][away][None, :]) <= loose)
+                        a, b = own[l], away[r]
                         ok = part[1][a] != part[1][b]
                         yield _links(part[2][a[ok]], part[2][b[ok]], False)
                     rest = rest[~near]

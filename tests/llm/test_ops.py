@@ -562,20 +562,22 @@ def test_piece_query(spark, sf):
 
     def agenda(unit, skip):
         parts = [piece_dropout.LITERAL if c == piece_dropout.SPACE else piece_dropout.SPACE if c == " " else c for c in unit]
-        gone, k = set(), 0  # pairs that were skipped, by the identity of their parts
-        parts = [[p] for p in parts]
+        gone, k = set(), 0  # pairs that were skipped, by the numbers of their parts
+        parts = [(p, n) for n, p in enumerate(parts)]
+        fresh = len(parts)
         while True:
-            options = [(-score[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a[0] + b[0] in score and (id(a), id(b)) not in gone]
+            options = [(-score[a[0] + b[0]], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a[0] + b[0] in score and (a[1], b[1]) not in gone]
             if not options:
                 break
             i = min(options)[1]
             if k in skip:
-                gone.add((id(parts[i]), id(parts[i + 1])))
+                gone.add((parts[i][1], parts[i + 1][1]))
             else:
-                parts[i : i + 2] = [[parts[i][0] + parts[i + 1][0]]]
+                parts[i : i + 2] = [(parts[i][0] + parts[i + 1][0], fresh)]
+                fresh += 1
             k += 1
         out = []
-        for (p,) in parts:
+        for p, _ in parts:
             out += [codec.ids[p]] if p in codec.ids else [codec.byte_ids[b] for b in p.replace(piece_dropout.LITERAL, piece_dropout.SPACE).encode()]
         return out
 
