@@ -73,13 +73,14 @@ def read_csv(spark: SparkSession, path: str | list[str], sep: str = ",", multili
     """A delimited file, a folder of parts, or files with one header, as strings.
 
     Quoted cells may hold separators, doubled quotes and line breaks. A first record in which every cell is a number is data; columns are then col_0, col_1, ... Rows
-    are cut or padded with "" to the width of the first. NA, NaN and nan become "". An empty file has no columns. Without multiline, files are
+    are cut or padded with "" to the width of the first. NA, NaN and nan become "". Files without any record have no columns. Without multiline, files are
     split over tasks, and a quoted cell ends with its line."""
     paths = [f for p in ([path] if isinstance(path, str) else path) for f in files_of(spark, p)]
-    first = [c for c in first_records(spark, paths[:1], sep).values() if c] if paths else []
-    if not first:
+    # Parts without a record, which Spark writes for empty partitions, say nothing of the columns.
+    first = next((c for p in paths if (c := first_records(spark, [p], sep)[p])), None)
+    if first is None:
         return spark.createDataFrame([], "`_empty` string").drop("_empty")
-    names, header = header_of(first[0])
+    names, header = header_of(first)
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
     raw = spark.read.csv(paths, schema=schema, header=header, sep=sep, quote='"', escape='"', mode="PERMISSIVE", multiLine=multiline, enforceSchema=True, nullValue="\0")
     return raw.select(*[_cleaned(F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], *([F.col("_metadata.file_path").alias("_file")] if not isinstance(path, str) else []))

@@ -113,3 +113,10 @@ def test_node_text():
     n = tensors.Node.parse("model\n\tlr = 0.5\n\tlayer = dense\n\t\tsize = 3\nnote = a = b\n")
     assert n.number("model.lr") == 0.5 and n.get("model.layer.size").value == "3" and n.get("note").value == "a = b" and n.get("nope") is None
     assert tensors.Node.parse(n.dump()).dump() == n.dump()
+
+
+def test_csv_folder_whose_first_part_is_empty(spark, tmp_path):
+    (tmp_path / "part-0.csv").write_text("")
+    (tmp_path / "part-1.csv").write_text("1,2\n3,4\n")
+    got = tables.read_csv(spark, str(tmp_path), multiline=False)
+    assert got.columns == ["col_0", "col_1"] and sorted(map(tuple, got.collect())) == [("1", "2"), ("3", "4")]
