@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabulon.session import cut
+from tabulon.session import cut, scratch, stored
+
+#: Edges that one task takes at most when a graph is contracted.
+EDGES_PER_TASK = 200_000
 
 
 def nb_counts(x: DataFrame, cls: str, feature: str) -> DataFrame:
@@ -68,17 +76,26 @@ def join_itemsets(sets: DataFrame) -> DataFrame:
 
 
 def frequent_itemsets(items: DataFrame, basket: str, item: str, least: int, most_items: int) -> DataFrame:
-    """items (sorted array), support of all sets of up to most_items items in at least `least` baskets, size after size."""
-    level = item_support(items, basket, item).filter(F.col("support") >= least).select(F.array(item).alias("items"), "support")
-    out = level = cut(level)
-    for _ in range(1, most_items):
-        found = cut(join_itemsets(level).withColumn("set", F.concat_ws("\0", F.transform("items", lambda x: x.cast("string")))))
-        support = itemset_support(items, basket, item, found.select("set", F.explode("items").alias("item")))
-        level = cut(found.join(support, "set").filter(F.col("support") >= least).select("items", "support"))
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+    """items (sorted array), support of all sets of up to most_items items in at least `least` baskets, size after size.
+
+    Sets grow inside the baskets: two frequent sets of a basket that agree in all but their last item are joined there. So only sets that some basket holds are counted;
+    candidates joined from the frequent sets alone grow with the square of the items, however few of them ever meet."""
+    often = stored(item_support(items, basket, item).filter(F.col("support") >= least), "itemsets")
+    levels = [often.select(F.array(item).alias("items"), "support")]
+    with scratch(items.sparkSession) as keep:
+        held = stored(items.select(F.col(basket).alias("__b"), item).distinct().join(often.select(item), item, "left_semi").select("__b", F.col(item).alias("__1")), "itemset-baskets")
+        for k in range(1, most_items):
+            prefix, last, new = [f"__{i}" for i in range(1, k)], f"__{k}", f"__{k + 1}"
+            made = held.join(held.select("__b", *prefix, F.col(last).alias(new)), ["__b", *prefix]).filter(F.col(last) < F.col(new))
+            names = [*prefix, last, new]
+            counted = made.groupBy(*names).agg(F.count(F.lit(1)).alias("support")).filter(F.col("support") >= least)
+            level = keep(stored(counted, "itemsets"))
+            if level.isEmpty():
+                break
+            levels.append(level.select(F.array(*names).alias("items"), "support"))
+            if k + 1 < most_items:
+                held = stored(made.join(level.select(*names), names, "left_semi"), "itemset-baskets")
+    return reduce(DataFrame.unionByName, levels)
 
 
 def random_threshold(df: DataFrame, x: str, seed: int) -> Column:

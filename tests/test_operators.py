@@ -269,3 +269,12 @@ def test_scalar_functions_on_odd_values(spark):
             for k, r in enumerate(got):
                 if (name, k) not in skipped:
                     assert r[name] is not None and (np.isclose(r[name], want[k], rtol=1e-12, atol=0) or r[name] == want[k] or np.isnan(r[name]) and np.isnan(want[k])), (name, pairs[k], r[name], want[k])
+
+
+def test_itemsets_of_items_that_never_meet(spark, monkeypatch):
+    """2,000 frequent items that meet in pairs only: no candidates are joined from them."""
+    monkeypatch.setattr(ml, "join_itemsets", None)
+    items = [(b, 2 * (b // 2) + k) for b in range(2000) for k in (0, 1)] + [(b, i) for b in (5000, 5001) for i in (7, 1, 4)] + [(5002, i) for i in (1, 4, 4)]
+    got = {tuple(r["items"]): r["support"] for r in ml.frequent_itemsets(spark.createDataFrame(items, "b long, i long"), "b", "i", 2, 4).collect()}
+    assert sum(len(s) == 1 for s in got) == 2000 and len(got) == 2000 + 1000 + 3 + 1
+    assert got[(1, 4)] == 3 and got[(1, 4, 7)] == 2 and got[(0, 1)] == 2
