@@ -207,10 +207,76 @@ def goss(df: DataFrame, grad: str, key: Column, top: float, other: float) -> Dat
     return marked.filter("weight is not null")
 
 
+def _joined(n: int, a: Iterable[int], b: Iterable[int]) -> tuple[list[int], list[bool]]:
+    """(the largest index that each of n indices reaches, whether an edge joined two parts), edges taken in their order."""
+    top, joins = list(range(n)), []
+    for x, y in zip(a, b):
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        while top[y] != y:
+            top[y] = y = top[top[y]]
+        joins.append(x != y)
+        if x < y:
+            top[x] = y
+        else:
+            top[y] = x
+    for x in range(n - 1, -1, -1):
+        top[x] = top[top[x]]
+    return top, joins
+
+
+def _coded(a: pa.Array, b: pa.Array) -> tuple[pa.Array, list[int], list[int]]:
+    """(the distinct ends in ascending order, both columns as places among them)."""
+    both = pa.chunked_array([a, b]).combine_chunks()
+    ends = both.unique()
+    ends = ends.take(pa.compute.sort_indices(ends))
+    at = pa.compute.index_in(both, ends).to_pylist()
+    return ends, at[: len(a)], at[len(a) :]
+
+
+def _whole(batches) -> pa.Table | None:
+    """A task's batches as one table, None where it has none."""
+    held = list(batches)
+    return pa.Table.from_batches(held).combine_chunks() if held else None
+
+
+def _task_components(batches):
+    t = _whole(batches)
+    if t is not None and t.num_rows:
+        ends, a, b = _coded(*[t[c].combine_chunks() for c in ("src", "dst")])
+        top, _ = _joined(len(ends), a, b)
+        yield from pa.table({"node": ends, "component": ends.take(pa.array(top))}).to_batches()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """node, component: the largest node id that each node reaches; the largest label spreads along the edges, with pointer jumping."""
-    e = edges.select("src", "dst").filter("src != dst")
-    both = cut(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    """node, component: the largest node id that each node reaches.
+
+    Edges are dealt by ranges and joined within their tasks first. What is left is the graph of the tasks' parts, linked where tasks share a node: it is joined in the same way, in one task
+    once it fits there. Where ranges hardly shrink a graph, the largest label spreads along its edges, with pointer jumping."""
+    with scratch(edges.sparkSession) as keep:
+        whole = edges.select("src", "dst").filter("src is not null and dst is not null")
+        e = stored(whole.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "graph-edges")
+        return keep(stored(_contracted(e), "graph-components"))
+
+
+def _contracted(e: DataFrame) -> DataFrame:
+    """components() of distinct edges that are stored; their larger end is src."""
+    kind, n = e.schema["src"].dataType.simpleString(), e.count()
+    made = f"node {kind}, component {kind}"
+    if n <= EDGES_PER_TASK:
+        return e.coalesce(1).mapInArrow(_task_components, made)
+    parts = e.repartitionByRange(-(-n // EDGES_PER_TASK), "src").mapInArrow(_task_components, made)
+    parts = stored(parts.groupBy("node").agg(F.collect_set("component").alias("parts")).select("node", F.array_max("parts").alias("component"), "parts"), "graph-parts")
+    links = parts.select(F.col("component").alias("src"), F.explode("parts").alias("dst")).filter("src != dst").distinct()
+    links = stored(links, "graph-links")
+    found = stored(_contracted(links) if links.count() <= n // 2 else _spread(links), "graph-found")
+    up = found.select(F.col("node").alias("component"), F.col("component").alias("__top"))
+    return parts.join(up, "component", "left").select("node", F.coalesce("__top", "component").alias("component"))
+
+
+def _spread(edges: DataFrame) -> DataFrame:
+    """components() by labels alone."""
+    both = cut(edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     label = cut(edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().withColumn("component", F.col("node")))
     while True:
         near = both.join(label.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.max("component").alias("m"))

@@ -271,6 +271,31 @@ def test_scalar_functions_on_odd_values(spark):
                     assert r[name] is not None and (np.isclose(r[name], want[k], rtol=1e-12, atol=0) or r[name] == want[k] or np.isnan(r[name]) and np.isnan(want[k])), (name, pairs[k], r[name], want[k])
 
 
+def test_graphs_contracted_over_many_tasks(spark, monkeypatch):
+    """A chain in ranges, a graph whose ranges hardly shrink, hubs, loops and copies of edges, against union-find; no round spreads labels along a chain."""
+    monkeypatch.setattr(ml, "EDGES_PER_TASK", 40)
+    rng = np.random.default_rng(5)
+    chain = [(k, k + 1) for k in range(400) if k % 50]
+    mixed = chain + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 300, (220, 2))] + [(2000, 2000 + k) for k in range(90)] + [(5, 5), (9999, 9999), (1, 2)]
+
+    def union(edges):
+        top = {x: x for e in edges for x in e}
+        find = lambda x: x if top[x] == x else find(top[x])
+        joins = []
+        for a, b in edges:
+            a, b = sorted((find(a), find(b)))
+            joins.append(a != b)
+            top[a] = b
+        return {(x, find(x)) for x in top}, joins
+
+    for edges in (chain, mixed):
+        got = ml.components(spark.createDataFrame(edges, "src long, dst long")).collect()
+        assert sorted(map(tuple, got)) == sorted(union(edges)[0])
+    with monkeypatch.context() as m:
+        m.setattr(ml, "_spread", None)
+        assert len(ml.components(spark.createDataFrame(chain, "src long, dst long")).collect()) == 400
+
+
 def test_itemsets_of_items_that_never_meet(spark, monkeypatch):
     """2,000 frequent items that meet in pairs only: no candidates are joined from them."""
     monkeypatch.setattr(ml, "join_itemsets", None)
