@@ -248,6 +248,15 @@ def _task_components(batches):
         yield from pa.table({"node": ends, "component": ends.take(pa.array(top))}).to_batches()
 
 
+def _task_forest(batches):
+    t = _whole(batches)
+    if t is not None and t.num_rows:
+        t = t.take(pa.compute.sort_indices(t, [(c, "ascending") for c in ("w", "src", "dst")], null_placement="at_start"))
+        ends, a, b = _coded(*[t[c].combine_chunks() for c in ("a", "b")])
+        _, joins = _joined(len(ends), a, b)
+        yield from t.select(["src", "dst", "w"]).filter(pa.array(joins)).to_batches()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component: the largest node id that each node reaches.
 
@@ -289,21 +298,24 @@ def _spread(edges: DataFrame) -> DataFrame:
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """src, dst, w of a minimum spanning forest: every component takes its lightest outgoing edge (ties by ends) until none is left."""
-    e = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src != dst"))
-    chosen = None
-    label = cut(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct().withColumn("component", F.col("node")))
-    while True:
-        a = label.select(F.col("node").alias("src"), F.col("component").alias("ca"))
-        b = label.select(F.col("node").alias("dst"), F.col("component").alias("cb"))
-        out = e.join(a, "src").join(b, "dst").filter("ca != cb")
-        sides = out.select(F.col("ca").alias("c"), F.struct("w", "src", "dst").alias("s")).union(out.select(F.col("cb"), F.struct("w", "src", "dst")))
-        best = cut(sides.groupBy("c").agg(F.min("s").alias("s")).select("s.src", "s.dst", "s.w").distinct())
-        if best.limit(1).count() == 0:
-            return chosen if chosen is not None else best
-        chosen = best if chosen is None else cut(chosen.union(best).distinct())
-        found = components(chosen.select("src", "dst"))
-        label = cut(label.join(found.withColumnRenamed("component", "new"), "node", "left").select("node", F.coalesce("new", "component").alias("component")))
+    """src, dst, w of a minimum spanning forest: every component takes its lightest outgoing edge (ties by ends) and is contracted, until what is left fits in one task."""
+    chosen = []
+    with scratch(edges.sparkSession) as keep:
+        e = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "w").filter("src != dst")
+        e = stored(e.select("*", F.col("src").alias("a"), F.col("dst").alias("b")), "forest-edges")
+        while (n := e.count()) > EDGES_PER_TASK:
+            edge = F.struct("w", "src", "dst", "a", "b").alias("s")
+            sides = e.select(F.col("a").alias("c"), edge).union(e.select("b", edge))
+            best = keep(stored(sides.groupBy("c").agg(F.min("s").alias("s")).select("s.*").distinct(), "forest"))
+            chosen.append(best.select("src", "dst", "w"))
+            label = components(best.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+            for end in ("a", "b"):
+                e = e.join(label.select(F.col("node").alias(end), F.col("component").alias("__c")), end).withColumn(end, F.col("__c")).drop("__c")
+            e = stored(e.filter("a != b"), "forest-edges")
+        if n or not chosen:
+            kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+            chosen.append(keep(stored(e.coalesce(1).mapInArrow(_task_forest, ", ".join(f"{c} {kinds[c]}" for c in ("src", "dst", "w"))), "forest")))
+        return reduce(DataFrame.unionByName, chosen)
 
 
 def bootstrap(df: DataFrame, pos: str, n: int, rounds: int, seed: int = 7) -> DataFrame:

@@ -294,6 +294,10 @@ def test_graphs_contracted_over_many_tasks(spark, monkeypatch):
     with monkeypatch.context() as m:
         m.setattr(ml, "_spread", None)
         assert len(ml.components(spark.createDataFrame(chain, "src long, dst long")).collect()) == 400
+    weighed = sorted({(float((a * 7 + b * 3) % 11), min(a, b), max(a, b)) for a, b in mixed if a != b})
+    want = [e for e, j in zip(weighed, union([e[1:] for e in weighed])[1]) if j]
+    got = ml.spanning_forest(spark.createDataFrame(weighed, "w double, src long, dst long").repartition(7)).collect()
+    assert sorted((r["w"], r["src"], r["dst"]) for r in got) == want
 
 
 def test_itemsets_of_items_that_never_meet(spark, monkeypatch):
