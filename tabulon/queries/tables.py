@@ -270,6 +270,8 @@ for _m, _s in PAIR_SQL.items():
 
     def _query(spark, sf, m=_m):
         q, t = _pairs(spark, sf)
+        if m in distance.BLOCK_METRICS:
+            return distance.all_pairs(q, t, distance.BLOCK_METRICS[m], {"d": distance.METRICS[m](F.col("qv"), F.col("tv"))}, {"d": 5})
         return distance.query_pairs(q, t).select("q", "t", R(distance.METRICS[m](F.col("qv"), F.col("tv")), 5).alias("d"))
 
     register(f"pairwise_{_m}", P_SQL + f"SELECT q, t, round({_s},5) AS d FROM p")(_query)

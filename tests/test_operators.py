@@ -307,3 +307,21 @@ def test_itemsets_of_items_that_never_meet(spark, monkeypatch):
     got = {tuple(r["items"]): r["support"] for r in ml.frequent_itemsets(spark.createDataFrame(items, "b long, i long"), "b", "i", 2, 4).collect()}
     assert sum(len(s) == 1 for s in got) == 2000 and len(got) == 2000 + 1000 + 3 + 1
     assert got[(1, 4)] == 3 and got[(1, 4, 7)] == 2 and got[(0, 1)] == 2
+
+
+def test_block_pairs_match_the_columns(spark, monkeypatch):
+    """Groups of a few rows; zeros of both signs, NaN, ties of rounding, vectors of another length, with nulls and null: all pairs, as the columns have them."""
+    monkeypatch.setattr(distance, "GROUP_QUERIES", 3)
+    monkeypatch.setattr(distance, "GROUP_TRAIN", 4)
+    rng = np.random.default_rng(2)
+    v = [[float(x) for x in r] for r in np.round(rng.normal(size=(20, 3)), 3)] + [[0.0, -0.0, 0.5], [math.nan, 1.0, 2.0], [0.25, 1.0, 0.0], [1.0, 2.0], [1.0, None, 2.0], None]
+    d = spark.createDataFrame(list(enumerate(v)), "t long, tv array<double>")
+    q, pair = d.filter("t % 2 = 0 or t > 20").selectExpr("t as q", "tv as qv"), (F.col("qv"), F.col("tv"))
+    key = lambda df: sorted((r["q"], r["t"], *[repr(x) for x in r[2:]]) for r in df.collect())
+    for name, made in distance.BLOCK_METRICS.items():
+        got = distance.all_pairs(q, d, made, {"d": distance.METRICS[name](*pair)}, {"d": 5})
+        assert key(got) == key(distance.query_pairs(q, d).select("q", "t", F.round(distance.METRICS[name](*pair), 5)))
+    assert distance.all_pairs(q.limit(0), d, distance.kernels, {k: F.lit(0.0) for k in ("rbf", "linear", "poly", "sig")}, {"rbf": 6, "linear": 5, "poly": 5, "sig": 6}).count() == 0
+    x = np.array([0.000005, -0.000005, 1.000015, 2.5, -1e-9, 0.1234549999, 1e300, math.inf, math.nan, 123456.789005])
+    want = [r[0] for r in spark.createDataFrame([(float(a),) for a in x], "x double").select(F.round("x", 5)).collect()]
+    assert list(map(repr, map(float, distance.rounded(x, 5)))) == list(map(repr, want))
