@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,6 +124,22 @@ def outer(x: DataFrame, y: DataFrame, blocks: int = 64) -> DataFrame:
     return left.join(right, "__b").select("i", "j", (F.col("v") * F.col("w")).alias("v"))
 
 
+def outer_rounded(x: DataFrame, y: DataFrame, digits: int, plus: float = 0.0) -> DataFrame:
+    """outer() with v = round(x_i * y_j + plus, digits), in blocks of the matrix.
+
+    Rounded as SQL engines do it: the product with a power of ten goes to the nearest whole number, halves away from zero. Among millions of cells some lie so close
+    to a half that Spark's rounding, which goes by the decimal form, gives the other neighbour."""
+    from tabulon.operators.distance import all_pairs
+
+    def made(a, b):
+        v = a * b.T + plus
+        return {"v": np.copysign(np.floor(np.abs(v) * 10.0**digits + 0.5) / 10.0**digits, v)}
+
+    q, t = x.select(F.col("i").alias("q"), F.array(F.col("v").cast("double")).alias("qv")), y.select(F.col("j").alias("t"), F.array(F.col("w").cast("double")).alias("tv"))
+    cells = all_pairs(q, t, made, {"v": F.get("qv", F.lit(0)) * F.get("tv", F.lit(0)) + plus}, {"v": digits})
+    return cells.select(F.col("q").alias("i"), F.col("t").alias("j"), "v")
+
+
 def matrix(spark, rows: int, columns: int, value: Column) -> DataFrame:
     """i, j, v for all cells; value is an expression of i and j. Eye is i = j, tri is j <= i + k, fill is a literal."""
     grid = spark.range(rows * columns).select(F.floor(F.col("id") / columns).cast("long").alias("i"), (F.col("id") % columns).alias("j"))

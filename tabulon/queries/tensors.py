@@ -169,7 +169,7 @@ def concat_slice(spark, sf):
 @register("matrix_outer_product", "SELECT a.s_suppkey AS i, b.s_suppkey AS j, round(a.s_acctbal*(b.s_acctbal/1e4::DOUBLE)+1e-7,4) AS v FROM supplier a, supplier b")
 def outer(spark, sf):
     s = table(spark, sf, "supplier")
-    return shape.outer(s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v")), s.select(F.col("s_suppkey").alias("j"), (F.col("s_acctbal") / 1e4).alias("w"))).withColumn("v", R(F.col("v") + 1e-7, 4))
+    return shape.outer_rounded(s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v")), s.select(F.col("s_suppkey").alias("j"), (F.col("s_acctbal") / 1e4).alias("w")), 4, 1e-7)
 
 
 @register("generators_matrices", "SELECT a::BIGINT AS i, b::BIGINT AS j, (a=b)::INT::DOUBLE AS eye, (b<=a+1)::INT::DOUBLE AS tri, 2.5::DOUBLE AS fill FROM generate_series(0,6) AS s(a), generate_series(0,4) AS t(b)")

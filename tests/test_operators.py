@@ -325,3 +325,17 @@ def test_block_pairs_match_the_columns(spark, monkeypatch):
     x = np.array([0.000005, -0.000005, 1.000015, 2.5, -1e-9, 0.1234549999, 1e300, math.inf, math.nan, 123456.789005])
     want = [r[0] for r in spark.createDataFrame([(float(a),) for a in x], "x double").select(F.round("x", 5)).collect()]
     assert list(map(repr, map(float, distance.rounded(x, 5)))) == list(map(repr, want))
+
+
+def test_outer_rounded_goes_by_the_binary_product(spark):
+    """Cells next to a half, where the decimal form lies on its other side, and nulls, which keep their cells."""
+    v = [0.01 * k for k in (1, -1, 50, 1250, 99999, -43021, 868064, -718)] + [-478.35905 + 1e-13 * k for k in range(-9, 9)] + [None, math.nan, 0.0]
+    w = [1.0, 0.01, -0.37]
+    x = spark.createDataFrame(list(enumerate(v)), "i long, v double")
+    y = spark.createDataFrame(list(enumerate(w)), "j long, w double")
+    want = {}
+    for (i, a), (j, b) in [(p, q) for p in enumerate(v) for q in enumerate(w)]:
+        c = None if a is None else a * b + 1e-7
+        want[i, j] = c if c is None or math.isnan(c) else math.copysign(math.floor(abs(c) * 1e4 + 0.5) / 1e4, c) + 0.0
+    got = {(r["i"], r["j"]): r["v"] for r in shape.outer_rounded(x, y, 4, 1e-7).collect()}
+    assert {k: repr(c) for k, c in got.items()} == {k: repr(c) for k, c in want.items()}
