@@ -2,11 +2,44 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabulon.session import cut
 
+#: Edges that one task joins.
+_EDGES = 1 << 20
+
+
+def forest(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """src, dst: fewer edges with the same components, for graphs with many more edges than nodes. Tasks of about _EDGES edges each link every node to the
+    smallest one that the task's edges reach, so a task gives fewer edges than it has nodes. Null ends and self-loops link nothing."""
+    e = cut(edges.select(F.col(src).cast("long").alias("src"), F.col(dst).cast("long").alias("dst")).filter("src <> dst"))
+
+    def run(batches):
+        parts = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+        if not parts:
+            return
+        t = pa.concat_tables(parts)
+        nodes, ends = np.unique(np.concatenate([t.column("src").to_numpy(), t.column("dst").to_numpy()]), return_inverse=True)
+        a, b = ends[: t.num_rows], ends[t.num_rows :]
+        low = np.arange(len(nodes))
+        while True:
+            x, y = low[a], low[b]
+            open_ = x != y
+            if not open_.any():
+                break
+            a, b, x, y = a[open_], b[open_], x[open_], y[open_]
+            np.minimum.at(low, np.maximum(x, y), np.minimum(x, y))
+            while (low != low[low]).any():
+                low = low[low]
+        more = np.flatnonzero(low != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[more]), pa.array(nodes[low[more]])], names=["src", "dst"])
+
+    return e.repartition(1 + e.count() // _EDGES).mapInArrow(run, "src long, dst long")
+
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component: the smallest node that each node of edges reaches.

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabulon.llm.graph import components
+from tabulon.llm.graph import components, forest
 from tabulon.llm.skew import join_groups
 from tabulon.session import cut, stored
 
@@ -27,8 +27,8 @@ SHINGLE, SEED = 3, 42
 _TABLE = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
 _BLOCK = 1 << 16
-#: Candidate pairs that are made at once, rows of a bucket that are gathered at once, and pairs a text in a bucket that is not crowded.
-_PAIRS, _CHUNK, _CROWD = 1 << 18, 1 << 18, 8
+#: Candidate pairs that are made at once, and rows of a bucket that are gathered at once.
+_PAIRS, _CHUNK = 1 << 18, 1 << 18
 #: Texts of a family that are compared with each other at once.
 _FAMILY = 512
 
@@ -197,12 +197,13 @@ def _gather(loose: int):
     return run
 
 
-def _across(loose: int, crowd: int):
+def _across(loose: int):
     """(a, b, family): pairs of the texts of one bucket that lie in different groups and whose heads allow a link. Rows come sorted by bucket, group and id; k tells
     which bit of a row's slice was turned (0: none), and a pair is named only in one of the buckets of a table in which it meets.
 
-    In a bucket with more than `crowd` pairs a text, the texts near its hub are not paired but named with it, as a family (hub, text, true); only pairs with or
-    among the others are. That is done again with the others while they are too many."""
+    A bucket names no more than three rows a text. Where it has more pairs than texts, the texts near its hub are not paired but join its family; so do the others that
+    have a pair with one of them, where such pairs outnumber the texts near the hub. That is done again with the others while they have too many. Of a family only the rows that
+    connect it are named (hub, text, true), at most one a text."""
 
     flip = np.concatenate([[0], 1 << np.arange(40)]).astype(np.int64)
 
@@ -237,32 +238,44 @@ def _across(loose: int, crowd: int):
             stop_g, stop = ends(new | (g[1:] != g[:-1])), ends(new)
             starts = np.flatnonzero(np.concatenate([[True], new]))
             sizes = np.diff(starts, append=n)
-            large = np.add.reduceat(stop - stop_g, starts) > crowd * sizes
+            large = np.add.reduceat(stop - stop_g, starts) > sizes
             for left, right in pairs((x, g, ids, head, v, stop_g), np.flatnonzero(~np.repeat(large, sizes)), stop):
                 yield _links(ids[left], ids[right], False)
             for i, size in zip(starts[large].tolist(), sizes[large].tolist()):
-                rest = np.arange(i, i + size)
+                rest, label = np.arange(i, i + size), np.arange(size)
                 while True:
                     part = tuple(c[rest] for c in (x, g, ids, head, v))
                     end = np.full(len(rest), len(rest))
                     stops = np.searchsorted(part[1], part[1], "right")
-                    found = pairs((*part, stops), np.arange(len(rest)), end, crowd * len(rest))
+                    found = pairs((*part, stops), np.arange(len(rest)), end, len(rest))
                     if found is not None:
                         for left, right in found:
                             yield _links(part[2][left], part[2][right], False)
                         break
                     hub = _hub(part[3])
                     near = _bits_apart(part[3], part[3][hub]) <= loose
-                    yield _links(np.full(int(near.sum()), part[2][hub]), part[2][near], True)
-                    # The texts near the hub against the others, which are few or far.
-                    away = np.flatnonzero(~near)
-                    step = max(1, _PAIRS // max(1, len(away)))
-                    for at in range(0, len(rest), step):
-                        own = np.flatnonzero(near[at : at + step]) + at
-                        l, r = np.nonzero(_bits_apart(part[3][own][:, None], part[3][away][None, :]) <= loose)
-                        a, b = own[l], away[r]
-                        ok = part[1][a] != part[1][b]
-                        yield _links(part[2][a[ok]], part[2][b[ok]], False)
+                    # The texts near the hub against the others.
+                    away, own = np.flatnonzero(~near), np.flatnonzero(near)
+                    step, met, between, n = max(1, _PAIRS // max(1, len(away))), np.zeros(len(away), dtype=bool), [], 0
+                    for at in range(0, len(own) if len(away) else 0, step):
+                        mine = own[at : at + step]
+                        ok = (_bits_apart(part[3][mine][:, None], part[3][away][None, :]) <= loose) & (part[1][mine][:, None] != part[1][away][None, :])
+                        met |= ok.any(axis=0)
+                        n += int(ok.sum())
+                        if n <= len(own):
+                            l, r = np.nonzero(ok)
+                            between.append((mine[l], away[r]))
+                    if n <= len(own):
+                        for a, b in between:
+                            yield _links(part[2][a], part[2][b], False)
+                    else:
+                        own = np.concatenate([own, away[met]])
+                    # One row for each part of the family that the hub is not connected to yet.
+                    to = label[rest[hub] - i]
+                    parts, first = np.unique(label[rest[own] - i], return_index=True)
+                    more = own[first[parts != to]]
+                    yield _links(np.full(len(more), part[2][hub]), part[2][more], True)
+                    label[np.isin(label, parts)] = to
                     rest = rest[~near]
 
     return run
@@ -375,11 +388,11 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     keyed = grouped.select("t", "g", "id", "head", F.posexplode(F.transform(flips, lambda x: F.col("v").bitwiseXOR(x))).alias("k", "y"))
     keyed = keyed.select(bucket(F.col("y")), "g", "id", "head", F.col("k").cast("tinyint").alias("k")).repartition("x").sortWithinPartitions("x", "g", "id")
-    met = cut(keyed.mapInArrow(_across(loose, _CROWD), "a long, b long, family boolean").distinct())
+    met = cut(keyed.mapInArrow(_across(loose), "a long, b long, family boolean").distinct())
     links = groups.filter("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(linked(met.filter("not family").select("a", "b")))
     crowds = met.filter("family and a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if not crowds.isEmpty():
-        links = links.unionByName(stored(family_links(components(crowds), groups), "near-family-links"))
+        links = links.unionByName(stored(family_links(components(forest(crowds)), groups), "near-family-links"))
     found = components(links)
     named = cut(classes.join(found, F.col("id") == F.col("node"), "left").select("same", F.coalesce("component", "id").alias("component_id"), "n"))
     return join_groups(docs.select("doc_id", "same"), named, "same", "n", docs.count()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))

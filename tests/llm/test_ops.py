@@ -12,11 +12,12 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tabulon.llm import bloomlm, chat, exactdedup, html_extract, mixing, piece_dropout, quality, secret_scan, simhash, skew, toxicity
+from tabulon.llm import bloomlm, chat, exactdedup, graph, html_extract, mixing, piece_dropout, quality, secret_scan, simhash, skew, toxicity
 from tests.oracle import connect, oracle_rows, rows_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -268,6 +269,47 @@ def test_families_of_edited_copies(spark, n, seed):
     assert all(find(i) == find(got[i]) for i in ids)  # no document is in a group that it has no links to
 
 
+@pytest.mark.parametrize("n, noise", [(40, 5), (1000, 3), (1000, 8), (1000, 11), (2000, 8)])
+def test_rows_of_a_crowded_bucket_grow_with_its_texts(n, noise):
+    """A bucket names at most three rows a text, yet every pair whose heads allow a link is named or lies in one family."""
+    rng = np.random.default_rng(n + noise)
+    bits = lambda size, p: np.packbits(rng.random((size, 64)) < p, axis=1, bitorder="little").view("<i8").ravel()
+    centres = bits(1, 0.5) ^ bits(6, 0.15)  # partly overlapping families, of which one holds half of the texts
+    head = centres[np.minimum(rng.integers(0, 10, n), 5)] ^ bits(n, noise / 64)
+    head[::7] = bits(len(head[::7]), 0.5)
+    ids, g = np.arange(n) + 100, np.arange(n) // 2 + 100
+    columns = {"x": np.full(n, 5), "g": g, "id": ids, "head": head, "k": np.zeros(n, dtype=np.int8)}
+    out = [b.to_pydict() for b in simhash._across(22)([pa.RecordBatch.from_pydict(columns)])]
+    rows = [r for d in out for r in zip(d["a"], d["b"], d["family"])]
+    assert len(rows) <= 3 * n
+    named, family = {(a, b) for a, b, f in rows if not f}, {i: i for i in ids.tolist()}
+
+    def find(i):
+        while family[i] != i:
+            i = family[i]
+        return i
+
+    for a, b, f in rows:
+        if f:
+            family[find(a)] = find(b)
+    allowed = (np.bitwise_count((head[:, None] ^ head[None, :]).view(np.uint64)) <= 22) & (g[:, None] != g[None, :])
+    root = np.array([find(i) for i in ids.tolist()])
+    left = [(ids[a], ids[b]) for a, b in zip(*np.nonzero(np.triu(allowed) & (root[:, None] != root[None, :])))]
+    assert np.triu(allowed).sum() > 3 * n and all(p in named for p in left)
+
+
+def test_forest_keeps_components_with_few_edges(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(int(a) + 1000 * (k % 3), int(b) + 1000 * (k % 3)) for k, (a, b) in enumerate(rng.integers(0, 300, (6000, 2)))] + [(-5, -9), (-9, 7777), (8, 8), (None, 1), (1, None)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    whole = {tuple(r) for r in graph.components(edges).collect()}
+    few = graph.forest(edges)
+    assert few.count() == len(whole) - len({c for _, c in whole})
+    monkeypatch.setattr(graph, "_EDGES", 1000)
+    assert {tuple(r) for r in graph.components(graph.forest(edges)).collect()} == whole
+    assert graph.forest(edges.filter("src is null")).count() == 0
+
+
 def test_near_duplicate_tables_keep_the_miss_rate():
     p = simhash.differing_share(simhash.NEAR_SIMILARITY)
     for n in (1_000, 10**6, 4 * 10**6, 10**8, 10**9):
