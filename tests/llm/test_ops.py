@@ -563,6 +563,16 @@ def test_bloom_query(spark, sf):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in got)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 300, 20_000])
+def test_sorted_keys_travel_in_under_four_bytes(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(0, 1 << bloomlm.KEY_BITS, n), [(1 << bloomlm.KEY_BITS) - 1, 0][:n])).astype(np.uint64) | np.uint64(77 << bloomlm.KEY_BITS)
+    raw = bloomlm.packed_keys(keys)
+    back = bloomlm.unpacked_keys(raw, 77)
+    assert back.dtype == keys.dtype and back.tolist() == keys.tolist()
+    assert n < 20_000 or len(raw) < 4 * len(keys)
+
+
 def test_filter_never_underestimates():
     rng = np.random.default_rng(1)
     keys, counts = rng.integers(0, 1 << bloomlm.KEY_BITS, 20_000).astype(np.uint64), rng.zipf(1.5, 20_000)
