@@ -7,7 +7,7 @@ stays skipped; without it the result is the model's own segmentation. Every occu
 and place: the numbers of candidates between skips follow the geometric law. A text is cut in varied ways, and the same way on every rerun.
 
 No piece joins a character to a space that follows it, or letters to other characters, so a text is cut there into units, each encoded by itself and remembered
-in tables of at most twice CACHE entries, by which of its candidates are skipped. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
+in a table, by which of its candidates are skipped; beyond CACHE entries those used most often stay. Characters without a piece become byte pieces, and so does U+2581, which stands for the space inside
 pieces; decoding therefore gives back every text exactly.
 
 Defined results: null and empty texts have no pieces and decode to the empty text. Rows that repeat id and text are cut alike. A null id counts as an
@@ -34,6 +34,8 @@ RATE, SEED = 0.1, 20_25
 CACHE = 500_000
 #: Characters of text that are cut together, and the longest unit that takes part in the joint agenda.
 SLICE, LONGEST = 2 << 20, 24
+#: Units whose agendas advance together, and bits of a slot in the table of pairs.
+BLOCK, SLOTS = 4096, 20
 SPACE = "▁"
 #: Stands for a U+2581 of the text itself; no piece contains it, so it never merges.
 LITERAL = "\0▁"
@@ -64,19 +66,67 @@ def load_pieces(path: str = TOKENIZER) -> dict:
     }
 
 
+class _Rows(dict):
+    """Key -> row; a key that is looked up and not there gets the next row and is noted in fresh."""
+
+    def __init__(self, *known):
+        super().__init__(*known)
+        self.fresh, self.end = [], 0
+
+    def __missing__(self, key) -> int:
+        row = self[key] = self.end + len(self.fresh)
+        self.fresh.append(key)
+        return row
+
+    def find(self, keys, n: int, end: int) -> tuple[np.ndarray, list]:
+        """(rows of n keys, those that are new, which have the rows from end on)."""
+        self.fresh, self.end = [], end
+        return np.fromiter(map(self.__getitem__, keys), dtype=np.int64, count=n), self.fresh
+
+
 class Memo:
-    """Remembers units without skips (pieces, number of candidates) and with them (pieces by unit and mask), in two generations of at most CACHE
-    entries each; what is used again moves to the younger one."""
+    """Remembers units without skips, and with them by the unit's row and the mask: row -> number of candidates, place in the pool of pieces, uses.
+
+    When there are more than CACHE rows, those used most often stay, CACHE / 2 at most."""
 
     def __init__(self):
-        self.young: dict = {}
-        self.old: dict = {}
-        self.young_cut: dict = {}
-        self.old_cut: dict = {}
+        self.whole, self.cut = _Rows(), _Rows()
+        self.names: list[str | None] = []
+        # Of each row: the number of candidates, the first and the number of its pieces, the uses, the length of its unit (0 with skips).
+        self.came, self.start, self.size, self.uses, self.length = (np.empty(0, dtype=np.int64) for _ in range(5))
+        self.pool = np.empty(0, dtype=np.int32)
+
+    def add(self, names: list[str | None], pieces: np.ndarray, size: np.ndarray, came: np.ndarray) -> None:
+        self.names += names
+        start = len(self.pool) + np.cumsum(size) - size
+        new = (came, start, size, np.zeros(len(size), dtype=np.int64), np.array([len(u or "") for u in names], dtype=np.int64))
+        self.came, self.start, self.size, self.uses, self.length = map(np.concatenate, zip((self.came, self.start, self.size, self.uses, self.length), new))
+        self.pool = np.concatenate([self.pool, pieces])
+
+    def used(self, rows: np.ndarray) -> None:
+        self.uses += np.bincount(rows, minlength=len(self.uses))
+
+    def pieces(self, rows: np.ndarray) -> np.ndarray:
+        """The pieces of these rows, one after another."""
+        size = self.size[rows]
+        return self.pool[np.repeat(self.start[rows] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
 
     def turn(self) -> None:
-        if len(self.young) + len(self.young_cut) > CACHE:
-            self.young, self.old, self.young_cut, self.old_cut = {}, self.young, {}, self.young_cut
+        if len(self.names) <= CACHE:
+            return
+        rows = np.argsort(-self.uses, kind="stable")[: CACHE // 2]
+        rows = np.sort(rows[self.uses[rows] > 1])
+        to = np.full(len(self.names), -1, dtype=np.int64)
+        to[rows] = np.arange(len(rows))
+        new = to.tolist()
+        whole = {u: new[i] for u, i in self.whole.items() if new[i] >= 0}
+        cut = {k >> 32 << 32 | new[k & 0xFFFFFFFF]: new[i] for k, i in self.cut.items() if new[i] >= 0 and new[k & 0xFFFFFFFF] >= 0}
+        pool, names = self.pieces(rows), [self.names[i] for i in rows.tolist()]
+        came, size, uses = self.came[rows], self.size[rows], self.uses[rows] // 2
+        self.__init__()
+        self.whole, self.cut = _Rows(whole), _Rows(cut)
+        self.add(names, pool, size, came)
+        self.uses = uses
 
 
 class Codec:
@@ -93,6 +143,11 @@ class Codec:
             left *= 1 - rate
         self.bounds = np.array(bounds[::-1], dtype=np.uint64)
         self.pair_keys, self.pair_ids = vocab["pairs"]
+        # The pair that is looked for at each slot; slots of several are crowded, and those are searched.
+        slot = self._slot(self.pair_keys)
+        self.slots = np.zeros(1 << SLOTS, dtype=np.int32)
+        self.slots[slot] = np.arange(len(slot))
+        self.crowded = np.bincount(slot, minlength=1 << SLOTS) > 1
         self.score_array = np.array(self.scores, dtype=np.float32)  # [-1] is NEVER
         self.char_ids = np.full(0x110000, -1, dtype=np.int32)
         for p, i in self.ids.items():
@@ -148,73 +203,101 @@ class Codec:
                 out += [x] if x >= 0 else [self.byte_ids[b] for b in p.replace(LITERAL, SPACE).encode()]
         return array("i", out).tobytes(), step
 
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
     def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that each pair of pieces makes, -1 for none."""
         key = a.astype(np.int64) * len(self.out) + b
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where((self.pair_keys[at] == key) & (a >= 0) & (b >= 0), self.pair_ids[at], -1)
+        key[(a < 0) | (b < 0)] = -1
+        slot = self._slot(key)
+        at = self.slots[slot]
+        out = np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
+        crowd = np.flatnonzero(self.crowded[slot])
+        if len(crowd):
+            key = key[crowd]
+            at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
+            out[crowd] = np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
+        return out
 
     def merge_many(self, units: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
-        """merge() of many (unit, mask of skipped candidates) at once: all agendas advance by one candidate a round.
-
-        Parts are linked positions of a matrix. Units over LONGEST characters, or with characters that have no piece, go one by one."""
-        out: list = [None] * len(units)
-        sizes = np.array([len(u) for u, _ in units])
-        chars = self.char_ids[np.frombuffer("".join([u for u, _ in units]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
-        first = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-        fit = (sizes >= 2) & (sizes <= LONGEST) & (np.minimum.reduceat(chars, first) >= 0 if len(units) else True)
-        for i in np.nonzero(~fit)[0]:
-            u, mask = units[i]
-            out[i] = self.merge(u, {k for k in range(mask.bit_length()) if mask >> k & 1})
-        rows = np.nonzero(fit)[0]
-        if not len(rows):
-            return out
-        n, width = len(rows), int(sizes[rows].max())
-        cols = np.arange(width)
-        inside = cols < sizes[rows][:, None]
-        part = np.full((n, width + 1), -1, dtype=np.int32)  # a last column that never joins
-        part[:, :width][inside] = chars[(first[rows][:, None] + cols)[inside]]
-        joined = np.full((n, width + 1), -1, dtype=np.int32)
-        joined[:, :-1] = self._joined(part[:, :-1], part[:, 1:])
-        rank = self.score_array[joined]
-        after = np.tile(np.minimum(cols + 1, width), (n, 1))
-        before = np.tile(cols - 1, (n, 1))
-        before = np.concatenate([before, np.full((n, 1), -1)], axis=1)
-        alive = inside.copy()
-        masks, came = np.array([units[i][1] for i in rows], dtype=np.uint64), np.zeros(n, dtype=np.int64)
-        some = bool(masks.any())
-        act = np.arange(n)
-        while len(act):
-            at = rank[act].argmax(axis=1)
-            go = rank[act, at] != NEVER
+        """merge() of many (unit, mask of skipped candidates) at once."""
+        flat, sizes, came = self._merge_all([u for u, _ in units], np.array([m for _, m in units], dtype=np.uint64))
+        raw, ends = flat.tobytes(), np.cumsum(sizes) * 4
+        return [(raw[e - 4 * n : e], c) for e, n, c in zip(ends.tolist(), sizes.tolist(), came.tolist())]
+
+    def _merge_all(self, units: list[str], masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pieces of all units in turn, how many each has, how many candidates came up).
+
+        Units over LONGEST characters, or with characters that have no piece, go one by one, the others in blocks of like length."""
+        if not units:
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        length = np.fromiter(map(len, units), dtype=np.int64, count=len(units))
+        chars = self.char_ids[np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+        first = np.cumsum(length) - length
+        fit = (length >= 2) & (length <= LONGEST) & (np.minimum.reduceat(chars, first) >= 0)
+        sizes, came = np.zeros(len(units), dtype=np.int64), np.zeros(len(units), dtype=np.int64)
+        order, made = [], []
+        for i in np.flatnonzero(~fit).tolist():
+            mask = int(masks[i])
+            raw, came[i] = self.merge(units[i], {k for k in range(mask.bit_length()) if mask >> k & 1})
+            made.append(np.frombuffer(raw, dtype=np.int32))
+            sizes[i] = len(made[-1])
+            order.append([i])
+        rows = np.flatnonzero(fit)
+        rows = rows[np.argsort(length[rows], kind="stable")]
+        for a in range(0, len(rows), BLOCK):
+            r = rows[a : a + BLOCK]
+            pieces, sizes[r], came[r] = self._agendas(chars, first[r], length[r], masks[r])
+            made.append(pieces)
+            order.append(r)
+        # What was made in another order goes to its place.
+        order = np.concatenate(order)
+        n, end = sizes[order], np.cumsum(sizes) - sizes
+        flat = np.empty(sizes.sum(), dtype=np.int32)
+        flat[np.repeat(end[order] - (np.cumsum(n) - n), n) + np.arange(len(flat))] = np.concatenate(made)
+        return flat, sizes, came
+
+    def _agendas(self, chars: np.ndarray, first: np.ndarray, length: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """_merge_all() of units that lie in chars: all agendas advance by one candidate a round. Parts are linked places of a matrix whose outer columns never join."""
+        n, width = len(first), int(length.max()) + 2
+        cols = np.arange(1, width - 1)
+        inside = cols <= length[:, None]
+        part = np.full((n, width), -1, dtype=np.int32)
+        part[:, 1:-1][inside] = chars[(first[:, None] + cols - 1)[inside]]
+        joined = np.full((n, width), -1, dtype=np.int32)
+        joined[:, 1:-1] = self._joined(part[:, 1:-1].ravel(), part[:, 2:].ravel()).reshape(n, -1)
+        ranks = self.score_array[joined]
+        part, joined, rank = part.ravel(), joined.ravel(), ranks.ravel()
+        after, before = np.arange(1, n * width + 1), np.arange(-1, n * width - 1)
+        alive = np.zeros((n, width), dtype=bool)
+        alive[:, 1:-1] = inside
+        gone = alive.ravel()
+        came, act, some = np.zeros(n, dtype=np.int64), np.arange(n), bool(masks.any())
+        while True:
+            at = act * width + ranks[act].argmax(axis=1)
+            go = rank[at] != NEVER
             act, at = act[go], at[go]
+            if not len(act):
+                break
             if some:
-                skip = ((masks[act] >> np.minimum(came[act], 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
-                came[act] += 1
-                rank[act[skip], at[skip]] = NEVER
-                r, p = act[~skip], at[~skip]
-            else:
-                came[act] += 1
-                r, p = act, at
-            q = after[r, p]
-            z, o = after[r, np.minimum(q, width - 1)], before[r, p]
-            part[r, p] = joined[r, p]
-            rank[r, q] = NEVER
-            alive[r, q] = False
-            after[r, p] = z
-            before[r, z] = p
-            x = self._joined(part[r, p], part[r, z])
-            joined[r, p], rank[r, p] = x, self.score_array[x]
-            left = o >= 0
-            r, o, p = r[left], o[left], p[left]
-            x = self._joined(part[r, o], part[r, p])
-            joined[r, o], rank[r, o] = x, self.score_array[x]
-        flat, ends = part[:, :width][alive], np.cumsum(alive.sum(axis=1)) * 4
-        raw, start = flat.tobytes(), 0
-        for i, e, c in zip(rows.tolist(), ends.tolist(), came.tolist()):
-            out[i] = raw[start:e], c
-            start = e
-        return out
+                skip = (masks[act] >> np.minimum(came[act], 63).astype(np.uint64)) & np.uint64(1) == 1
+                rank[at[skip]] = NEVER
+                at = at[~skip]
+            came[act] += 1
+            q, o = after[at], before[at]
+            z = after[q]
+            made = joined[at]
+            part[at] = made
+            rank[q] = NEVER
+            gone[q] = False
+            after[at], before[z] = z, at
+            x = self._joined(np.concatenate([made, part[o]]), np.concatenate([part[z], made]))
+            spot = np.concatenate([at, o])
+            joined[spot], rank[spot] = x, self.score_array[x]
+        return part[gone], alive.sum(axis=1), came
 
     def encode_many(self, texts: list[str | None], keys: list[str], memo: Memo) -> list[np.ndarray]:
         """Piece ids of each text; keys name the documents."""
@@ -222,52 +305,35 @@ class Codec:
         units_of = [self.units.findall(" " + t) if t else [] for t in texts]
         sizes = [len(u) for u in units_of]
         units = list(chain.from_iterable(units_of))
-        got = self._known(units, memo.young, memo.old, lambda fresh: self.merge_many([(u, 0) for u in fresh]))
+        row, fresh = memo.whole.find(units, len(units), len(memo.names))
+        memo.add(fresh, *self._merge_all(fresh, np.zeros(len(fresh), dtype=np.uint64)))
+        memo.used(row)
         if self.rate > 0 and units:
-            came = np.array([c for _, c in got])
-            places = np.concatenate([np.arange(n) for n in sizes])
-            states = self._states(keys, sizes, places)
+            states = self._states(keys, sizes, np.concatenate([np.arange(n) for n in sizes]))
             skip, states = self._gaps(states)
-            at = np.nonzero(skip < came)[0]
-            skip, states = skip[at], states[at]
-            short = np.array([len(units[i]) <= MASKED for i in at.tolist()], dtype=bool)
+            at = np.flatnonzero(skip < memo.came[row])
+            skip, states, whole = skip[at], states[at], row[at]
+            short = memo.length[whole] <= MASKED
             for i, first, state in zip(at[~short].tolist(), skip[~short].tolist(), states[~short]):
-                got[i] = self.merge(units[i], self._skips(first, state, len(units[i])))
-            at, skip, states = at[short], skip[short], states[short]
+                pieces, came = self.merge(units[i], self._skips(first, state, len(units[i])))
+                pieces = np.frombuffer(pieces, dtype=np.int32)
+                row[i] = len(memo.names)
+                memo.add([None], pieces, np.array([len(pieces)]), np.array([came]))
+            at, skip, states, whole = at[short], skip[short], states[short], whole[short]
             mask = np.zeros(len(at), dtype=np.uint64)
             # What comes up after a skip depends on it, so each round adds one skip to those that have another.
             while len(at):
                 mask |= np.uint64(1) << skip.astype(np.uint64)
-                pairs = [(units[i], m) for i, m in zip(at.tolist(), mask.tolist())]
-                cut = self._known(pairs, memo.young_cut, memo.old_cut, self.merge_many)
-                for i, x in zip(at.tolist(), cut):
-                    got[i] = x
+                row[at], fresh = memo.cut.find([m << 32 | i for m, i in zip(mask.tolist(), whole.tolist())], len(at), len(memo.names))
+                of = [memo.names[k & 0xFFFFFFFF] for k in fresh]
+                memo.add([None] * len(fresh), *self._merge_all(of, np.array([k >> 32 for k in fresh], dtype=np.uint64)))
+                memo.used(row[at])
                 gap, states = self._gaps(states)
                 skip = skip + 1 + gap
-                go = skip < np.array([c for _, c in cut])
-                at, skip, states, mask = at[go], skip[go], states[go], mask[go]
-        pieces, out, a = [x for x, _ in got], [], 0
-        for n in sizes:
-            out.append(np.frombuffer(b"".join(pieces[a : a + n]), dtype=np.int32))
-            a += n
-        return out
-
-    @staticmethod
-    def _known(wanted: list, young: dict, old: dict, make) -> list:
-        """The remembered result of each of wanted; make() gives those of a list of new ones."""
-        get = young.get
-        got = [get(p) for p in wanted]
-        if None not in got:
-            return got
-        fresh = []
-        for p in dict.fromkeys(p for p, x in zip(wanted, got) if x is None):
-            x = old.get(p)
-            if x is None:
-                fresh.append(p)
-            else:
-                young[p] = x
-        young.update(zip(fresh, make(fresh)))
-        return [get(p) if x is None else x for p, x in zip(wanted, got)]
+                go = skip < memo.came[row[at]]
+                at, skip, states, whole, mask = at[go], skip[go], states[go], whole[go], mask[go]
+        ends = np.concatenate([[0], np.cumsum(memo.size[row])])[np.cumsum([0, *sizes])]
+        return np.split(memo.pieces(row), ends[1:-1]) if texts else []
 
     def _gaps(self, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of candidates before the next skip, next states): one more draw of each state."""

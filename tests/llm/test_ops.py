@@ -660,6 +660,33 @@ def test_dropout_is_drawn_for_every_occurrence():
         assert x == codec.merge(u, {k for k in range(63) if m >> k & 1}) and x[1] <= 3 * (len(u) - 1)
 
 
+def test_units_are_looked_up_and_merged_together(monkeypatch):
+    """Each distinct unit is merged in a block with others, pairs of pieces are found in the table of slots, and the memo keeps what is used most."""
+    vocab = piece_dropout.load_pieces()
+    codec, rng = piece_dropout.Codec(vocab), np.random.default_rng(6)
+    keys, ids = vocab["pairs"]
+    left, right = np.divmod(keys, len(codec.out))
+    assert codec.crowded.any() and (codec._joined(left.astype(np.int32), right.astype(np.int32)) == ids).all()
+    a, b = (rng.integers(-1, len(codec.out), 50_000).astype(np.int32) for _ in range(2))
+    pairs = dict(zip(keys.tolist(), ids.tolist()))
+    assert codec._joined(a, b).tolist() == [pairs.get(x * len(codec.out) + y, -1) if min(x, y) >= 0 else -1 for x, y in zip(a.tolist(), b.tolist())]
+    texts = [" ".join("".join(rng.choice(list("etaoin▁é東\0"), int(n))) for n in rng.integers(1, 40, 60)) + " the and of" * 20 for _ in range(60)] + [None, ""]
+    names = [str(k) for k in range(len(texts))]
+    want = [codec.encode(t, k).tolist() for t, k in zip(texts, names)]
+    merged = []
+    monkeypatch.setattr(codec, "_merge_all", lambda units, masks, f=codec._merge_all: (merged.extend(zip(units, masks.tolist())), f(units, masks))[1])
+    memo = piece_dropout.Memo()
+    assert [x.tolist() for x in codec.encode_many(texts, names, memo)] == want and [x.tolist() for x in codec.encode_many(texts, names, memo)] == want
+    assert len(merged) == len(set(merged)) and codec.encode_many([], [], memo) == []
+    monkeypatch.setattr(piece_dropout, "CACHE", 100)
+    memo, most = piece_dropout.Memo(), 0
+    for t, k, w in zip(texts, names, want):
+        assert codec.encode(t, k, memo).tolist() == w
+        memo.turn()
+        most = max(most, len(memo.names))
+    assert most <= 100 and {" the", " and", " of"} <= set(memo.whole)
+
+
 def test_html(spark):
     rng = np.random.default_rng(2)
     rows, want = [], {}
