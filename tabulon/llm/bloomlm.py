@@ -346,11 +346,11 @@ def smoothed(flat_levels: list[np.ndarray], first: np.ndarray, n: int, v: int, t
 def train(docs: DataFrame, order: int = ORDER, top_grams: int = TOP_GRAMS, shard_tokens: int = SHARD_TOKENS) -> dict:
     """docs(doc_id, held_out, text), of which those not held out are learnt. The model: packs of all texts, counts and the filter's shards (stored tables), n, v, texts."""
     packs = stored(pack_texts(docs), "lm-packs", compression="zstd")
-    counts = stored(word_counts(packs), "lm-counts")
+    counts = stored(word_counts(packs), "lm-counts", tidy=True)
     total = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.max(F.when(F.col("h") == int(_END.astype(np.int64)), F.col("c"))).alias("texts")).first()
     n = total["n"] or 0
     shards = max(8, math.ceil(order * n / shard_tokens))
-    filled = stored(filter_shards(packs, shards, max(2.0, order * n / max(1, top_grams)), order), "lm-filter")
+    filled = stored(filter_shards(packs, shards, max(2.0, order * n / max(1, top_grams)), order), "lm-filter", tidy=True)
     return {"packs": packs, "counts": counts, "n": n, "v": total["v"], "texts": total["texts"] or 0, "shards": shards, "filter": filled, "order": order}
 
 
@@ -455,8 +455,9 @@ def score(spark: SparkSession, model: dict, top_words: int = TOP_WORDS) -> DataF
     names = {"pack": pa.int64(), "pos": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "rare": pa.list_(pa.struct([("h", pa.int64()), ("m", pa.int64())]))}
     schema = "pack long, pos long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h: long, m: long>>"
     answers = packs.mapInArrow(asks, "shard int, pack long, h binary").groupBy("shard").cogroup(model["filter"].select("shard", "bits").groupBy("shard")).applyInArrow(answer, "pack long, shard int, q binary")
+    answers = stored(answers, "lm-answers", compression="zstd", tidy=True)  # the questions, several times as large, are deleted before the packs travel
     scored = packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, schema)
-    scored = stored(scored, "lm-scored")
+    scored = stored(scored, "lm-scored", compression="zstd", tidy=True)
     rare = scored.select("pack", "pos", F.explode("rare").alias("r")).select("pack", "pos", F.col("r.h").alias("h"), F.col("r.m").alias("m"))
     tail = model["counts"] if least is None else model["counts"].filter(F.col("c") < least)
     term = F.col("m") * F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denominator))

@@ -7,6 +7,7 @@ import hashlib
 import html
 import math
 import re
+import time
 import urllib.parse
 import zlib
 
@@ -17,6 +18,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tabulon import session
 from tabulon.llm import bloomlm, chat, exactdedup, graph, html_extract, mixing, piece_dropout, quality, secret_scan, simhash, skew, toxicity
 from tests.oracle import connect, oracle_rows, rows_of
 
@@ -563,6 +565,33 @@ def test_bloom_query(spark, sf):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) for r in got)
 
 
+def test_bloom_leaves_no_shuffle_files_behind(spark, monkeypatch):
+    """What a stored step of the model has shuffled is gone when the next one writes."""
+
+    def files():
+        every = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {x for x in every.split("\n") if "/shuffle_" in x}
+
+    left = {}
+
+    def watched(df, name, *args, f=session.stored, **kwargs):
+        before, until = files(), time.time() + 5
+        out = f(df, name, *args, **kwargs)
+        while files() - before and time.time() < until:
+            time.sleep(0.2)
+        left[name] = files() - before
+        return out
+
+    monkeypatch.setattr(bloomlm, "stored", watched)
+    d = spark.createDataFrame([(k, f"a b c{k % 7} d", k % 5 == 0) for k in range(200)], "doc_id long, text string, held_out boolean")
+    assert bloomlm.score(spark, bloomlm.train(d)).count() == 200
+    assert {"lm-counts", "lm-filter", "lm-answers", "lm-scored"} <= set(left) and not any(left.values())
+    assert spark.conf.get(session.CLEANUP_KEY) == "false"
+    with pytest.raises(Exception, match="boom"):
+        session.stored(d.select(F.raise_error(F.lit("boom"))), "broken", tidy=True)
+    assert spark.conf.get(session.CLEANUP_KEY) == "false"
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 300, 20_000])
 def test_sorted_keys_travel_in_under_four_bytes(n):
     rng = np.random.default_rng(n)
